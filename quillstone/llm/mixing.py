@@ -3,7 +3,8 @@
 Every document of a source gets the same fractional number of copies. The whole part is taken; the fractions
 are paired, and mass moves at random between the two of a pair until one is 0 or 1. Moves are scaled by the
 documents' sizes, so a pair's expected number of copies and its words both stay as they were. Each chunk of a
-source leaves at most one fraction, and these meet in a tree of further chunks.
+source leaves at most one fraction, and these meet in a tree of further chunks. The last one of a source goes to
+the nearer whole number, so a source misses its target by half a document at most, but for the stop.
 """
 
 from __future__ import annotations
@@ -84,8 +85,13 @@ def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(2**53))).cast("double")
 
 
-def mix(docs: DataFrame, most: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 11, key: str = "doc_id") -> DataFrame:
-    """Return key, size, source_size, target, copies and taken for each row of docs (key, text, source).
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Return doc_id, size, source_size, target, copies and taken for each row of docs; see `dealt`."""
+    return dealt(docs, **options).drop("source")
+
+
+def dealt(docs: DataFrame, most: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 11, key: str = "doc_id") -> DataFrame:
+    """Return key, source, size, source_size, target, copies and taken for each row of docs (key, text, source).
 
     Size is the number of words. copies is a whole number, at most `most`; taken = copies * size. A null text
     has size 0; a null source is a source of its own; rows that repeat, keys included, are rounded each for
@@ -123,6 +129,23 @@ def mix(docs: DataFrame, most: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3),
             break
         most_chunks = -(-most_chunks // FAN_IN)
         level = level.filter(open_).withColumn("chunk", F.floor(F.col("chunk") / FAN_IN)).withColumn("chance", _uniform(F.col("chance"), F.lit(most_chunks)))
-    extra = F.when((F.col("fraction") > 0) & (F.col("fraction") < 1), F.col("chance") < F.col("fraction")).otherwise(F.col("fraction") >= 1).cast("long")
+    extra = F.when((F.col("fraction") > 0) & (F.col("fraction") < 1), F.col("fraction") >= 0.5).otherwise(F.col("fraction") >= 1).cast("long")
     whole = F.least(F.col("base") + extra, F.lit(int(most))).cast("long")
-    return done.select(F.col("key").cast(kind).alias(key), "size", "source_size", "target", whole.alias("copies"), (whole * F.col("size")).alias("taken"))
+    return done.select(F.col("key").cast(kind).alias(key), "source", "size", "source_size", "target", whole.alias("copies"), (whole * F.col("size")).alias("taken"))
+
+
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that a mixture takes at least once, with size, source_size, target, copies and taken.
+
+    Rows alike in doc_id, source and size take the copies dealt to them in order of their text. Columns of
+    docs named like a result are replaced.
+    """
+    results = ["size", "source_size", "target", "copies", "taken"]
+    same = [F.xxhash64("doc_id").alias("_k"), F.xxhash64(F.lit(1), F.col("size"), F.col("source"), F.col("doc_id")).alias("_s")]
+    lots = dealt(docs, **options).select(*same, "source_size", "target", "copies").groupBy("_k", "_s")
+    lots = lots.agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sort_array(F.collect_list("copies")).alias("_lot"))
+    rest = [c for c in docs.columns if c.lower() not in results]
+    rows = docs.select(*rest, word_count(F.col("text")).alias("size")).select("*", *same)
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_k", "_s").orderBy("text")))
+    out = rows.join(lots, ["_k", "_s"]).withColumn("copies", F.element_at("_lot", F.col("_n"))).filter("copies > 0")
+    return out.select(*rest, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
