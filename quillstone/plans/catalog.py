@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from quillstone.plans import figures, retrieval
+
+QUERIES = {**retrieval.QUERIES, **figures.QUERIES}
+ORACLES = {**retrieval.ORACLES, **figures.ORACLES}
+FLAGSHIP = "q16_find_passages"
