@@ -38,6 +38,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once a row: Spark moves no filter on it below a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def words(text: Column) -> Column:
     """The words of a text; an empty array if there are none."""
     return F.filter(F.split(text, SPACES), lambda w: w != "")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ascii_lower, broadcast_if_small, text_of, words
+from quillstone.llm.common import ascii_lower, broadcast_if_small, pinned, text_of, words
 
 WIDTH, SHARE, SPARE = 5, 0.8, 3
 SKETCH_ROWS = 2_000_000
@@ -58,7 +58,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
     items = _items(items, width, share)
     widths = sorted(r[0] for r in items.select("width").distinct().limit(width).collect())
     tokens = words(ascii_lower(text_of("text")))
-    read = docs.select("doc_id", tokens.alias("w"))
+    read = pinned(docs.select("doc_id", "text"), "w", tokens).drop("text")
     sketch, found = _sketches(items), None
     for k in widths:  # one for nearly all benchmarks, `width` at most
         probe = sketch.filter(F.col("width") == k).select("item_id", "n", "need", F.xxhash64(*(F.get("w", F.lit(i)) for i in range(k))).alias("h"))
@@ -77,8 +77,9 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
     joined = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
 
     own = {k: f"_own{k}" for k in widths}
-    joined = joined.withColumn("_w", F.when(F.col("_asked").isNotNull(), tokens))
-    joined = joined.withColumns({name: F.array_distinct(shingles(F.col("_w"), k)) for k, name in own.items()})
+    joined = pinned(joined, "_w", F.when(F.col("_asked").isNotNull(), tokens))
+    for k, name in own.items():
+        joined = pinned(joined, name, F.array_distinct(shingles(F.col("_w"), k)))
 
     def verify(asked: Column) -> Column:
         pick = F.coalesce(*(F.when(asked["width"] == k, F.col(name)) for k, name in own.items()))
@@ -86,7 +87,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
         return F.struct(asked["item_id"].alias("item_id"), hit.alias("hits"), asked["n"].alias("size"))
 
     checked = F.filter(F.transform("_asked", verify), lambda x: x["hits"] >= x["size"] * F.lit(share) - F.lit(1e-9))
-    return joined.withColumn("_leaks", F.coalesce(checked, none)).drop("_of", "_asked", "_w", *own.values())
+    return pinned(joined, "_leaks", F.coalesce(checked, none)).drop("_of", "_asked", "_w", *own.values())
 
 
 def contained(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
