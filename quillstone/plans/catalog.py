@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillstone.plans import figures, retrieval
+from quillstone.plans import figures, retrieval, service
 
-QUERIES = {**retrieval.QUERIES, **figures.QUERIES}
-ORACLES = {**retrieval.ORACLES, **figures.ORACLES}
+QUERIES = {**retrieval.QUERIES, **figures.QUERIES, **service.QUERIES}
+ORACLES = {**retrieval.ORACLES, **figures.ORACLES, **service.ORACLES}
 FLAGSHIP = "q16_find_passages"
