@@ -40,7 +40,7 @@ _HINTS = frozenset(
 _CONTENT_HINTS = frozenset("article content main post entry story text body".split())
 
 #: words, link density, words before, density before, words after, density after, region (-1 page furniture, 0 none, 1 article), 1 if part of the main text
-LABELLED = (
+INSIDE = (
     (1, 1.0, 0, 0.0, 1, 1.0, -1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (2, 1.0, 1, 1.0, 8, 0.0, -1, 0), (8, 0.0, 1, 1.0, 9, 0.0, -1, 0),
     (9, 0.0, 120, 0.0, 0, 0.0, -1, 0), (40, 0.0, 60, 0.0, 0, 0.0, -1, 0), (25, 0.1, 3, 1.0, 80, 0.0, -1, 0), (120, 0.0, 90, 0.0, 15, 0.0, -1, 0),
     (60, 0.0, 40, 0.0, 35, 0.0, -1, 0), (5, 0.0, 8, 0.0, 70, 0.0, -1, 0), (15, 0.5, 200, 0.0, 4, 1.0, -1, 0), (3, 0.0, 50, 0.0, 2, 1.0, -1, 0),
@@ -48,15 +48,24 @@ LABELLED = (
     (300, 0.02, 2, 0.0, 1, 0.0, 1, 1), (1, 0.0, 300, 0.0, 12, 0.0, 1, 1), (12, 0.1, 1, 0.0, 9, 0.0, 1, 1), (30, 0.3, 80, 0.0, 20, 0.0, 1, 1),
     (4, 0.0, 0, 0.0, 60, 0.0, 1, 1), (20, 0.0, 30, 0.3, 5, 0.0, 1, 1), (2, 0.5, 60, 0.0, 60, 0.0, 1, 1), (1, 1.0, 50, 0.0, 50, 0.0, 1, 1),
     (5, 1.0, 40, 0.0, 30, 0.0, 1, 1), (3, 1.0, 40, 0.0, 4, 1.0, 1, 1), (6, 0.0, 3, 1.0, 0, 0.0, 1, 1), (200, 0.6, 60, 0.0, 60, 0.0, 1, 1),
-    (1, 1.0, 0, 0.0, 2, 1.0, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 0), (4, 0.8, 2, 1.0, 3, 1.0, 0, 0), (12, 0.9, 40, 0.0, 2, 1.0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0), (5, 0.0, 1, 1.0, 4, 0.9, 0, 0), (6, 0.0, 4, 0.0, 3, 0.5, 0, 0), (2, 0.0, 5, 0.0, 0, 0.0, 0, 0),
-    (30, 0.0, 12, 0.0, 45, 0.0, 0, 1), (45, 0.05, 30, 0.0, 25, 0.1, 0, 1), (80, 0.1, 3, 0.0, 60, 0.0, 0, 1), (25, 0.1, 45, 0.0, 3, 1.0, 0, 1),
-    (18, 0.0, 30, 0.0, 40, 0.0, 0, 1), (9, 0.0, 35, 0.0, 50, 0.0, 0, 1), (7, 0.0, 2, 1.0, 60, 0.0, 0, 1), (12, 0.0, 60, 0.0, 40, 0.0, 0, 1),
-    (22, 0.7, 50, 0.0, 30, 0.0, 0, 0), (50, 0.8, 30, 0.0, 4, 1.0, 0, 0), (16, 0.6, 3, 1.0, 5, 1.0, 0, 0), (8, 0.6, 30, 0.0, 30, 0.0, 0, 0),
 )
+#: Blocks outside any region: the neighbours of three situations, and for a number of words the labels at the densities 0, 0.1, 0.6 and 1.
+BESIDE = {"links": (2, 1.0, 2, 1.0), "edge": (2, 1.0, 50, 0.0), "end": (50, 0.0, 2, 1.0), "text": (60, 0.0, 45, 0.0)}
+OUTSIDE = {
+    "links": {2: "0000", 8: "0000", 20: "1100", 60: "1100", 200: "1100"},
+    "edge": {2: "0000", 8: "1000", 20: "1100", 60: "1100", 200: "1100"},
+    "end": {2: "0000", 8: "1000", 20: "1100", 60: "1100", 200: "1100"},
+    "text": {2: "1000", 8: "1100", 20: "1100", 60: "1100", 200: "1100"},
+}
+LABELLED = INSIDE + tuple(
+    (words, density, *BESIDE[where], 0, int(label))
+    for where, rows in OUTSIDE.items()
+    for words, labels in rows.items()
+    for density, label in zip((0.0, 0.1, 0.6, 1.0), labels, strict=True)
+)
 
 
-def fit_tree(rows: tuple = LABELLED, depth: int = 5):
+def fit_tree(rows: tuple = LABELLED, depth: int = 6):
     """A binary tree by Gini impurity: (feature, bound, below or at, above), or 0 or 1 at a leaf."""
     labels = [r[-1] for r in rows]
     if depth == 0 or len(set(labels)) == 1:
@@ -198,5 +207,5 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pa.array((main_text(x.as_py() or "", tree) for x in batch), pa.string())
 
     rest = [c for c in pages.columns if c != html and c.lower() not in ("text", "n_chars")]
-    out = pages.select(*rest, texts(html).alias("text"))
+    out = pages.select(*rest, texts.asNondeterministic()(html).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
