@@ -1,8 +1,8 @@
 """Removal of repeated byte strings: maximal repeats from interval trees over enhanced suffix arrays.
 
 Every string of `span` bytes has an anchor, the least hash of the GRAM-byte strings in it. Equal strings have
-equal anchors, so the text falls into stretches that start strings of one anchor, and only stretches whose
-anchor occurs in several documents matter. Stretches meet by anchor. There a suffix array over them, with the
+equal anchors, so the text falls into stretches that start strings of one anchor. Whole stretches that are
+equal are found by their hashes. Only unequal ones that share an anchor meet, by anchor. There a suffix array over them, with the
 common prefixes of neighbours, is scanned with a stack: the intervals are the nodes of a tree, and a node at
 least `span` deep whose occurrences differ in the byte to the left is a maximal repeat with all occurrences.
 """
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,104 +145,133 @@ def _grouped(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
         yield group
 
 
+def _contents(body: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of a text: anchor, hash of the bytes, first start, one past the last start."""
+    h = anchors(body, span)
+    first, last = stretches(h)
+    raw, digest = body.tobytes(), xxhash.xxh64_intdigest
+    found = np.fromiter((digest(raw[a : b + span - 1]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
+    return h[first], found, first, last
+
+
+_ANCHOR_ROWS = pa.schema([("part", pa.int64()), ("known", pa.bool_()), ("anchors", pa.binary()), ("contents", pa.binary()), ("docs", pa.binary())])
+
+
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def _emit_anchors(span: int, parts: int):
-    """Rows (part, kind, anchors, documents): kind 1 is known to be shared and only passes through.
+    """Rows of a part: anchors (high bits; the part comes from the low ones), hashes of stretches, documents.
 
-    Of an anchor that several documents of a group share, only the smallest document goes to the anchor's part.
+    Of documents of a group that share a stretch only the smallest is asked about. The others are known to
+    repeat it; their rows (known) only pass through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in _grouped(batch):
-                found = [np.unique(anchors(body, span)) for body, _ in group]
-                h = np.concatenate(found)
-                d = np.repeat(np.array([x for _, x in group], np.int64), [len(f) for f in found])
-                order = np.lexsort((d, h))
-                sh, sd = h[order], d[order]
-                new = np.r_[True, sh[1:] != sh[:-1]] if len(sh) else np.empty(0, bool)
-                start = np.flatnonzero(new)[np.cumsum(new) - 1] if len(sh) else np.empty(0, np.int64)
-                more = sd != sd[start]  # a larger document in this group has it too
-                several = np.zeros(len(sh), bool)
-                several[start[more]] = True
-                kind = np.empty(len(h), np.int8)
-                kind[order] = np.where(more, 1, np.where(several, 2, 0))
+                found = [_contents(body, span)[:2] for body, _ in group]
+                h, c = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                d = np.repeat(np.array([x for _, x in group], np.int64), [len(f[0]) for f in found])
+                order = np.lexsort((d, c))
+                start = _edges(c[order])
+                first = np.repeat(order[start], np.diff(np.r_[start, len(order)]))
+                known, again = np.zeros(len(h), bool), np.zeros(len(h), bool)
+                known[order] = d[order] != d[first]
+                again[order[1:]] = (c[order][1:] == c[order][:-1]) & (d[order][1:] == d[order][:-1])
                 part = (h % np.uint64(parts)).astype(np.int64)
-                rows = {"part": [], "kind": [], "hashes": [], "docs": []}
-                by = np.lexsort((kind, part))  # stable: documents stay together, and so compress well
-                edge = np.flatnonzero(np.r_[True, (part[by][1:] != part[by][:-1]) | (kind[by][1:] != kind[by][:-1])]) if len(by) else np.empty(0, np.int64)
+                rows: dict[str, list] = {k: [] for k in _ANCHOR_ROWS.names}
+                by = np.lexsort((known, part))  # stable: documents stay together, and so compress well
+                by = by[~again[by]]
+                edge = _edges(part[by], known[by])
                 for a, b in zip(edge, np.r_[edge[1:], len(by)], strict=True):
                     pick = by[a:b]
                     rows["part"].append(int(part[pick[0]]))
-                    rows["kind"].append(int(kind[pick[0]]))
-                    rows["hashes"].append(h[pick].tobytes())
+                    rows["known"].append(bool(known[pick[0]]))
+                    rows["anchors"].append(b"" if known[pick[0]] else (h[pick] >> np.uint64(32)).astype(np.uint32).tobytes())
+                    rows["contents"].append(c[pick].tobytes())
                     rows["docs"].append(d[pick].tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema=_ANCHOR_ROWS)
 
     return run
 
 
-_ANCHOR_ROWS = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
-
-
 def _shared(d: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: for each document its anchors that another document has too."""
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in d["hashes"]])
-    own = np.concatenate([np.frombuffer(x, np.int64) for x in d["docs"]])
-    kind = np.repeat(d["kind"].to_numpy(), [len(x) // 8 for x in d["hashes"]])
-    sure = kind == 1
-    hs, ds, ks = h[~sure], own[~sure], kind[~sure]
-    order = np.lexsort((ds, hs))
-    hs, ds, ks = hs[order], ds[order], ks[order]
-    start = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]]) if len(hs) else np.empty(0, np.int64)
-    if len(start):
-        end = np.r_[start[1:], len(hs)]
-        several = (ds[start] != ds[end - 1]) | (np.maximum.reduceat(ks, start) == 2)
-        take = np.repeat(several, end - start)
-        hs, ds = hs[take], ds[take]
-    h, own = np.r_[h[sure], hs], np.r_[own[sure], ds]
-    order = np.argsort(own, kind="stable")
-    h, own = h[order], own[order]
-    start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
-    return pd.DataFrame({"of": own[start], "hashes": [h[a:b].tobytes() for a, b in zip(start, np.r_[start[1:], len(own)], strict=True)]})
+    """Of one part, for each document: its stretches that a smaller one repeats, and those to compare byte by byte.
+
+    A stretch is compared if it is the smallest document's and its anchor also starts other stretches, of other
+    documents. The smallest document of a stretch stands for all: whatever of it is in another, is in this one.
+    """
+    join = lambda rows, name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) if len(rows) else np.empty(0, kind)
+    sure, asked = d[d["known"]], d[~d["known"]]
+    h, c, own = join(asked, "anchors", np.uint32), join(asked, "contents", np.uint64), join(asked, "docs", np.int64)
+    order = np.lexsort((own, c, h))
+    h, c, own = h[order], c[order], own[order]
+    start = _edges(h, c)
+    late = np.repeat(own[start], np.diff(np.r_[start, len(own)])) != own
+    c_late, d_late = np.r_[join(sure, "contents", np.uint64), c[late]], np.r_[join(sure, "docs", np.int64), own[late]]
+    h, c, own = h[start], c[start], own[start]
+    group = _edges(h)
+    several = np.minimum.reduceat(own, group) != np.maximum.reduceat(own, group) if len(group) else np.empty(0, bool)
+    take = np.repeat(several, np.diff(np.r_[group, len(h)]))
+    every_c, every_d = np.r_[c_late, c[take]], np.r_[d_late, own[take]]
+    need = np.r_[np.zeros(len(c_late), bool), np.ones(int(take.sum()), bool)]
+    order = np.lexsort((need, every_d))
+    every_c, every_d, need = every_c[order], every_d[order], need[order]
+    edge = _edges(every_d)
+    out: dict[str, list] = {"of": every_d[edge].tolist(), "gone": [], "asked": []}
+    for a, b in zip(edge, np.r_[edge[1:], len(every_d)], strict=True):
+        mid = a + int(np.searchsorted(need[a:b], True))
+        out["gone"].append(every_c[a:mid].tobytes())
+        out["asked"].append(every_c[mid:b].tobytes())
+    return pd.DataFrame(out)
 
 
 _STRETCH_ROWS = pa.schema([("part", pa.int64()), ("data", pa.binary()), ("ends", pa.binary()), ("docs", pa.binary()), ("tags", pa.binary()), ("starts", pa.binary())])
 
 
 def _emit_stretches(span: int, parts: int):
-    """Rows of stretches by part of their anchor. Of equal stretches in a group of documents only the smallest
-    document's is judged there; the others repeat it, so they pass through as removed (ends empty)."""
+    """Rows of a part: the bytes of stretches to compare; and, with no ends, ranges that are known to go, their
+    lengths as data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in _grouped(batch):
-                seen: dict[bytes, int] = {}
-                every: list[tuple] = []  # anchor, bytes, doc, tag, start
-                for body, doc, tag, shared in sorted(group, key=lambda g: g[1]):
-                    h = anchors(body, span)
-                    first, last = stretches(h)
-                    wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in shared])) if shared else np.empty(0, np.uint64)
-                    raw = body.tobytes()
-                    value = h[first]
-                    hit = np.isin(value, wanted)
-                    for v, a, b in zip(value[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                        text = raw[a : b + span - 1]
-                        known = seen.setdefault(text, doc)
-                        every.append((v % parts, None if known != doc else text, doc, tag, a, len(text)))
-                every.sort(key=lambda e: (e[0], e[1] is None))
+                compare: list[tuple] = []
                 rows: dict[str, list] = {k: [] for k in _STRETCH_ROWS.names}
-                i = 0
-                while i < len(every):
-                    j = i
-                    while j < len(every) and every[j][0] == every[i][0] and (every[j][1] is None) == (every[i][1] is None):
-                        j += 1
-                    some, judged = every[i:j], every[i][1] is not None
+                for body, doc, gone, asked in group:
+                    tag = np.uint64(xxhash.xxh64_intdigest(body.tobytes(), 42)).astype(np.int64)
+                    h, c, first, last = _contents(body, span)
+                    both = [np.concatenate([np.frombuffer(x, np.uint64) for x in some or (b"",)]) for some in (gone, asked)]
+                    hit, need = (np.isin(c, x) for x in both)
+                    spans = merged(first[hit], last[hit] + span - 1)
+                    if len(spans):
+                        rows["part"].append(doc % parts)
+                        rows["data"].append((spans[:, 1] - spans[:, 0]).tobytes())
+                        rows["ends"].append(b"")
+                        rows["starts"].append(np.ascontiguousarray(spans[:, 0]).tobytes())
+                        for name, value in (("docs", doc), ("tags", tag)):
+                            rows[name].append(np.full(len(spans), value, np.int64).tobytes())
+                    need &= ~hit
+                    for v, a, b in zip(h[need].tolist(), first[need].tolist(), last[need].tolist(), strict=True):
+                        compare.append((v % parts, body[a : b + span - 1].tobytes(), doc, int(tag), a))
+                compare.sort(key=lambda e: e[0])
+                edge = _edges(np.array([e[0] for e in compare], np.int64))
+                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(compare)], strict=True):
+                    some = compare[a:b]
                     rows["part"].append(some[0][0])
-                    rows["data"].append(b"".join(e[1] for e in some) if judged else np.array([e[5] for e in some], np.int64).tobytes())
-                    rows["ends"].append(np.cumsum([len(e[1]) for e in some]).astype(np.int64).tobytes() if judged else b"")
+                    rows["data"].append(b"".join(e[1] for e in some))
+                    rows["ends"].append(np.cumsum([len(e[1]) for e in some]).astype(np.int64).tobytes())
                     for name, k in (("docs", 2), ("tags", 3), ("starts", 4)):
                         rows[name].append(np.array([e[k] for e in some], np.int64).tobytes())
-                    i = j
                 yield pa.RecordBatch.from_pydict(rows, schema=_STRETCH_ROWS)
 
     return run
@@ -332,19 +362,20 @@ def without_repeats(docs: DataFrame, span: int = SPAN, keep_text: bool = False)
     """
     if span < 2 * GRAM:
         raise ValueError(f"span must be at least {2 * GRAM}")
-    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("of"), text_of("text").alias("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("of"), text_of("text").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // ANCHOR_PART))
-    rows = texts.select("text", "of").mapInArrow(_emit_anchors(span, parts), "part long, kind int, hashes binary, docs binary")
-    shared = rows.groupBy("part").applyInPandas(_shared, "of long, hashes binary")
-    shared = saved(shared)
-    keyed = texts.withColumn("tag", F.xxhash64("text"))
-    anchored = shared.groupBy("of").agg(F.collect_list("hashes").alias("shared"))
+    rows = texts.select("text", "of").mapInArrow(_emit_anchors(span, parts), "part long, known boolean, anchors binary, contents binary, docs binary")
+    shared = saved(rows.groupBy("part").applyInPandas(_shared, "of long, gone binary, asked binary"))
+    noted = shared.groupBy("of").agg(F.collect_list("gone").alias("gone"), F.collect_list("asked").alias("asked"))
+    # the texts are joined twice by `of` alone, with the same columns, so Spark shuffles them once
     parts = max(1, -(-total // STRETCH_PART))
-    asked = keyed.join(anchored, "of").select("text", "of", "tag", "shared")
-    stretch = asked.mapInArrow(_emit_stretches(span, parts), "part long, data binary, ends binary, docs binary, tags binary, starts binary")
-    found = stretch.groupBy("part").applyInPandas(_removed(span), "of long, tag long, ranges binary")
-    found = found.groupBy(F.col("of").alias("_of"), F.col("tag").alias("_tag")).agg(F.collect_list("ranges").alias("ranges"))
-    out = keyed.join(found, (F.col("of") == F.col("_of")) & (F.col("tag") == F.col("_tag")), "left")
-    out = out.withColumn("cut", F.arrow_udf(_cut, _CUT)("text", "ranges", F.lit(keep_text)))
-    return out.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256", *(["cut.kept"] if keep_text else []))
+    found = texts.join(noted, "of").select("text", "of", "gone", "asked")
+    found = found.mapInArrow(_emit_stretches(span, parts), "part long, data binary, ends binary, docs binary, tags binary, starts binary")
+    found = found.groupBy("part").applyInPandas(_removed(span), "of long, tag long, ranges binary")
+    found = found.groupBy("of").agg(F.collect_list(F.struct("tag", "ranges")).alias("found"))
+    out = texts.join(found, "of", "left")
+    ranges = F.transform(F.filter("found", lambda x: x["tag"] == F.xxhash64("text")), lambda x: x["ranges"])
+    out = out.withColumn("cut", F.arrow_udf(_cut, _CUT).asNondeterministic()("text", ranges, F.lit(keep_text)))
+    doc_id = F.when(F.col("of") != LAST, F.col("of")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return out.select(doc_id, "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256", *(["cut.kept"] if keep_text else []))
