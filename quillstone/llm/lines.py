@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import saved, text_of
+from quillstone.llm.common import broadcast_if_small, saved, text_of
 
 #: Shorter lines are always kept: they repeat by chance.
 LEAST = 20
+#: So many ids of candidate lines (16 bytes each) are broadcast at most.
+SIDE_ROWS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -88,12 +90,15 @@ def _halves(line: Column) -> Column:
 
 def _near(docs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
     """The ids of lines that have an earlier line within one edit."""
-    keyed = firsts.select("id", "check", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).filter("key IS NOT NULL")
+    keyed = firsts.select("id", F.explode(F.filter(F.array("k0", "k1", "k2", "k3"), lambda k: k.isNotNull())).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    asked = keyed.join(shared, "key", "left_semi").select("id").distinct().join(firsts.select("id", "doc"), "id").select("id", F.col("doc").alias("_of"))
+    asked = keyed.join(shared, "key", "left_semi").select("id").distinct()
+    asked = saved(asked.join(firsts.select("id", "doc"), "id").select("id", F.col("doc").alias("_of")))
     texts = docs.select("doc_id", F.posexplode_outer(F.split(text_of("text"), "\n")).alias("at", "line")).filter(F.length("line") >= least)
     texts = texts.withColumn("id", _id(F.col("line")))
-    texts = texts.join(asked, (texts["id"] == asked["id"]) & texts["doc_id"].eqNullSafe(asked["_of"]), "left_semi")
+    # the lines asked for are few next to all; within the bound they go to the texts, and else both are shuffled
+    few = broadcast_if_small(asked, SIDE_ROWS)
+    texts = texts.join(few, (texts["id"] == few["id"]) & texts["doc_id"].eqNullSafe(few["_of"]), "left_semi")
     first = texts.groupBy("id").agg(F.min(F.struct("doc_id", "at", "line")).alias("x"))
     lines = saved(first.select("id", F.struct(F.col("x.doc_id").isNull().alias("none"), "x.doc_id", "x.at", "id").alias("order"), "x.line"))
     variants = lines.select("id", "order", F.posexplode_outer(F.arrow_udf(_neighbourhoods, "array<long>")("line")).alias("at", "variant"))
@@ -134,6 +139,6 @@ def deduplicate(docs: DataFrame, least: int = LEAST, edits: int = 1) -> DataFram
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     joined = docs.select(*rest).join(kept, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
     hashes = F.transform(F.split(text_of("text"), "\n"), lambda x: F.xxhash64(x))
-    joined = joined.withColumn("_new", F.arrow_udf(_rebuilt, "struct<text:string,n_lines:int,n_removed:int>")(text_of("text"), hashes, "_kept", F.lit(least)))
+    joined = joined.withColumn("_new", F.arrow_udf(_rebuilt, "struct<text:string,n_lines:int,n_removed:int>").asNondeterministic()(text_of("text"), hashes, "_kept", F.lit(least)))
     new = {"text": F.when(F.col("text").isNotNull(), F.col("_new.text")), "n_lines": F.col("_new.n_lines"), "n_removed": F.col("_new.n_removed")}
     return joined.withColumns(new).drop("_of", "_kept", "_new")
