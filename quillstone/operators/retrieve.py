@@ -34,22 +34,34 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(search_terms(F.col("question"))).alias("term"))
 
 
-def bm25(asked: DataFrame, posted: DataFrame, lengths: DataFrame, corpus: DataFrame, k: int = 10, key: str = "chunk_id", only: DataFrame | None = None) -> DataFrame:
-    """qid, key, score, rank: the k best units by BM25 over the asked terms (qid, term).
+def bm25_scores(asked: DataFrame, posted: DataFrame, lengths: DataFrame, corpus: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """qid, key, score of every unit that shares a term (qid, term) with a question.
 
-    Statistics are the whole corpus's. `only` (qid, key) restricts the candidates and changes no score. An idf
-    that is not positive becomes LEAST_IDF.
+    Statistics are the whole corpus's. An idf that is not positive becomes LEAST_IDF.
     """
     wanted = _small(asked, BROADCAST_TERMS)
-    frequencies = posted.join(F.broadcast(asked.select("term").distinct()) if wanted is not asked else asked.select("term").distinct(), "term", "left_semi")
+    frequencies = posted.join(_small(asked.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi")
     df = frequencies.groupBy("term").agg(F.count("*").alias("df"))
     hits = frequencies.join(df, "term").join(wanted, "term").join(lengths, key).crossJoin(F.broadcast(corpus))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.groupBy("qid", key).agg(F.round(F.sum(part), PLACES).alias("score"))
+
+
+def bm25(asked: DataFrame, posted: DataFrame, lengths: DataFrame, corpus: DataFrame, k: int = 10, key: str = "chunk_id", only: DataFrame | None = None) -> DataFrame:
+    """qid, key, score, rank: the k best units; `only` (qid, key) restricts the candidates and changes no score."""
+    scored = bm25_scores(asked, posted, lengths, corpus, key)
     if only is not None:
-        hits = hits.join(only, ["qid", key], "left_semi")
-    return _top(hits.groupBy("qid", key).agg(F.round(F.sum(part), PLACES).alias("score")), k, key).select("qid", key, "score", "rank")
+        scored = scored.join(only, ["qid", key], "left_semi")
+    return _top(scored, k, key).select("qid", key, "score", "rank")
+
+
+def bm25_relaxed(asked: DataFrame, posted: DataFrame, lengths: DataFrame, corpus: DataFrame, only: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
+    """As `bm25` with `only`, but questions of which no candidate is left are ranked over all units (relaxed)."""
+    scored = bm25_scores(asked, posted, lengths, corpus, key).join(only.withColumn("_in", F.lit(True)), ["qid", key], "left")
+    scored = scored.withColumn("relaxed", F.max(F.coalesce("_in", F.lit(False))).over(W.partitionBy("qid")) == F.lit(False)).filter("relaxed OR _in")
+    return _top(scored, k, key).select("qid", key, "score", "rank", "relaxed")
 
 
 def cosine(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id", keep: Column | None = None) -> DataFrame:
@@ -112,20 +124,21 @@ def lexical_rank(hits: DataFrame, questions: DataFrame, k: int = 5, key: str = "
     c = hits.withColumn("_terms", rank_terms(F.col("text"))).join(asked, "qid")
     per = W.partitionBy("qid")
     c = c.withColumn("_n", F.count("*").over(per)).withColumn("_mean", F.avg(F.size("_terms")).over(per))
-    each = c.select("qid", key, "_n", F.explode(F.array_intersect("_asked", "_terms")).alias("term"))
-    weight = F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1.0
-    df = each.groupBy("qid", "_n", "term").agg(F.count("*").alias("df")).withColumn("weight", weight)
-    matched = each.join(df.select("qid", "term", "weight"), ["qid", "term"]).groupBy("qid", key).agg(F.sum("weight").alias("_hit"))
-    # terms that no candidate has still weigh on the question's total
-    totals = df.groupBy("qid").agg(F.sum("weight").alias("_seen"), F.count("*").alias("_kinds"))
-    c = c.join(matched, ["qid", key], "left").join(totals, "qid", "left")
-    unseen = F.size("_asked") - F.coalesce("_kinds", F.lit(0))
-    total = F.coalesce("_seen", F.lit(0.0)) + unseen * (F.log(F.col("_n") + 1) + 1.0)
+    c = c.withColumn("_most", F.log(F.col("_n") + 1) + 1.0)
+    each = c.select("*", F.explode_outer(F.array_intersect("_asked", "_terms")).alias("_term"))
+    df = F.count("_term").over(W.partitionBy("qid", "_term"))
+    each = each.withColumn("_df", F.when(F.col("_term").isNotNull(), df)).withColumn("_weight", F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1.0)
+    # a term that no candidate has weighs most; of the others each holder counts its part
+    total = F.size("_asked") * F.col("_most") - F.coalesce(F.sum((F.col("_most") - F.col("_weight")) / F.col("_df")).over(per), F.lit(0.0))
+    each = each.withColumn("_total", total)
+    kept = [x for x in hits.columns if x not in ("qid", key)]
+    c = each.groupBy("qid", key).agg(F.sum("_weight").alias("_hit"), *(F.first(x).alias(x) for x in [*kept, "_total", "_mean", "_terms"]))
+    total = F.col("_total")
     norm = 1 - B + B * F.size("_terms") / F.col("_mean")
     score = F.when(total > 0, F.coalesce("_hit", F.lit(0.0)) / total).otherwise(0.0)
     c = c.withColumn("score", F.round(F.when((F.col("_mean") > 0) & (norm > 0), score / norm).otherwise(score), PLACES))
     rank = F.row_number().over(per.orderBy(F.desc("score"), "pos"))
-    return c.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_asked", "_terms", "_n", "_mean", "_hit", "_seen", "_kinds")
+    return c.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_terms", "_mean", "_hit", "_total")
 
 
 def passages(ranked: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -28,15 +28,20 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _keyword(spark: SparkSession, d: str, filtered: bool) -> DataFrame:
+def _keyword(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """BM25 over all units (all), those of the question's company and window (filtered), or those if any (relaxed)."""
     units, asked = _units(spark, d), _questions(spark, d)
     posted = index.postings(units, "doc_id")
     lengths, corpus = index.statistics(posted, units, "doc_id")
-    only = None
-    if filtered:
-        u, q = units.select("doc_id", "ticker", "filed"), asked.select("qid", "ticker", "filed_from", "filed_to")
-        only = u.join(F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q, "ticker").filter(F.col("filed").between(F.col("filed_from"), F.col("filed_to"))).select("qid", "doc_id")
-    return retrieve.bm25(retrieve.question_terms(asked), posted, lengths, corpus, K, "doc_id", only)
+    terms = retrieve.question_terms(asked)
+    if mode == "all":
+        return retrieve.bm25(terms, posted, lengths, corpus, K, "doc_id")
+    u, q = units.select("doc_id", "ticker", "filed"), asked.select("qid", "ticker", "filed_from", "filed_to")
+    q = F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q
+    only = u.join(q, "ticker").filter(F.col("filed").between(F.col("filed_from"), F.col("filed_to"))).select("qid", "doc_id")
+    if mode == "filtered":
+        return retrieve.bm25(terms, posted, lengths, corpus, K, "doc_id", only)
+    return retrieve.bm25_relaxed(terms, posted, lengths, corpus, only, K, "doc_id")
 
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
@@ -46,8 +51,7 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    keyword = retrieve.relaxed(_keyword(spark, d, True), _keyword(spark, d, False)).drop("relaxed")
-    return retrieve.interleaved(keyword, _dense(spark, d), "doc_id")
+    return retrieve.interleaved(_keyword(spark, d, "relaxed"), _dense(spark, d), "doc_id")
 
 
 def q01_coverage(spark, d):
@@ -86,11 +90,11 @@ def q08_postings(spark, d):
 
 
 def q09_bm25_topk(spark, d):
-    return _keyword(spark, d, False)
+    return _keyword(spark, d, "all")
 
 
 def q10_bm25_filtered(spark, d):
-    return _keyword(spark, d, True)
+    return _keyword(spark, d, "filtered")
 
 
 def q11_dense_topk(spark, d):
@@ -98,11 +102,11 @@ def q11_dense_topk(spark, d):
 
 
 def q12_hybrid_merge(spark, d):
-    return retrieve.interleaved(_keyword(spark, d, False), _dense(spark, d), "doc_id")
+    return retrieve.interleaved(_keyword(spark, d, "all"), _dense(spark, d), "doc_id")
 
 
 def q13_filter_relaxation(spark, d):
-    return retrieve.relaxed(_keyword(spark, d, True), _keyword(spark, d, False))
+    return _keyword(spark, d, "relaxed")
 
 
 def q14_hydrate(spark, d):
