@@ -91,7 +91,28 @@ _OP4_FOUND = " UNION ALL ".join(
     for i, (kind, rx, group, least) in enumerate(_OP4_KINDS)
 )
 
+#: The SQL of op2 holds for pages of the kind in the tables: one article of headings and paragraphs, few character references.
 ORACLES = {
+    "op2_page_text": r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS x FROM pages),
+t AS (SELECT page_id, url, list_transform(x, lambda s: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,
+        '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS x FROM a),
+j AS (SELECT page_id, url, array_to_string(list_filter(x, lambda s: s <> ''), chr(10)) AS text FROM t)
+SELECT page_id, url, text, length(text) AS n_chars FROM j""",
+    "op3_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, i, x[i] AS line FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM d)),
+f AS (SELECT line, doc_id, i, row_number() OVER (ORDER BY doc_id, i) AS place FROM
+      (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM l WHERE length(line) >= 20) WHERE n = 1),
+k AS (SELECT DISTINCT line, side, h, CASE side WHEN 0 THEN substr(line, 1, h) ELSE substr(line, length(line) - h + 1) END AS half
+      FROM (SELECT line, unnest([length(line) // 2, (length(line) - 1) // 2]) AS h FROM f), (VALUES (0), (1)) AS s(side)),
+c AS (SELECT * FROM f WHERE line IN (SELECT line FROM k JOIN (SELECT side, h, half FROM k GROUP BY ALL HAVING count(*) > 1) USING (side, h, half))),
+v AS (SELECT line, place, p, substr(line, 1, p - 1) || substr(line, p + 1) AS short FROM (SELECT *, unnest(range(1, length(line) + 1)) AS p FROM c)),
+near AS (SELECT a.line FROM v a JOIN v b ON a.short = b.short AND a.p = b.p AND b.place < a.place
+         UNION SELECT CASE WHEN a.place < b.place THEN b.line ELSE a.line END FROM v a JOIN c b ON a.short = b.line),
+o AS (SELECT l.doc_id, l.i, l.line, length(l.line) < 20 OR (f.doc_id = l.doc_id AND f.i = l.i AND l.line NOT IN (SELECT line FROM near)) AS kept FROM l LEFT JOIN f USING (line)),
+t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (kept) AS k, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (kept), '') AS text FROM o GROUP BY doc_id)
+SELECT doc_id, CAST(n AS INTEGER) AS n_lines, CAST(n - k AS INTEGER) AS n_removed, length(text) AS n_chars, sha256(text) AS kept_sha256 FROM t""",
     "op4_secret_ledger": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 raw AS ({_OP4_FOUND}),
@@ -105,6 +126,16 @@ g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (doc_id)""",
+    "op7_repeats": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, i, x[i + 1:i + 50] AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+h AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM g JOIN m USING (s) WHERE least < doc_id),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h) GROUP BY doc_id, run),
+c AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+      UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id),
+k AS (SELECT doc_id, unhex(string_agg(hex(x[a + 1:b]), '' ORDER BY a)) AS kept FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, n - octet_length(kept) AS n_removed, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id) AS n_spans, sha256(kept) AS kept_sha256 FROM d JOIN k USING (doc_id)""",
     "op8_decontamination": r"""
 WITH w AS (SELECT 'd' AS t, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
            UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
