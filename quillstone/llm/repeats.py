@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import saved, text_of
+from quillstone.llm.common import text_of
 
 SPAN, GRAM = 50, 16
 #: Bytes of text for each part of the anchors and of the stretches.
@@ -204,34 +204,52 @@ def _emit_anchors(span: int, parts: int):
     return run
 
 
-def _shared(d: pd.DataFrame) -> pd.DataFrame:
-    """Of one part, for each document: its stretches that a smaller one repeats, and those to compare byte by byte.
+def _joined(rows: pd.DataFrame, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) if len(rows) else np.empty(0, kind)
 
-    A stretch is compared if it is the smallest document's and its anchor also starts other stretches, of other
-    documents. The smallest document of a stretch stands for all: whatever of it is in another, is in this one.
-    """
-    join = lambda rows, name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) if len(rows) else np.empty(0, kind)
-    sure, asked = d[d["known"]], d[~d["known"]]
-    h, c, own = join(asked, "anchors", np.uint32), join(asked, "contents", np.uint64), join(asked, "docs", np.int64)
-    order = np.lexsort((own, c, h))
-    h, c, own = h[order], c[order], own[order]
-    start = _edges(h, c)
-    late = np.repeat(own[start], np.diff(np.r_[start, len(own)])) != own
-    c_late, d_late = np.r_[join(sure, "contents", np.uint64), c[late]], np.r_[join(sure, "docs", np.int64), own[late]]
-    h, c, own = h[start], c[start], own[start]
-    group = _edges(h)
-    several = np.minimum.reduceat(own, group) != np.maximum.reduceat(own, group) if len(group) else np.empty(0, bool)
-    take = np.repeat(several, np.diff(np.r_[group, len(h)]))
-    every_c, every_d = np.r_[c_late, c[take]], np.r_[d_late, own[take]]
-    need = np.r_[np.zeros(len(c_late), bool), np.ones(int(take.sum()), bool)]
-    order = np.lexsort((need, every_d))
-    every_c, every_d, need = every_c[order], every_d[order], need[order]
-    edge = _edges(every_d)
-    out: dict[str, list] = {"of": every_d[edge].tolist(), "gone": [], "asked": []}
-    for a, b in zip(edge, np.r_[edge[1:], len(every_d)], strict=True):
+
+def _shared(parts: int):
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        """Of one part: the stretches that a smaller document repeats, and those to compare byte by byte, with
+        their documents, in bins of documents.
+
+        A stretch is compared if it is the smallest document's and its anchor also starts other stretches, of other
+        documents. The smallest document of a stretch stands for all: whatever of it is in another, is in this one.
+        """
+        sure, asked = d[d["known"]], d[~d["known"]]
+        h, c, own = _joined(asked, "anchors", np.uint32), _joined(asked, "contents", np.uint64), _joined(asked, "docs", np.int64)
+        order = np.lexsort((own, c, h))
+        h, c, own = h[order], c[order], own[order]
+        start = _edges(h, c)
+        late = np.repeat(own[start], np.diff(np.r_[start, len(own)])) != own
+        c_late, d_late = np.r_[_joined(sure, "contents", np.uint64), c[late]], np.r_[_joined(sure, "docs", np.int64), own[late]]
+        h, c, own = h[start], c[start], own[start]
+        group = _edges(h)
+        several = np.minimum.reduceat(own, group) != np.maximum.reduceat(own, group) if len(group) else np.empty(0, bool)
+        take = np.repeat(several, np.diff(np.r_[group, len(h)]))
+        contents, docs = np.r_[c_late, c[take]], np.r_[d_late, own[take]]
+        need = np.r_[np.zeros(len(c_late), bool), np.ones(int(take.sum()), bool)]
+        bins = (_mix(docs.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((docs, bins))
+        contents, docs, need, bins = contents[order], docs[order], need[order], bins[order]
+        edge = _edges(bins)
+        cuts = list(zip(edge, np.r_[edge[1:], len(bins)], strict=True))
+        return pd.DataFrame({"bin": bins[edge], "docs": [docs[a:b].tobytes() for a, b in cuts], "contents": [contents[a:b].tobytes() for a, b in cuts], "need": [need[a:b].tobytes() for a, b in cuts]})
+
+    return run
+
+
+def _by_document(d: pd.DataFrame) -> pd.DataFrame:
+    """Of one bin: one row for each document, with the stretches that go and those to compare."""
+    docs, contents, need = _joined(d, "docs", np.int64), _joined(d, "contents", np.uint64), _joined(d, "need", bool)
+    order = np.lexsort((need, docs))
+    docs, contents, need = docs[order], contents[order], need[order]
+    edge = _edges(docs)
+    out: dict[str, list] = {"of": docs[edge].tolist(), "gone": [], "asked": []}
+    for a, b in zip(edge, np.r_[edge[1:], len(docs)], strict=True):
         mid = a + int(np.searchsorted(need[a:b], True))
-        out["gone"].append(every_c[a:mid].tobytes())
-        out["asked"].append(every_c[mid:b].tobytes())
+        out["gone"].append(contents[a:mid].tobytes())
+        out["asked"].append(contents[mid:b].tobytes())
     return pd.DataFrame(out)
 
 
@@ -250,8 +268,7 @@ def _emit_stretches(span: int, parts: int):
                 for body, doc, gone, asked in group:
                     tag = np.uint64(xxhash.xxh64_intdigest(body.tobytes(), 42)).astype(np.int64)
                     h, c, first, last = _contents(body, span)
-                    both = [np.concatenate([np.frombuffer(x, np.uint64) for x in some or (b"",)]) for some in (gone, asked)]
-                    hit, need = (np.isin(c, x) for x in both)
+                    hit, need = (np.isin(c, np.frombuffer(x, np.uint64)) for x in (gone, asked))
                     spans = merged(first[hit], last[hit] + span - 1)
                     if len(spans):
                         rows["part"].append(doc % parts)
@@ -366,8 +383,8 @@ def without_repeats(docs: DataFrame, span: int = SPAN, keep_text: bool = False)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // ANCHOR_PART))
     rows = texts.select("text", "of").mapInArrow(_emit_anchors(span, parts), "part long, known boolean, anchors binary, contents binary, docs binary")
-    shared = saved(rows.groupBy("part").applyInPandas(_shared, "of long, gone binary, asked binary"))
-    noted = shared.groupBy("of").agg(F.collect_list("gone").alias("gone"), F.collect_list("asked").alias("asked"))
+    shared = rows.groupBy("part").applyInPandas(_shared(parts), "bin long, docs binary, contents binary, need binary")
+    noted = shared.groupBy("bin").applyInPandas(_by_document, "of long, gone binary, asked binary")
     # the texts are joined twice by `of` alone, with the same columns, so Spark shuffles them once
     parts = max(1, -(-total // STRETCH_PART))
     found = texts.join(noted, "of").select("text", "of", "gone", "asked")
