@@ -101,16 +101,21 @@ def _near(docs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
     texts = texts.join(few, (texts["id"] == few["id"]) & texts["doc_id"].eqNullSafe(few["_of"]), "left_semi")
     first = texts.groupBy("id").agg(F.min(F.struct("doc_id", "at", "line")).alias("x"))
     lines = saved(first.select("id", F.struct(F.col("x.doc_id").isNull().alias("none"), "x.doc_id", "x.at", "id").alias("order"), "x.line"))
-    variants = lines.select("id", "order", F.posexplode_outer(F.arrow_udf(_neighbourhoods, "array<long>")("line")).alias("at", "variant"))
-    whole, deleted = variants.filter("at = 0"), variants.filter("at > 0")
-    # one character exchanged: both delete the same place; joined to the earliest line of each bucket, not to each other
-    bucket = deleted.groupBy("variant", "at").agg(F.min("order").alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    exchanged = deleted.join(bucket, ["variant", "at"]).filter("best < order").select(F.col("id").alias("late"), F.col("best.id").alias("early"))
+    variants = lines.select("id", F.posexplode_outer(F.arrow_udf(_neighbourhoods, "array<long>")("line")).alias("at", "variant"))
+    deleted = variants.filter("at > 0").select("id", "variant", F.xxhash64("variant", "at").alias("bucket"))
+    # one character exchanged: both delete the same place. Only buckets of several lines go on, and there each line
+    # is joined to the earliest, not to each other.
+    several = deleted.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("bucket")
+    several = broadcast_if_small(saved(several), SIDE_ROWS)
+    members = saved(deleted.join(several, "bucket").select("bucket", "id").join(lines.select("id", "order"), "id"))
+    best = members.groupBy("bucket").agg(F.min("order").alias("best"))
+    exchanged = members.join(best, "bucket").filter("best < order").select(F.col("id").alias("late"), F.col("best.id").alias("early"))
     # one character more: a variant equals a whole line
-    w, d = whole.select("variant", F.col("id").alias("w"), F.col("order").alias("wo")), deleted.select("variant", F.col("id").alias("d"), F.col("order").alias("do"))
-    longer = w.join(d, "variant").select(
-        F.when(F.col("wo") < F.col("do"), F.col("d")).otherwise(F.col("w")).alias("late"), F.when(F.col("wo") < F.col("do"), F.col("w")).otherwise(F.col("d")).alias("early")
-    )
+    whole = broadcast_if_small(variants.filter("at = 0").select("variant", F.col("id").alias("w")), SIDE_ROWS)
+    meet = saved(deleted.select("variant", F.col("id").alias("d")).join(whole, "variant").select("w", "d").distinct())
+    meet = meet.join(lines.select(F.col("id").alias("w"), F.col("order").alias("wo")), "w").join(lines.select(F.col("id").alias("d"), F.col("order").alias("do")), "d")
+    early, late = F.when(F.col("wo") < F.col("do"), F.col("w")).otherwise(F.col("d")), F.when(F.col("wo") < F.col("do"), F.col("d")).otherwise(F.col("w"))
+    longer = meet.select(late.alias("late"), early.alias("early"))
     pairs = exchanged.unionByName(longer).distinct()
     a, b = lines.select(F.col("id").alias("late"), F.col("line").alias("x")), lines.select(F.col("id").alias("early"), F.col("line").alias("y"))
     near = F.levenshtein(F.col("x"), F.col("y"), 1)
