@@ -2,7 +2,9 @@
 
 Every document of a source gets the same fractional number of copies. The whole part is taken; the fractions
 are paired, and mass moves at random between the two of a pair until one is 0 or 1. Moves are scaled by the
-documents' sizes, so a pair's expected number of copies and its words both stay as they were. Each chunk of a
+documents' sizes, so a pair's expected number of copies and its words both stay as they were. In a chunk of a
+source the pairs are each document, the largest first, and the pool of all smaller ones, whose fractions stay
+equal; so what is left at the end is small. Each chunk of a
 source leaves at most one fraction, and these meet in a tree of further chunks. The last one of a source goes to
 the nearer whole number, so a source misses its target by half a document at most, but for the stop.
 """
@@ -81,6 +83,29 @@ def _pivot(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
+def _pool(rows: pd.DataFrame) -> pd.DataFrame:
+    """Round the equal fractions of one chunk, each document against the pool of those not yet decided."""
+    rows = rows.sort_values(["size", "chance", "key"], ascending=False, kind="stable", na_position="last").reset_index(drop=True)
+    size, out, chance = (rows[c].to_numpy(copy=True).astype(float) for c in ("size", "fraction", "chance"))
+    x, rest = (float(out[0]) if len(out) else 0.0), float(size.sum())
+    for j, a in enumerate(size):
+        if not NEAR < x < 1 - NEAR:  # the pool is decided
+            out[j:] = round(x)
+            break
+        rest -= a
+        if a == 0:  # no words to move
+            out[j] = float(chance[j] < x)
+        elif rest <= 0:  # the last one with words stays open
+            out[j] = x
+        else:
+            up, down = min(a * (1 - x), rest * x), min(a * x, rest * (1 - x))
+            move = up if chance[j] * (up + down) < down else -down
+            out[j], x = x + move / a, x - move / rest
+            out[j] = out[j] if NEAR < out[j] < 1 - NEAR else round(out[j])
+    rows["fraction"] = out
+    return rows
+
+
 def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(2**53))).cast("double")
 
@@ -118,9 +143,9 @@ def dealt(docs: DataFrame, most: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3)
         )
     )
     most_chunks = max(1, -(-(sources.agg(F.max("docs")).first()[0] or 0) // CHUNK))
-    done = None
+    done, round_ = None, _pool
     while True:
-        level = saved(level.groupBy("source", "chunk").applyInPandas(_pivot, level.schema))
+        level, round_ = saved(level.groupBy("source", "chunk").applyInPandas(round_, level.schema)), _pivot
         last = most_chunks == 1
         open_ = (F.col("fraction") > 0) & (F.col("fraction") < 1)
         rounded = level if last else level.filter(~open_)

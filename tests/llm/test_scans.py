@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,27 @@ def test_quality(spark, documents):
     assert quality.accepted(docs, labels.limit(0)).count() == 403
     assert quality.judged(documents([]), labels).count() == 0
     assert sorted(map(str, quality.judged(docs.repartition(5), labels).collect())) == sorted(map(str, got))
+
+
+@pytest.mark.parametrize("step", [mixing._pool, mixing._pivot])
+def test_rounding_keeps_words_and_leaves_one_fraction(step):
+    r = np.random.default_rng(8)
+    for n in (0, 1, 2, 5, 300):
+        for x in (0.0, 0.01, 0.44, 0.999):
+            size = r.integers(0, 900, n) * (r.random(n) < 0.9)
+            rows = pd.DataFrame({"size": size, "fraction": np.full(n, x), "chance": r.random(n), "key": [str(i) for i in range(n)]})
+            out = step(rows)
+            assert len(out) == n and sorted(out["key"]) == sorted(rows["key"])
+            assert ((out["fraction"] >= 0) & (out["fraction"] <= 1)).all()
+            assert ((out["fraction"] > 0) & (out["fraction"] < 1)).sum() <= 1
+            assert (out["size"] * out["fraction"]).sum() == pytest.approx((size * x).sum(), abs=1e-4)
+
+
+def test_rounding_is_fair():
+    r = np.random.default_rng(9)
+    size = np.array([50, 40, 30, 20, 10])
+    taken = np.zeros(5)
+    for _ in range(3000):
+        out = mixing._pool(pd.DataFrame({"size": size, "fraction": np.full(5, 0.4), "chance": r.random(5), "key": list("abcde")})).sort_values("key")
+        taken += out["fraction"].to_numpy()
+    assert np.abs(taken / 3000 - 0.4).max() < 0.04
