@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import text_of
+from quillstone.llm.common import saved, text_of
 
 
 @dataclass(frozen=True)
@@ -93,12 +93,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     joined = blobs.join(seen, "blob", "left")
     todo = F.array_except(F.array(*map(F.lit, wanted)), F.coalesce("done", F.array().cast("array<string>")))
     none = F.expr(f"CAST(array() AS array<{SPAN}>)")
+    # saved, so that the texts are scanned once, and so that Spark can split a blob with very many paths below
     scanned = joined.withColumn("todo", todo).select(
         "blob",
         "todo",
         F.coalesce("old", none).alias("old"),
         *(F.when(F.array_contains("todo", r.key), spans_of(F.col("body"), r)).otherwise(none).alias(f"new_{i}") for i, r in enumerate(rules)),
     )
+    scanned = saved(scanned)
     new = F.array(*(F.struct(F.lit(r.key).alias("rule"), F.col(f"new_{i}").alias("spans")) for i, r in enumerate(rules)))
     added = scanned.select("blob", F.explode(F.filter(new, lambda x: F.array_contains("todo", x["rule"]))).alias("x")).select("blob", "x.*")
     rank = F.create_map(*(F.lit(x) for item in order.items() for x in item))
