@@ -29,15 +29,27 @@ SHARD = 1024
 STEP = 1 << 14
 
 
-def fingerprint(text: str, width: int = WIDTH) -> int:
-    """The SimHash of the text's word shingles, A to Z lower-cased; 0 if there are no words."""
+def _hashed(text: str, width: int) -> np.ndarray:
+    """A hash for each word shingle, A to Z lower-cased; a text of fewer words is one shingle."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: exactly the ASCII letters and white space
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     body, width = b" ".join(parts), min(width, len(parts))
     ends = list(accumulate(len(p) + 1 for p in parts))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(body[s : e - 1], SEED) for s, e in zip([0, *ends], ends[width - 1 :])), np.uint64, len(parts) - width + 1)
+    return np.fromiter((digest(body[s : e - 1], SEED) for s, e in zip([0, *ends], ends[width - 1 :])), np.uint64, len(parts) - width + 1)
+
+
+def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, ascending."""
+    return np.unique(_hashed(text, width))
+
+
+def fingerprint(text: str, width: int = WIDTH) -> int:
+    """The SimHash of the text's word shingles, A to Z lower-cased; 0 if there are no words."""
+    hashes = _hashed(text, width)
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), STEP):
         part = hashes[i : i + STEP].astype("<u8").view(np.uint8).reshape(-1, 8)

@@ -60,6 +60,36 @@ def test_stages(spark, folder):
     assert all(abs(r.t - r.g) <= 80 for r in taken if r.g)
 
 
+def jaccard(a, b, width=5):
+    x, y = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in ((a or "").lower().split(), (b or "").lower().split()))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_dedup_goes_by_shingles(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(60):
+        words = prose(5000 + i, 120).split(" ")
+        rows.append((10 * i, " ".join(words)))
+        for k in range(1, 4):
+            for at in r.sample(range(120), r.randrange(1, 5)):
+                words[at] = f"new{i}x{k}x{at}"
+            rows.append((10 * i + k, " ".join(words)))
+    rows += [(700, "a b c"), (701, "A  b\tc"), (702, "a b"), (703, ""), (704, None), (None, prose(5000, 120)), (None, prose(8000, 120)), (None, prose(8000, 120) + " end")]
+    group = list(range(len(rows)))
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    assert sum(jaccard(rows[a][1], rows[b][1]) < 0.9 for a, b in near) > 30
+    for _ in range(8):
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in group}
+    want = [r for r, g in zip(rows, group, strict=True) if least[g] is None or r[0] == least[g]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1))
+    got = STAGES["simhash_near_dedup"](spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_stages_on_nothing(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
