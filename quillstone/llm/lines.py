@@ -140,10 +140,15 @@ def deduplicate(docs: DataFrame, least: int = LEAST, edits: int = 1) -> DataFram
     kept = firsts.select("id", "doc")
     if edits:
         kept = kept.join(_near(docs.select("doc_id", "text"), firsts, least), "id", "left_anti")
-    kept = kept.groupBy(F.col("doc").alias("_of")).agg(F.collect_list("id").alias("_kept"))
+    # each row gets the verdicts of its own lines only: one doc_id, or null, may hold any share of the rows
+    row = F.xxhash64(text_of("text"))
+    long = F.array_distinct(F.transform(F.filter(F.split(text_of("text"), "\n"), lambda x: F.length(x) >= least), _id))
+    own = docs.select(F.col("doc_id").alias("_of"), row.alias("_row"), F.explode(long).alias("_line"))
+    own = own.join(kept, (F.col("_line") == F.col("id")) & F.col("_of").eqNullSafe(F.col("doc")), "left_semi")
+    own = own.groupBy("_of", "_row").agg(F.collect_set("_line").alias("_kept"))
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    joined = docs.select(*rest).join(kept, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
+    joined = docs.select(*rest).join(own, F.col("doc_id").eqNullSafe(F.col("_of")) & (row == F.col("_row")), "left")
     hashes = F.transform(F.split(text_of("text"), "\n"), lambda x: F.xxhash64(x))
     joined = joined.withColumn("_new", F.arrow_udf(_rebuilt, "struct<text:string,n_lines:int,n_removed:int>").asNondeterministic()(text_of("text"), hashes, "_kept", F.lit(least)))
     new = {"text": F.when(F.col("text").isNotNull(), F.col("_new.text")), "n_lines": F.col("_new.n_lines"), "n_removed": F.col("_new.n_removed")}
-    return joined.withColumns(new).drop("_of", "_kept", "_new")
+    return joined.withColumns(new).drop("_of", "_row", "_kept", "_new")

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -180,6 +182,22 @@ def test_lines_of_random_edits(documents):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str) == brute_lines(rows)
 
 
+def test_lines_of_a_hot_doc_id_stay_with_their_rows(documents, monkeypatch):
+    rows = [(None, prose(600 + i, 6) + "\n" + prose(700 + i % 3, 6)) for i in range(30)] + [(1, prose(600, 6))] + [(2, prose(800, 5))] * 3
+    out = lines.deduplicate(documents(rows, id=1))
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str) == brute_lines(rows)
+    # each row carries the ids of its own kept lines, at most as many as it has lines
+    real = lines._rebuilt
+
+    def spy(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            assert all(len(kept.as_py() or ()) <= len(own.as_py()) for own, kept in zip(batch[1], batch[2], strict=True))
+            yield from real(iter([batch]))
+
+    monkeypatch.setattr(lines, "_rebuilt", spy)
+    lines.deduplicate(documents(rows)).collect()
+
+
 def test_lines_exact_only_and_bounds(documents):
     a = "a line that is long enough to count"
     got = {r.doc_id: r.text for r in lines.deduplicate(documents([(1, a), (2, a + "!"), (3, a)]), edits=0).collect()}
