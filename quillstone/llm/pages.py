@@ -20,8 +20,8 @@ _PIECES = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([a-zA-Z][^
 #: Elements whose content is plain characters up to their end tag.
 _RAW = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in ("script", "style", "textarea", "title", "iframe", "noscript")}
 _ATTRIBUTES = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-#: Elements whose content is never text of the page.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title head".split())
+#: Elements whose content is never text of the page. head is none of them, as its end tag may be left out: what may stand in it is void or silent.
+SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title".split())
 #: Elements that end a block where they begin and end.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -127,7 +127,11 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
         at = m.end()
         tag, attributes, closed = m.group(1), m.group(2), m.group(3)
         if skip:
-            if closed and closed.lower() == skip:
+            inner = tag.lower() if tag else ""
+            if inner in _RAW and inner not in (skip, "title") and not (attributes.endswith("/") and skip in ("svg", "math")):
+                shut = _RAW[inner].search(html, at)
+                at = shut.end() if shut else len(html)
+            elif closed and closed.lower() == skip:
                 depth -= 1
             elif tag and tag.lower() == skip and not attributes.endswith("/"):
                 depth += 1

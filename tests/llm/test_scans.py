@@ -131,6 +131,21 @@ def test_page_without_article():
     assert pages.main_text(html, tree) == "\n".join([body.strip()] * 2)
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<head><meta charset=utf-8><title>x</title>",
+        "<head><link rel=a href=b><script>// don't, if a<b\n</script></head>",
+        "<head><script>// don't, if a<b\n</script><title>it's</title>",
+        "<head></head><template><script>// don't, if a<b\n</script></template>",
+        "<head></head><svg><title>it</title><style/><script href='a'/></svg>",
+    ],
+)
+def test_head_hides_no_page(head):
+    page = f"<html>{head}<body><article><p>{'word ' * 40}</p><p>It's all here.</p></article>"
+    assert pages.main_text(page, pages.fit_tree()) == "word " * 39 + "word\nIt's all here."
+
+
 def test_tree_fits_its_table():
     tree = pages.fit_tree()
     assert np.mean([pages.decide(tree, r[:-1]) == r[-1] for r in pages.LABELLED]) >= 0.95
