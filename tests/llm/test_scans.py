@@ -172,10 +172,38 @@ def test_shard_search_prunes_and_stays_exact():
     vectors = np.floor(256 * np.concatenate([centre + 0.05 * r.normal(size=(1500, 16)), 0.2 * r.normal(size=(2500, 16))]))
     ids = r.permutation(4000).astype(np.int64)
     queries, own = vectors[:40], ids[:40]
-    rows, names, products = topk.Shard(ids, vectors).search(own, queries, 5)
+    none = np.full(40, -np.inf)
+    rows, names, products = topk.Bucket(ids, vectors).search(own, queries, none, 5)
     for q in range(40):
-        best = sorted((-float(queries[q] @ v), i) for v, i in zip(vectors, ids, strict=True) if i != own[q])[:5]
+        best = sorted((-int(queries[q] @ v), i) for v, i in zip(vectors, ids, strict=True) if i != own[q])[:5]
         assert [(-p, i) for p, i in zip(products[rows == q], names[rows == q], strict=True)] == best
+        none[q] = -best[-1][0]
+    again = topk.Bucket(ids, vectors).search(own, queries, none, 5)
+    assert all((x == y).all() for x, y in zip(again, (rows, names, products), strict=True))
+
+
+def test_top_products_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET_NUMBERS", 240)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "TOGETHER", 2)
+    r = np.random.default_rng(6)
+    vectors = np.floor(256 * r.normal(size=(400, 6)) * r.choice([0.2, 1, 4], (400, 1)))
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in topk.top_products(df, F.col("vec_id") % 50 == 0).collect()}
+    want = {}
+    for q in range(0, 400, 50):
+        best = sorted((-int(vectors[q] @ vectors[c]), c) for c in range(400) if c != q)[:5]
+        want |= {(q, n): (c, -s) for n, (s, c) in enumerate(best, 1)}
+    assert got == want
+
+
+def test_large_products_are_exact(spark):
+    # whole numbers whose products pass what float64 holds exactly; and some that pass a long
+    rows = [(0, [float(2**26 + 1), 1.0, 0.5]), (1, [float(2**19 + 1), 3.0, 0.0]), (2, [float(2**19 + 1), 2.0, 0.0]), (3, [float(2**19 + 1), 1.0, 1 / 256]), (4, [1e30, 0.0, 0.0]), (5, [-1e30, 0.0, 0.0])]
+    got = [(x.vec_id, x.score) for x in topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[0], whole[i], strict=True)))), i) for i in range(1, 6))
+    assert got == [(i, -s) for s, i in want] and got[0] == (4, 2**63 - 1) and got[-1] == (5, -(2**63))
 
 
 def test_mixture(documents):
