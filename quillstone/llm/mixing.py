@@ -3,10 +3,11 @@
 Every document of a source gets the same fractional number of copies. The whole part is taken; the fractions
 are paired, and mass moves at random between the two of a pair until one is 0 or 1. Moves are scaled by the
 documents' sizes, so a pair's expected number of copies and its words both stay as they were. In a chunk of a
-source the pairs are each document, the largest first, and the pool of all smaller ones, whose fractions stay
-equal; so what is left at the end is small. Each chunk of a
-source leaves at most one fraction, and these meet in a tree of further chunks. The last one of a source goes to
-the nearer whole number, so a source misses its target by half a document at most, but for the stop.
+source each pair is a document, the largest first, and the pool of all smaller ones, whose fractions stay
+equal; so what is left at the end is small, where pairs of single documents tend to leave a large one. Each
+chunk of a source leaves at most one fraction. These are paired with each other in a tree of further chunks, and
+the last one of a source is rounded at random: no document is favoured, and a source misses its target by
+less than the last document's words.
 """
 
 from __future__ import annotations
@@ -27,10 +28,23 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
+def text_id(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Weights that repeat over the sources in code point order, null last. One row a source."""
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (rank % len(cycle) + 1).cast("int")).cast("double"))
+    """Weights that repeat over the sources in code point order, null last. One row a source.
+
+    Sources are numbered in ranges, each after all sources of the ranges before.
+    """
+    order = F.col("source").asc_nulls_last()
+    dealt = saved(sources.repartitionByRange(max(1, -(-sources.count() // SIDE_ROWS)), order).withColumn("_range", F.spark_partition_id()))
+    counts = {r[0]: r[1] for r in dealt.groupBy("_range").count().collect()}  # one for each SIDE_ROWS sources
+    before = F.lit(0)
+    for p in counts:
+        before = F.when(F.col("_range") == p, sum(n for q, n in counts.items() if q < p)).otherwise(before)
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1 + before
+    return dealt.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (rank % len(cycle) + 1).cast("int")).cast("double")).drop("_range")
 
 
 def targets(sources: DataFrame, most: float) -> DataFrame:
@@ -111,8 +125,8 @@ def _uniform(*parts: Column) -> Column:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """Return doc_id, size, source_size, target, copies and taken for each row of docs; see `dealt`."""
-    return dealt(docs, **options).drop("source")
+    """Return doc_id, size, source_size, target, taken and copies for each row of docs; see `dealt`."""
+    return dealt(docs, **options).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def dealt(docs: DataFrame, most: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 11, key: str = "doc_id") -> DataFrame:
@@ -120,13 +134,19 @@ def dealt(docs: DataFrame, most: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3)
 
     Size is the number of words. copies is a whole number, at most `most`; taken = copies * size. A null text
     has size 0; a null source is a source of its own; rows that repeat, keys included, are rounded each for
-    itself; null keys are allowed. A source without words has target 0 and takes nothing. The same rows and
-    seed give the same result, however the rows are dealt out; rows alike in key, size and source may swap
-    their copies. An empty table gives an empty result. Other columns are ignored.
+    itself; null keys are allowed. Texts of any length are counted whole. Documents of equal size (ties) are
+    taken in a random order that the seed fixes. A source without words has target 0 and takes nothing. The same
+    rows and seed give the same result, however the rows are dealt out; rows alike in key, text and source may
+    swap their copies. An empty table gives an empty result. Other columns are ignored. `text_id`, a hash of the
+    text, tells apart rows that share a key.
     """
     kind = docs.schema[key].dataType  # keys go through pandas as text, where whole numbers with nulls would turn into floats
-    sized = saved(docs.select(F.col(key).cast("string").alias("key"), word_count(F.col("text")).alias("size"), F.col("source").alias("source")))
-    sources = cyclic_weights(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), cycle)
+    alike = docs.select(F.col(key).cast("string").alias("key"), word_count(F.col("text")).alias("size"), F.col("source").alias("source"), text_id(F.col("text")).alias("text_id"))
+    # rows alike are counted and numbered, so that they too fall into chunks of bounded size
+    alike = saved(alike.groupBy("key", "source", "size", "text_id").agg(F.count("*").alias("times")))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / CHUNK))).alias("block")
+    sized = alike.select("*", blocks).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK), F.col("times") - F.col("block") * CHUNK))).alias("nth"))
+    sources = cyclic_weights(alike.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.sum("times").alias("docs")), cycle)
     sources = saved(targets(saved(sources), most))
     goal = broadcast_if_small(sources.select(F.col("source").alias("of"), "source_size", "docs", "target"), SIDE_ROWS)
     copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
@@ -136,10 +156,10 @@ def dealt(docs: DataFrame, most: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3)
         .withColumn("each", copies)
         .withColumn("base", F.floor(F.col("each") + F.lit(NEAR)))
         .select(
-            "key", "size", "source", "source_size", "target", "base",
+            "key", "size", "source", "text_id", "source_size", "target", "base",
             F.greatest(F.col("each") - F.col("base"), F.lit(0.0)).alias("fraction"),
-            _uniform(F.col("key"), F.lit(seed)).alias("chance"),
-            F.pmod(F.xxhash64("key", F.lit(seed + 1)), chunks).alias("chunk"),
+            _uniform(F.col("key"), F.col("text_id"), F.col("block"), F.col("nth"), F.lit(seed)).alias("chance"),
+            F.pmod(F.xxhash64("key", "text_id", "block", F.lit(seed + 1)), chunks).alias("chunk"),
         )
     )
     most_chunks = max(1, -(-(sources.agg(F.max("docs")).first()[0] or 0) // CHUNK))
@@ -154,23 +174,32 @@ def dealt(docs: DataFrame, most: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3)
             break
         most_chunks = -(-most_chunks // FAN_IN)
         level = level.filter(open_).withColumn("chunk", F.floor(F.col("chunk") / FAN_IN)).withColumn("chance", _uniform(F.col("chance"), F.lit(most_chunks)))
-    extra = F.when((F.col("fraction") > 0) & (F.col("fraction") < 1), F.col("fraction") >= 0.5).otherwise(F.col("fraction") >= 1).cast("long")
+    extra = (F.col("fraction") > _uniform(F.col("chance"), F.lit(seed))).cast("long")  # 0 and 1 stay what they are
     whole = F.least(F.col("base") + extra, F.lit(int(most))).cast("long")
-    return done.select(F.col("key").cast(kind).alias(key), "source", "size", "source_size", "target", whole.alias("copies"), (whole * F.col("size")).alias("taken"))
+    return done.select(F.col("key").cast(kind).alias(key), "source", "text_id", "size", "source_size", "target", whole.alias("copies"), (whole * F.col("size")).alias("taken"))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that a mixture takes at least once, with size, source_size, target, copies and taken.
 
-    Rows alike in doc_id, source and size take the copies dealt to them in order of their text. Columns of
-    docs named like a result are replaced.
+    Rows alike in doc_id, source and text take the copies dealt to them in any order. Columns of docs named like
+    a result are replaced; all others stay, whatever their names.
     """
     results = ["size", "source_size", "target", "copies", "taken"]
-    same = [F.xxhash64("doc_id").alias("_k"), F.xxhash64(F.lit(1), F.col("size"), F.col("source"), F.col("doc_id")).alias("_s")]
-    lots = dealt(docs, **options).select(*same, "source_size", "target", "copies").groupBy("_k", "_s")
-    lots = lots.agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sort_array(F.collect_list("copies")).alias("_lot"))
+    lots = dealt(docs, **options).select(F.struct("doc_id", "source", "text_id").alias("k"), "source_size", "target", "copies").groupBy("k")
+    lots = lots.agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count("*").alias("rows"))
     rest = [c for c in docs.columns if c.lower() not in results]
-    rows = docs.select(*rest, word_count(F.col("text")).alias("size")).select("*", *same)
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_k", "_s").orderBy("text")))
-    out = rows.join(lots, ["_k", "_s"]).withColumn("copies", F.element_at("_lot", F.col("_n"))).filter("copies > 0")
-    return out.select(*rest, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    row = F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row")
+    rows = docs.select(row, word_count(F.col("text")).alias("size"), F.struct("doc_id", "source", text_id(F.col("text")).alias("text_id")).alias("k"))
+    # copies of rows alike differ by one at most: so many of them take one more; they are numbered only where that is not all or none
+    rows = rows.join(lots, rows["k"].eqNullSafe(lots["k"])).drop(lots["k"]).withColumn("more", F.col("all") - F.col("least") * F.col("rows"))
+    alone = rows.filter("more = 0").withColumn("copies", F.col("least"))
+    salt = F.spark_partition_id()
+    mixed = saved(rows.filter("more > 0").withColumn("salt", salt))
+    ahead = mixed.groupBy("k", "salt").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(W.partitionBy("k").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ahead = ahead.select(F.col("k").alias("k2"), F.col("salt").alias("salt2"), "ahead")
+    nth = F.row_number().over(W.partitionBy("k", "salt").orderBy("size"))
+    mixed = mixed.join(ahead, mixed["k"].eqNullSafe(ahead["k2"]) & (mixed["salt"] == ahead["salt2"])).withColumn("nth", nth + F.col("ahead"))
+    mixed = mixed.withColumn("copies", F.col("least") + (F.col("nth") <= F.col("more")).cast("long"))
+    out = alone.unionByName(mixed.select(*alone.columns)).filter("copies > 0")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in rest), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

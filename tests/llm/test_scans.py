@@ -233,7 +233,8 @@ def test_large_products_are_exact(spark):
 
 def test_mixture(documents):
     rows = [(i, "w " * (1 + i % 7), ["a", "b", "c", "d"][i % 4] if i % 40 else None) for i in range(4000)] + [(9, "x y", "a"), (9, "x y", "a"), (None, "z", "b"), (5000, None, "c"), (5001, "", "e")]
-    docs = documents(rows, size="clash", chunk=1)
+    docs = documents(rows, size="clash", chunk=1, _k=1, row="clash", copies=7)
+    assert mixing.mix(docs).columns == ["doc_id", "size", "source_size", "target", "taken", "copies"]
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
     total = sum(len((t or "").split()) for _, t, *_ in rows)
@@ -251,6 +252,29 @@ def test_mixture(documents):
     assert mixing.mix(documents([])).count() == 0 and mixing.taken(documents([])).count() == 0
 
 
+def test_mixture_of_alike_rows(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rows = [(None, "one two three", "a")] * 700 + [(1, "four five", "b")] * 90 + [(2, "x " * i, "b") for i in range(1, 40)]
+    docs = documents(rows)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.target, []).append(r.taken)
+    assert all(abs(sum(t) - target) <= 39 for target, t in by.items())
+    assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, got))
+    out = mixing.taken(docs).collect()
+    assert sum(r.taken for r in out) == sum(r.taken for r in got) and len(out) == sum(r.copies > 0 for r in got)
+
+
+def test_weights_over_ranges_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SIDE_ROWS", 3)
+    names = [*(f"s{i:02}" for i in range(20)), None, "", "\U0001f600", "\uffee"]
+    got = {r.source: r.weight for r in mixing.cyclic_weights(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long")).collect()}
+    order = [*sorted((n for n in names if n is not None)), None]
+    assert got == {n: float(i % 3 + 1) for i, n in enumerate(order)}
+
+
 def test_targets_stop_and_pass_on(spark):
     s = spark.createDataFrame([("a", 10, 1.0), ("b", 100, 2.0), ("c", 1000, 3.0), (None, 0, 1.0)], "source string, source_size long, weight double")
     got = {r.source: r.target for r in mixing.targets(s, 3.0).collect()}
