@@ -21,6 +21,11 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 

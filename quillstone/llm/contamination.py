@@ -1,10 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
-The short items are the indexed side. An item's sketch is its shingles with the smallest hashes; items are
-partitioned by size, and each size has its own sketch length and its own least number of hits. A document
-that holds the wanted share of an item lacks at most a known number of its shingles, so it cannot lack more
-of the sketch: asking for the rest of the sketch misses nothing. Candidates are verified by the exact share
-of the item's shingles that the document holds.
+The short sets are sketched and the long ones are asked: an item's sketch is its shingles with the smallest
+hashes, and what counts is how many of them a document has. (Sketches of both sides compare a few hundred hashes
+of a long document with an item's few dozen, and find nothing.) Items are partitioned by size, and each size
+has its own sketch length, least number of hits and least size of document. A document that holds the wanted
+share of an item lacks at most a known number of its shingles, so it cannot lack more of the sketch: asking for
+the rest of the sketch misses nothing. Candidates are verified by the exact share of the item's shingles that
+the document holds.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ascii_lower, broadcast_if_small, pinned, text_of, words
+from quillstone.llm.common import ascii_lower, broadcast_if_small, pinned, saved, text_key, text_of, words
 
 WIDTH, SHARE, SPARE = 5, 0.8, 3
 SKETCH_ROWS = 2_000_000
@@ -30,73 +32,82 @@ def _hashes(tokens: Column, width: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get(tokens, i + k) for k in range(width)))))
 
 
+def _words(text: str = "text") -> Column:
+    return words(ascii_lower(text_of(text)))
+
+
+def _item_key(tokens: Column) -> Column:
+    return F.sha2(F.array_join(tokens, " "), 256)
+
+
 def _items(items: DataFrame, width: int, share: float) -> DataFrame:
-    """item_id, its width (less than asked for if the item has fewer words), shingles and size."""
-    made = items.select("item_id", words(ascii_lower(text_of("text"))).alias("w")).filter(F.size("w") > 0)
+    """One row for each different item: key, width (less than asked for if it has fewer words), shingles, size and what may lack."""
+    made = items.select(_words().alias("w")).filter(F.size("w") > 0).select(_item_key(F.col("w")).alias("item"), "w").dropDuplicates(["item"])
     made = made.withColumn("width", F.least(F.size("w"), F.lit(width)))
     made = made.withColumn("shingles", F.array_distinct(shingles(F.col("w"), F.col("width"))))
     spare = F.floor(F.size("shingles") * F.lit(1 - share) + F.lit(1e-9)).cast("int")
-    return made.select("item_id", "width", "shingles", F.size("shingles").alias("n"), spare.alias("may_lack"))
+    return made.select("item", "width", "shingles", F.size("shingles").alias("n"), spare.alias("may_lack"))
 
 
 def _sketches(items: DataFrame) -> DataFrame:
     """One row for each shingle in an item's sketch: the smallest hashes, enough of them for the item's size."""
     split = F.transform("shingles", lambda s: F.struct(F.xxhash64(F.xxhash64(*[s])).alias("order"), F.split(s, " ").alias("w")))
-    row = items.select("item_id", "width", "n", "may_lack", F.least("n", F.col("may_lack") + 1 + SPARE).alias("length"), split.alias("all"))
+    row = items.select("item", "width", "n", "may_lack", F.least("n", F.col("may_lack") + 1 + SPARE).alias("length"), split.alias("all"))
     row = row.withColumn("kept", F.slice(F.array_sort("all"), F.lit(1), F.col("length")))
-    return row.select("item_id", "width", "n", (F.col("length") - F.col("may_lack")).alias("need"), F.explode("kept.w").alias("w"))
+    return row.select("item", "width", "n", (F.col("length") - F.col("may_lack")).alias("need"), F.explode("kept.w").alias("w"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
-    """Add _leaks to docs: an array of (item_id, hits, size) of the items that a document contains.
-
-    An item is contained if at least `share` of its distinct word shingles occur in the document; A to Z are
-    lower-cased. Items of fewer than `width` words are one shingle, which must occur; items without words
-    are never contained. Null texts are empty. Rows that share a doc_id, null included, are candidates
-    together and verified each by its own text. Items alike are all reported. Repeated rows stay.
-    """
-    items = _items(items, width, share)
+def found_in(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
+    """text (a key of the whole text), item (a key of its words), hits, size: the items that each different text of docs contains."""
+    items = saved(_items(items, width, share))
     widths = sorted(r[0] for r in items.select("width").distinct().limit(width).collect())
-    tokens = words(ascii_lower(text_of("text")))
-    read = pinned(docs.select("doc_id", "text"), "w", tokens).drop("text")
+    texts = docs.select(text_of("text").alias("text"))
     sketch, found = _sketches(items), None
     for k in widths:  # one for nearly all benchmarks, `width` at most
-        probe = sketch.filter(F.col("width") == k).select("item_id", "n", "need", F.xxhash64(*(F.get("w", F.lit(i)) for i in range(k))).alias("h"))
-        each = read.select("doc_id", _hashes(F.col("w"), k).alias("hs"))
+        probe = sketch.filter(F.col("width") == k).select("item", "n", "need", F.xxhash64(*(F.get("w", F.lit(i)) for i in range(k))).alias("h"))
+        read = pinned(texts.select(text_key(F.col("text")).alias("key"), "text"), "w", _words())
+        each = read.select("key", _hashes(F.col("w"), k).alias("hs"))
         # outer: for a plain explode Spark adds a filter on the array, which would build the array twice
-        each = each.select("doc_id", F.size("hs").alias("has"), F.explode_outer("hs").alias("h"))
+        each = each.select("key", F.size("hs").alias("has"), F.explode_outer("hs").alias("h"))
         hits = each.join(broadcast_if_small(probe, SKETCH_ROWS), "h").filter(F.col("has") >= F.col("n") * F.lit(share) - F.lit(1e-9))
-        hits = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("hit"), F.max("need").alias("need")).filter("hit >= need")
+        hits = hits.groupBy("key", "item").agg(F.size(F.collect_set("h")).alias("hit"), F.max("need").alias("need")).filter("hit >= need")
         found = hits if found is None else found.unionByName(hits)
-    none = F.expr("CAST(array() AS array<struct<item_id:bigint,hits:int,size:int>>)")
     if found is None:
-        return docs.withColumn("_leaks", none)
-    full = broadcast_if_small(items.select("item_id", "width", "shingles", "n"), SKETCH_ROWS // 100)
-    listed = found.select("doc_id", "item_id").join(full, "item_id")
-    listed = listed.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("item_id", "width", "shingles", "n")).alias("_asked"))
-    joined = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
-
-    own = {k: f"_own{k}" for k in widths}
-    joined = pinned(joined, "_w", F.when(F.col("_asked").isNotNull(), tokens))
+        return docs.sparkSession.createDataFrame([], "text struct<k1:bigint,k2:bigint>, item string, hits int, size int")
+    found = saved(found.select("key", "item"))
+    listed = found.join(broadcast_if_small(items.select("item", "width", "shingles", "n"), SKETCH_ROWS // 100), "item")
+    listed = listed.groupBy("key").agg(F.collect_list(F.struct("item", "width", "shingles", "n")).alias("asked"))
+    few = broadcast_if_small(found.select(F.col("key").alias("few")).distinct(), SKETCH_ROWS // 4)
+    asked = texts.join(few, text_key(texts["text"]) == few["few"], "left_semi").select(text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
+    joined = pinned(asked.join(listed, "key"), "w", _words())
+    own = {k: f"own{k}" for k in widths}
     for k, name in own.items():
-        joined = pinned(joined, name, F.array_distinct(shingles(F.col("_w"), k)))
+        joined = pinned(joined, name, F.array_distinct(shingles(F.col("w"), k)))
 
     def verify(asked: Column) -> Column:
         pick = F.coalesce(*(F.when(asked["width"] == k, F.col(name)) for k, name in own.items()))
-        hit = F.size(F.array_intersect(asked["shingles"], pick))
-        return F.struct(asked["item_id"].alias("item_id"), hit.alias("hits"), asked["n"].alias("size"))
+        return F.struct(asked["item"].alias("item"), F.size(F.array_intersect(asked["shingles"], pick)).alias("hits"), asked["n"].alias("size"))
 
-    checked = F.filter(F.transform("_asked", verify), lambda x: x["hits"] >= x["size"] * F.lit(share) - F.lit(1e-9))
-    return pinned(joined, "_leaks", F.coalesce(checked, none)).drop("_of", "_asked", "_w", *own.values())
+    checked = F.filter(F.transform("asked", verify), lambda x: x["hits"] >= x["size"] * F.lit(share) - F.lit(1e-9))
+    return saved(joined.select(F.col("key").alias("text"), F.explode(checked).alias("x")).select("text", "x.*"))
 
 
 def contained(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """One row for each document and item that it contains: doc_id, item_id, hits, size, containment."""
-    out = leaks(docs.select("doc_id", "text"), items, **options)
-    out = out.filter(F.size("_leaks") > 0).select("doc_id", F.explode("_leaks").alias("x")).select("doc_id", "x.*")
-    return out.withColumn("containment", F.round(F.col("hits") / F.col("size"), 6)).distinct()
+    """One row for each document and item that it contains: doc_id, item_id, hits, size, containment.
+
+    An item is contained if at least `share` (0.8) of its distinct shingles of `width` (5) words occur in the
+    document; A to Z are lower-cased. Items of fewer words are one shingle, which must occur; items without words
+    are never contained. Null texts are empty. Rows are judged each by its own text, of any length; different
+    texts once. Items alike, with equal or null ids too, are reported each by its id, and rows alike once.
+    Ids may be of any type. Empty tables give an empty result; other columns are ignored.
+    """
+    found = found_in(docs, items, **options)
+    ids = items.select("item_id", _words().alias("w")).filter(F.size("w") > 0).select("item_id", _item_key(F.col("w")).alias("item"))
+    out = docs.select("doc_id", text_key(text_of("text")).alias("text")).join(found, "text").join(ids, "item")
+    return out.select("doc_id", "item_id", "hits", "size", F.round(F.col("hits") / F.col("size"), 6).alias("containment")).distinct()
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that contain no item, unchanged."""
-    return leaks(docs, items, **options).filter(F.size("_leaks") == 0).drop("_leaks")
+    """The documents that contain no item (see `contained`), unchanged; their columns may have any names."""
+    bad = broadcast_if_small(found_in(docs, items, **options).select(F.col("text").alias("bad")).distinct(), SKETCH_ROWS // 4)
+    return docs.join(bad, text_key(text_of(docs["text"])) == bad["bad"], "left_anti")

@@ -59,7 +59,7 @@ def test_contamination(spark, documents):
     half = " ".join(item.split()[:15])
     items = spark.createDataFrame([(1, item), (2, "Two words"), (3, ""), (4, None), (5, item), (6, "a b c d e f")], "item_id long, text string")
     rows = [(1, "head " + item.upper() + " tail"), (2, one_off), (3, half), (4, None), (5, ""), (6, "has two\twords in it"), (7, "clean text here"), (None, item), (8, "a b c d e f " * 50)]
-    docs = documents(rows, w="clash", hs=1)
+    docs = documents(rows, w="clash", hs=1, _of=1, _w=1, _leaks=1, key="k", bad=1, few=2)
     got = {(r.doc_id, r.item_id, r.hits, r.size) for r in contamination.contained(docs, items).collect()}
     assert got == {(1, 1, 26, 26), (1, 5, 26, 26), (2, 1, 25, 26), (2, 5, 25, 26), (6, 2, 1, 1), (None, 1, 26, 26), (None, 5, 26, 26), (8, 6, 2, 2)}
     kept = contamination.without_leaks(docs, items)
@@ -68,6 +68,15 @@ def test_contamination(spark, documents):
     assert contamination.contained(documents([]), items).count() == 0
 
 
+def test_contamination_with_ids_of_any_kind(spark, documents):
+    item = " ".join(f"w{i}" for i in range(30))
+    items = spark.createDataFrame([("x", item), (None, "only four words here"), ("x", "a b c d e f"), ("y", item), (None, item)], "item_id string, text string")
+    rows = [(1, "say " + item), (2, "well only  FOUR words here"), (3, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e g"), (5, "long " * 100_000 + item)]
+    got = {(r.doc_id, r.item_id, r.hits, r.size) for r in contamination.contained(documents(rows), items).collect()}
+    assert got == {(d, i, 26, 26) for d in (1, 5) for i in ("x", "y", None)} | {(2, None, 1, 1), (3, "x", 2, 2)}
+    assert [r.doc_id for r in contamination.without_leaks(documents(rows), items).collect()] == [4]
+
+
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
