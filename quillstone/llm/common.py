@@ -26,17 +26,42 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
 
 
+def columns_of(docs: DataFrame, *without: str) -> list[str]:
+    """The names of the columns but for some, whatever their case."""
+    return [c for c in docs.columns if c.lower() not in without]
+
+
+def held(columns: list[str]) -> Column:
+    """The columns as one, named row: whatever they are called, they clash with no other."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+
+
+def released(columns: list[str], **new: Column) -> list[Column]:
+    """The columns that `held` took, some of them replaced."""
+    return [new.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
-    A folder of this machine is used only where the session names none, as in a local test.
+    Where the session names none, a folder of this machine is used in local mode, as in a test; on a cluster
+    the other machines could not see it, and that is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more, wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage through the checkpoint folder."""
     checkpoint_folder(df.sparkSession)

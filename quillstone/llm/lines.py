@@ -15,22 +15,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import broadcast_if_small, saved, text_of
+from quillstone.llm.common import broadcast_if_small, columns_of, held, released, saved, text_key, text_of
+from quillstone.llm.hashing import ODD, mix
 
 #: Shorter lines are always kept: they repeat by chance.
 LEAST = 20
-#: So many ids of candidate lines (16 bytes each) are broadcast at most.
+#: So many ids of candidate lines (24 bytes each) are broadcast at most.
 SIDE_ROWS = 1_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = np.uint64(ODD | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def neighbourhood(line: str) -> np.ndarray:
     """Hashes of the line and of every text with one character deleted, in order of its place.
 
@@ -38,11 +33,11 @@ def neighbourhood(line: str) -> np.ndarray:
     """
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(0, len(codes) - 1), _BASE)])
-    sums = np.r_[np.uint64(0), np.add.accumulate(_mix(codes + np.uint64(1)) * powers[: len(codes)])]
+    sums = np.r_[np.uint64(0), np.add.accumulate(mix(codes + np.uint64(1)) * powers[: len(codes)])]
     whole = sums[-1]
     deleted = sums[:-1] + (whole - sums[1:]) * _BACK
     lengths = np.r_[np.uint64(len(codes)), np.full(len(codes), max(0, len(codes) - 1), np.uint64)]
-    return _mix(np.r_[whole, deleted] ^ _mix(lengths)).view(np.int64)
+    return mix(np.r_[whole, deleted] ^ mix(lengths)).view(np.int64)
 
 
 def _neighbourhoods(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -53,31 +48,20 @@ def _neighbourhoods(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _rebuilt(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    """text, hashes of its lines, hashes of the lines that it keeps, least length."""
-    for texts, hashes, kept, least in batches:
+    """text, places of the lines that it keeps, least length. Of equal lines in a text the first stays."""
+    for texts, kept, least in batches:
         out = []
         bound = least[0].as_py() if len(least) else 0
-        for text, own, keep in zip(texts, hashes, kept, strict=True):
-            lines, open_, left = text.as_py().split("\n"), set(keep.as_py() or ()), []
-            for line, h in zip(lines, own.as_py(), strict=True):
-                if len(line) < bound:
-                    left.append(line)
-                elif h in open_:
-                    open_.discard(h)
+        for text, keep in zip(texts, kept, strict=True):
+            lines, open_, seen, left = text.as_py().split("\n"), set(keep.as_py() or ()), set(), []
+            for at, line in enumerate(lines):
+                if len(line) < bound or at in open_ and line not in seen:
                     left.append(line)
+                    seen.add(line)
             out.append({"text": "\n".join(left), "n_lines": len(lines), "n_removed": len(lines) - len(left)})
         yield pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int32()), ("n_removed", pa.int32())]))
 
 
-def _id(line: Column) -> Column:
-    return F.xxhash64(line)
-
-
-def _check(line: Column) -> Column:
-    """A second hash: lines are equal if both are."""
-    return F.xxhash64(F.lit(7), line)
-
-
 def _halves(line: Column) -> Column:
     """Keys of the front and the back half; lines of n and n + 1 characters share the half of n."""
     n = F.length(line)
@@ -95,7 +79,7 @@ def _near(docs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
     asked = keyed.join(shared, "key", "left_semi").select("id").distinct()
     asked = saved(asked.join(firsts.select("id", "doc"), "id").select("id", F.col("doc").alias("_of")))
     texts = docs.select("doc_id", F.posexplode_outer(F.split(text_of("text"), "\n")).alias("at", "line")).filter(F.length("line") >= least)
-    texts = texts.withColumn("id", _id(F.col("line")))
+    texts = texts.withColumn("id", text_key(F.col("line")))
     # the lines asked for are few next to all; within the bound they go to the texts, and else both are shuffled
     few = broadcast_if_small(asked, SIDE_ROWS)
     texts = texts.join(few, (texts["id"] == few["id"]) & texts["doc_id"].eqNullSafe(few["_of"]), "left_semi")
@@ -128,27 +112,29 @@ def deduplicate(docs: DataFrame, least: int = LEAST, edits: int = 1) -> DataFram
     Earlier is by doc_id, null last, then by place in the text. Lines are parted by line feeds, white space
     counts, and lines are judged on the input, removed ones included. The text is replaced by the lines that
     stay, and n_lines and n_removed are added; columns with these names are replaced. A null text stays null
-    and counts as one empty line. Rows that share a doc_id count as one document and keep the same lines.
+    and counts as one empty line. Rows that share a doc_id count as one document and keep the same lines, repeated
+    rows too; so do those without one. Ties cannot be: no two lines have one place. Lines are told apart by 128
+    bits. Texts and lines of any length are judged whole. An empty table gives an empty result. Other columns may
+    have any names.
     """
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
     split = docs.select(F.col("doc_id").alias("doc"), F.explode_outer(F.split(text_of("text"), "\n")).alias("line")).filter(F.length("line") >= least)
-    halves = split.select("doc", _id(F.col("line")).alias("id"), _check(F.col("line")).alias("check"), _halves(F.col("line")).alias("h"))
+    halves = split.select("doc", text_key(F.col("line")).alias("id"), _halves(F.col("line")).alias("h"))
     keys = [F.get("h", F.lit(i)).alias(f"k{i}") for i in range(4)] if edits else []
-    firsts = halves.select("doc", "id", "check", *keys).groupBy("id", "check").agg(F.min("doc").alias("doc"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4 if edits else 0)))
+    firsts = halves.select("doc", "id", *keys).groupBy("id").agg(F.min("doc").alias("doc"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4 if edits else 0)))
     firsts = saved(firsts)
     kept = firsts.select("id", "doc")
     if edits:
         kept = kept.join(_near(docs.select("doc_id", "text"), firsts, least), "id", "left_anti")
     # each row gets the verdicts of its own lines only: one doc_id, or null, may hold any share of the rows
-    row = F.xxhash64(text_of("text"))
-    long = F.array_distinct(F.transform(F.filter(F.split(text_of("text"), "\n"), lambda x: F.length(x) >= least), _id))
-    own = docs.select(F.col("doc_id").alias("_of"), row.alias("_row"), F.explode(long).alias("_line"))
-    own = own.join(kept, (F.col("_line") == F.col("id")) & F.col("_of").eqNullSafe(F.col("doc")), "left_semi")
-    own = own.groupBy("_of", "_row").agg(F.collect_set("_line").alias("_kept"))
-    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    joined = docs.select(*rest).join(own, F.col("doc_id").eqNullSafe(F.col("_of")) & (row == F.col("_row")), "left")
-    hashes = F.transform(F.split(text_of("text"), "\n"), lambda x: F.xxhash64(x))
-    joined = joined.withColumn("_new", F.arrow_udf(_rebuilt, "struct<text:string,n_lines:int,n_removed:int>").asNondeterministic()(text_of("text"), hashes, "_kept", F.lit(least)))
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("_new.text")), "n_lines": F.col("_new.n_lines"), "n_removed": F.col("_new.n_removed")}
-    return joined.withColumns(new).drop("_of", "_row", "_kept", "_new")
+    row = F.struct("doc_id", text_key(text_of("text")).alias("text"))
+    own = docs.select(row.alias("of"), F.posexplode_outer(F.split(text_of("text"), "\n")).alias("at", "line")).filter(F.length("line") >= least)
+    own = own.select("of", "at", text_key(F.col("line")).alias("line"))
+    own = own.join(kept, (F.col("line") == F.col("id")) & F.col("of.doc_id").eqNullSafe(F.col("doc")), "left_semi")
+    own = own.groupBy("of").agg(F.collect_set("at").alias("kept"))
+    rest = columns_of(docs, "n_lines", "n_removed")
+    joined = docs.select(held(rest), text_of("text").alias("body"), row.alias("own")).join(own, F.col("own").eqNullSafe(F.col("of")), "left")
+    joined = joined.withColumn("new", F.arrow_udf(_rebuilt, "struct<text:string,n_lines:int,n_removed:int>").asNondeterministic()("body", "kept", F.lit(least)))
+    text = F.when(F.col("row").getField("text").isNotNull(), F.col("new.text"))
+    return joined.select(*released(rest, text=text), "new.n_lines", "new.n_removed")

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -118,11 +119,50 @@ def test_repeats_across_many_documents(documents):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_repeats(rows)
 
 
+def test_repeats_with_hot_anchors(documents):
+    passage = prose(77, 30)
+    rows = [(i, prose(2000 + i, 12) + passage + prose(3000 + i, 12)) for i in range(50)] + [(None, passage), (None, passage), (60, "ab" * 400), (61, "c" + "ab" * 300)]
+    texts = documents(rows)
+    got = repeats.without_repeats(texts, hot=8).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_repeats(rows)
+
+
+def maximal(strings, span):
+    """Every string of at least span bytes that occurs twice and can be made longer on neither side."""
+    out = {}
+    for n in range(span, max(map(len, strings)) + 1):
+        found = {}
+        for i, s in enumerate(strings):
+            for p in range(len(s) - n + 1):
+                found.setdefault(s[p : p + n], []).append((i, p))
+        for text, places in found.items():
+            left = {strings[i][p - 1] if p else (i, p) for i, p in places}
+            right = {strings[i][p + n] if p + n < len(strings[i]) else (i, p) for i, p in places}
+            if len(places) > 1 and len(left) > 1 and len(right) > 1:
+                out[text] = sorted(places)
+    return out
+
+
+@given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=6), st.integers(3, 20))
+@settings(max_examples=60, deadline=None)
+def test_intervals_are_the_maximal_repeats(strings, span):
+    strings = [s.encode() for s in strings]
+    ends = np.cumsum([len(s) for s in strings])
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    group, place, depth, string = repeats.repeats(data, ends, np.arange(len(ends)), span)
+    got = {}
+    for g, p, d, s in zip(group, place, depth, string, strict=True):
+        at = int(p - (ends[s] - len(strings[s])))
+        got.setdefault((g, strings[s][at : at + d]), []).append((int(s), at))
+    assert {k[1]: sorted(v) for k, v in got.items()} == maximal(strings, span) and len(got) == len(maximal(strings, span))
+
+
 def test_repeats_keep_text_and_empty_table(documents):
     rows = [(1, prose(1, 30)), (2, "head " + prose(1, 30) + " tail")]
     got = {r.doc_id: bytes(r.kept) for r in repeats.without_repeats(documents(rows), keep_text=True).collect()}
     assert got == {1: rows[0][1].encode(), 2: b"head  tail"} or got[1] == rows[0][1].encode() and len(got[2]) < 15
     assert repeats.without_repeats(documents([])).count() == 0
+    assert [r.n_removed for r in repeats.without_repeats(documents([(1, "short"), (2, "short"), (3, None)])).collect()] == [0, 0, 0]
     with pytest.raises(ValueError):
         repeats.without_repeats(documents(rows), span=20)
 
@@ -165,7 +205,7 @@ def test_lines_match_brute_force(documents):
         (5, ""), (6, None), (7, prose(1, 10) + "\n" + prose(1, 10)), (8, "é" * 25 + "\n" + "é" * 24 + "\n" + "é" * 12 + "x" + "é" * 12), (None, a + "\nonly here, in a null document"),
         (9, "x" * 3000 + "\n" + "x" * 2999), (10, "The same line with an error here\nThe same line with an eror here\nthe same line with an eror here"),
     ]
-    got = lines.deduplicate(documents(rows, n_lines=7, id=1)).collect()
+    got = lines.deduplicate(documents(rows, n_lines=7, id=1, _of=1, row=2, own=3, _kept=4)).collect()
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str) == brute_lines(rows)
 
 
@@ -186,12 +226,12 @@ def test_lines_of_a_hot_doc_id_stay_with_their_rows(documents, monkeypatch):
     rows = [(None, prose(600 + i, 6) + "\n" + prose(700 + i % 3, 6)) for i in range(30)] + [(1, prose(600, 6))] + [(2, prose(800, 5))] * 3
     out = lines.deduplicate(documents(rows, id=1))
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str) == brute_lines(rows)
-    # each row carries the ids of its own kept lines, at most as many as it has lines
+    # each row carries the places of its own kept lines, at most as many as it has lines
     real = lines._rebuilt
 
     def spy(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in batches:
-            assert all(len(kept.as_py() or ()) <= len(own.as_py()) for own, kept in zip(batch[1], batch[2], strict=True))
+            assert all(len(kept.as_py() or ()) <= len(text.as_py().split("\n")) for text, kept in zip(batch[0], batch[1], strict=True))
             yield from real(iter([batch]))
 
     monkeypatch.setattr(lines, "_rebuilt", spy)
