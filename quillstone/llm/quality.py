@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import text_of
+from quillstone.llm.common import held, released, text_of
 
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 BITS = 18
@@ -84,12 +84,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Follow = Follow(), epochs:
 
     At most `most` labelled ids are used, by the order of a hash. They are dealt to `shards` models, whose
     weights are averaged: 2^BITS + 1 numbers at most, the last being the bias. Null labels are left out; a
-    doc_id with several labels counts with the largest; rows that repeat a doc_id are all used.
+    doc_id with several labels counts with the largest; of the texts that share a doc_id the one with the least
+    hash is used, so the bound holds for texts too.
     """
     usable = labels.filter((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("quality").isNotNull())
     usable = usable.groupBy("doc_id").agg(F.max("quality").alias("label")).withColumn("order", F.xxhash64("doc_id"))
     picked = usable.orderBy("order", "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "order", "label").agg(F.min_by(text_of("text"), F.xxhash64("text")).alias("text"))
     rows = rows.select(F.pmod("order", F.lit(shards)).alias("shard"), "order", "label", token_hashes(F.col("text")).alias("hashes"))
     parts = rows.groupBy("shard").applyInPandas(lambda d: train(d, settings, epochs), "bucket long, weight double")
     mean = parts.groupBy("bucket").agg((F.sum("weight") / shards).alias("weight")).toPandas()
@@ -126,7 +128,11 @@ def score(docs: DataFrame, model: np.ndarray | None, name: str = "score") -> Dat
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document, by a model fitted on the labels."""
+    """doc_id, held_out, score and predicted of every document, by a model fitted on the labels.
+
+    Texts of any length are scored whole, null ones as empty. Rows that repeat score alike. Other columns are
+    ignored. An empty table gives an empty result.
+    """
     out = score(docs.select("doc_id", "text"), fit(docs, labels))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -135,4 +141,7 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, unchanged; all of them if there is nothing to learn from."""
     model = fit(docs, labels)
-    return docs if model is None else score(docs, model, "_quality").filter(F.col("_quality") >= threshold).drop("_quality")
+    if model is None:
+        return docs
+    rows = score(docs.select(held(docs.columns), "text"), model).filter(F.col("score") >= threshold)
+    return rows.select(*released(docs.columns))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import saved, text_of
+from quillstone.llm.common import columns_of, saved, text_of
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     null text is an empty blob; rows with equal text share one blob, which is scanned once; equal rows stay
     equal rows. A rule whose version has gone up is scanned again everywhere. The first result has every
     column of `versions` but the text, and blob and spans (ordered by start, then as the rules are listed).
-    An empty table gives two empty results.
+    Ledger rows that repeat a pair count once. Texts of any length are scanned whole. Columns named like a
+    result, in any case, are replaced. An empty table gives two empty results.
     """
     spark = versions.sparkSession
     order = {r.kind: i for i, r in enumerate(rules)}
@@ -87,6 +88,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     wanted = [r.key for r in rules]
     seen = (
         seen.filter(F.col("rule").isin(wanted))
+        .dropDuplicates(["blob", "rule"])
         .groupBy("blob")
         .agg(F.collect_set("rule").alias("done"), F.flatten(F.collect_list("spans")).alias("old"))
     )
@@ -108,7 +110,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     keyed = F.transform(every, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     hits = scanned.select("blob", ordered.alias("spans")).filter(F.size("spans") > 0)
-    paths = versions.select(*(c for c in versions.columns if c not in (text, "blob", "spans")), F.sha2(body, 256).alias("blob"))
+    paths = versions.select(*columns_of(versions, text.lower(), "blob", "spans"), F.sha2(body, 256).alias("blob"))
     return paths.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", none)), added
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import columns_of, held, released, saved
+
 ALLOW, BLOCK = "allow", "block"
-#: A rule table within this many rows is held by every task; `judge` refuses a larger one.
-MAX_RULES = 1_000_000
+_FOUND = "struct<labels:int,length:int,allow:int,rule:string,verdict:string>"
+#: A trie holds rules of so many characters and so many rules at most; more rules are judged in several rounds.
+RULE_CHARS, RULE_COUNT = 64 << 20, 1_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -46,9 +49,10 @@ class UrlTrie:
             for segment in whole:
                 node = node.setdefault(segment, {})
             tails = node.setdefault(None, {})
-            tails[tail] = (host + path, verdict)
+            tails[tail] = (host.count("."), len(path), int(verdict == ALLOW), host + path, verdict)
 
-    def match(self, host: str, path: str) -> tuple[str | None, str | None]:
+    def match(self, host: str, path: str) -> tuple[int, int, int, str, str] | None:
+        """Host labels, path length, whether allow, rule and verdict of the best rule that fits."""
         trees, node = [], self.hosts
         for label in reversed(host.split(".")):
             node = node.get(label)
@@ -68,28 +72,50 @@ class UrlTrie:
                 tree, at = tree.get(segments[at]), at + 1
             if found:
                 return found
-        return None, None
+        return None
 
 
-def judge(urls: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = ALLOW) -> DataFrame:
-    """Add host, path, rule and verdict to each row.
+def _chunks(rules: list[tuple[str, str, str]] | DataFrame) -> Iterator[list[tuple[str, str, str]]]:
+    """The rules in lists within the bounds of a trie; a table is read through them, never whole."""
+    chunk, size = [], 0
+    for rule in rules.select("host", "path", "verdict").toLocalIterator() if isinstance(rules, DataFrame) else rules:
+        chunk.append(tuple(rule))
+        size += len(rule[0]) + len(rule[1])
+        if size >= RULE_CHARS or len(chunk) >= RULE_COUNT:
+            yield chunk
+            chunk, size = [], 0
+    yield chunk
 
-    rules: (host, path, verdict). The whole trie goes to every task, so at most MAX_RULES are taken. A url
-    that is null, empty or without `://` has an empty host and path, fits no rule and gets the default.
-    Repeated rows are judged alike. Columns of the input named like a result are replaced.
-    """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules are more than {MAX_RULES}")
-    trie = urls.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
-    @F.pandas_udf("rule string, verdict string")
-    def verdicts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        match = trie.value.match
+def _matches(trie):
+    """Of a broadcast trie: what it finds for host and path."""
+
+    @F.arrow_udf(_FOUND)
+    def matches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        names = ("labels", "length", "allow", "rule", "verdict")
+        kind = pa.struct([*((n, pa.int32()) for n in names[:3]), *((n, pa.string()) for n in names[3:])])
         for hosts, paths in batches:
-            found = [match(h, p) for h, p in zip(hosts, paths, strict=True)]
-            yield pd.DataFrame({"rule": [r for r, _ in found], "verdict": [v or default for _, v in found]}, dtype=object)
+            found = (trie.value.match(h, p) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True))
+            yield pa.array([f and dict(zip(names, f, strict=True)) for f in found], kind)
+
+    return matches
 
-    kept = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict", "_judged")]
-    out = urls.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    out = out.withColumn("_judged", verdicts("host", "path"))
-    return out.select(*kept, "host", "path", "_judged.rule", "_judged.verdict")
+
+def judge(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, url: str = "url", default: str = ALLOW) -> DataFrame:
+    """Add host, path, rule and verdict to each row.
+
+    rules: (host, path, verdict), as a list or a table; no nulls. A trie of at most RULE_CHARS characters goes to
+    every task; more rules are dealt to several tries, one after the other, and the best rule of all counts. A url
+    that is null, empty or without `://` has an empty host and path, fits no rule and gets the default. Urls of
+    any length are judged whole. Repeated rows are judged alike; an empty table gives an empty result. Ties between
+    rules go to `allow`. Columns of the input named like a result are replaced.
+    """
+    kept = columns_of(urls, "host", "path", "rule", "verdict")
+    out = urls.select(held(kept), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.lit(None).cast(_FOUND).alias("best"))
+    first = True
+    for chunk in _chunks(rules):
+        found = _matches(urls.sparkSession.sparkContext.broadcast(UrlTrie(chunk)))
+        # saved between rounds, so that a task holds one trie at a time
+        out = (out if first else saved(out)).withColumn("best", F.greatest("best", found("host", "path")))
+        first = False
+    return out.select(*released(kept), "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
