@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import saved
+from quillstone.llm.common import broadcast_if_small, saved
+
+#: So many least nodes are broadcast at most.
+SIDE_ROWS = 500_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Join each node's neighbours (larger ones if `large`, else smaller) to the least node of its star."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    turned = both.join(least, "a")
-    moved = turned.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else turned.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    # saved: the join is then no part of the grouping, and Spark can split a node with very many neighbours
+    least = saved(least)
+    turned = both.join(broadcast_if_small(least, SIDE_ROWS), "a")
+    moved = turned.filter("b > a") if large else turned
+    moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = moved if large else moved.unionByName(least.select("a", F.col("m").alias("b")))
     return moved.filter("a > b").distinct()
 
 

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import saved
-from quillstone.llm.graphs import components
+from quillstone.llm.common import broadcast_if_small, saved
+from quillstone.llm.graphs import SIDE_ROWS, components
 
 BITS, WIDTH, RADIUS, SEED = 64, 4, 4, 42
 #: Blocks of bits; a shard agrees on all but RADIUS of them.
@@ -186,7 +186,8 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = saved(each.groupBy("print").agg(F.min("doc_id").alias("least")))
     roots = groups(prints.select("print"), radius)
     rooted = prints.join(roots, prints["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # saved: the join is then no part of the grouping, and Spark can split a large component
+    least = broadcast_if_small(saved(rooted.groupBy("root").agg(F.min("least").alias("component_id"))), SIDE_ROWS)
     ids = rooted.join(least, "root").select("print", "component_id")
     return each.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -197,5 +198,5 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Of rows that share the kept doc_id, and of a component without doc_ids, all stay.
     """
     found = classes(docs, radius)
-    dropped = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_of")).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_of")), "left_anti")
+    dropped = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("gone")).distinct()
+    return docs.join(dropped, F.struct(docs["doc_id"]).eqNullSafe(dropped["gone"]), "left_anti")
