@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstone.llm import queries
+from quillstone.llm import copies, queries
 
 SF = "/root/testdata/sf0.001"
 ORDER = ["quality_classifier", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "source_mixture"]
@@ -65,7 +65,8 @@ def jaccard(a, b, width=5):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-def test_near_dedup_goes_by_shingles(spark):
+@pytest.mark.parametrize("part", [1024, 4])
+def test_near_dedup_goes_by_shingles(spark, monkeypatch, part):
     r = random.Random(4)
     rows = []
     for i in range(60):
@@ -84,7 +85,8 @@ def test_near_dedup_goes_by_shingles(spark):
             group[a] = group[b] = min(group[a], group[b])
     least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in group}
     want = [r for r, g in zip(rows, group, strict=True) if least[g] is None or r[0] == least[g]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1))
+    monkeypatch.setattr(copies, "PART", part)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("node", "gone", "_of", "_text", "text_id")})
     got = STAGES["simhash_near_dedup"](spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
