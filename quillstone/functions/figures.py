@@ -63,6 +63,10 @@ def shown(value: Column, unit: Column) -> Column:
     return F.when(unit == "USD", usd).when(unit == "USD/shares", each).when(unit == "shares", shares).otherwise(F.call_function("format_number", value, F.lit("#,##0.###############")))
 
 
+# Endings of an evaluated number and what they multiply it by.
+EVALUATED_SCALES = {"b": 1e9, "billion": 1e9, "m": 1e6, "million": 1e6, "k": 1e3, "thousand": 1e3, "t": 1e12, "trillion": 1e12}
+
+
 def evaluated_numbers(text: Column, floor: float | None = None) -> Column:
     """The numbers of an evaluated text; a B, M, K or T, alone or at the head of its word, scales them.
 
@@ -72,9 +76,9 @@ def evaluated_numbers(text: Column, floor: float | None = None) -> Column:
 
     def value(raw: Column) -> Column:
         s = F.trim(F.regexp_replace(F.lower(raw), r"[,$]", ""))
-        scale = (
-            F.when(s.rlike("(b|billion)$"), 1e9).when(s.rlike("(m|million)$"), 1e6).when(s.rlike("k$"), 1e3).when(s.rlike("(t|trillion)$"), 1e12).otherwise(1.0)
-        )
+        scale = F.lit(1.0)
+        for ending, by in reversed(EVALUATED_SCALES.items()):
+            scale = F.when(F.endswith(s, F.lit(ending)), by).otherwise(scale)
         return F.regexp_extract(s, r"^\d+\.?\d*", 0).try_cast("double") * scale
 
     numbers = F.filter(F.transform(found, value), lambda v: v.isNotNull())

@@ -66,6 +66,20 @@ METRIC_ALIASES: dict[str, str] = {
 DERIVED_METRICS = {"free cash flow": ("operating cash flow", "capital expenditure")}
 FALLBACK_METRICS = {"total liabilities": ("total liabilities and equity", "total equity")}
 
+# Where a filing is found; the pattern of an exact figure's id.
+FILING_URL = "https://www.sec.gov/Archives/edgar/data/%s/%s/"
+FACT_ID = r"xbrl:([A-Z][A-Z.\-]{0,5}):([\w-]+:\w+):(FY|Q[1-4])(\d{4})"
+
+# What a ticker and a form may look like.
+TICKER = r"^[A-Za-z][A-Za-z.\-]{0,5}$"
+FORM = r"^[0-9A-Za-z][0-9A-Za-z\-/]{0,9}$"
+
+# Bounds of a request for vectors, of a text in it, of a text in a vector's record, of an excerpt.
+REQUEST_TOKENS, REQUEST_ITEMS, EMBEDDED_CHARS, RECORD_CHARS, EXCERPT_CHARS = 150_000, 2048, 6000, 1000, 300
+
+# Characters of arguments in a log record, and the days that it is kept.
+LOGGED_CHARS, LOG_DAYS = 500, 90
+
 # Orders of preference.
 NAMESPACES = ("us-gaap", "ifrs-full", "dei")
 UNITS = ("USD", "USD/shares", "shares", "pure")

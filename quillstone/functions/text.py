@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.functions.reference import MAX_PASSAGE, STOPWORDS, TRUNCATED
+from quillstone.functions.reference import EXCERPT_CHARS, MAX_PASSAGE, STOPWORDS, TRUNCATED
 
 LEAST_BLOCK = 40
 CHILD_WORDS, PARENT_WORDS = 400, 1500
@@ -77,3 +77,22 @@ def without_stopwords(words: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return (F.length(text) / 2).cast("int") + 1
+
+
+def tidied(text: Column) -> Column:
+    """A table's text for reading: cells parted by bars, without the numbers of its columns, blanks and repeats in a row."""
+    cells = F.transform(F.split(F.translate(blank_if_null(text), "\u00a0", " "), r"\s*\|\s*|\n"), lambda c: F.trim(c))
+    numbered = F.aggregate(cells, F.lit(0), lambda n, c: F.when((n >= 0) & (c == n.cast("string")), n + 1).when(n >= 0, -n - 1).otherwise(n))
+    first = F.when(numbered >= 0, numbered).otherwise(-numbered - 1)
+    filled = F.filter(F.slice(cells, first + 1, F.greatest(F.size(cells) - first, F.lit(0))), lambda c: c != "")
+    return F.array_join(F.filter(filled, lambda c, i: (i == 0) | (c != F.get(filled, i - 1))), " | ")
+
+
+def excerpt(text: Column, found: Column, most: int = EXCERPT_CHARS, before: int = 120) -> Column:
+    """Part of a tidied text: from a little before the first of the figures found that it holds, else its beginning."""
+    clean = tidied(text)
+    number = lambda f: F.regexp_extract(f, r"\d[\d,.]*", 0)
+    places = F.transform(found, lambda f: F.coalesce(F.nullif(F.position(number(f), clean), F.lit(0)), F.position(F.replace(number(f), F.lit(",")), clean)))
+    at = F.coalesce(F.get(F.filter(F.zip_with(found, places, lambda f, p: F.when(number(f) != "", p).otherwise(0)), lambda p: p > 0), F.lit(0)) - 1, F.lit(0))
+    start = F.greatest(at - before, F.lit(0))
+    return F.concat(F.when(start > 0, "...").otherwise(""), F.substring(clean, start + 1, F.lit(most)))

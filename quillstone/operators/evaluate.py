@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.figures import declines, evaluated_numbers, near, precision, states_truth
+from quillstone.functions.figures import covers, declines, evaluated_numbers, evidence_numbers, near, precision, states_truth
+from quillstone.functions.questions import document_name
+from quillstone.operators.verify import check_text
 
 CUTS = (1, 5, 10, 20)
 
@@ -74,3 +76,41 @@ def metric_means(scores: DataFrame, names: list[str]) -> DataFrame:
     """Means that leave out missing and NaN scores, with the number scored."""
     value = lambda c: F.when(~F.isnan(c), F.col(c))
     return scores.agg(*(F.round(F.avg(value(c)), 6).alias(c) for c in names), *(F.count(value(c)).alias(f"{c}_scored") for c in names), F.count("*").alias("n"))
+
+
+def summary(answers: DataFrame) -> DataFrame:
+    """One row over answers (answer, truth, sources): refusals, true and wrong numbers, and how many state no figure that the sources lack."""
+    verdict, refused = states_truth(F.col("answer"), F.col("truth")), declines(F.col("answer"))
+    a = check_text(answers).withColumns({"_v": verdict, "_r": refused, "_missing": F.size("not_found")})
+    return a.agg(
+        F.count("*").alias("n"), F.count_if("_r").alias("refused"), F.count("_v").alias("scorable"), F.count_if("_v").alias("true_numbers"),
+        F.round(F.coalesce(F.avg(F.col("_v").cast("double")), F.lit(0.0)), 6).alias("true_rate"),
+        F.count_if(F.col("_v") & ~F.col("_r")).alias("true_in_answers"), F.count_if(~F.col("_v") & ~F.col("_r")).alias("wrong_in_answers"),
+        F.count_if(F.col("_missing") == 0).alias("zero_not_found"), F.round(F.avg((F.col("_missing") == 0).cast("double")), 6).alias("share_zero_not_found"), F.sum("_missing").alias("total_not_found"),
+    )
+
+
+def scorable(questions: DataFrame, cover: DataFrame) -> DataFrame:
+    """The questions (ticker, form, year, truth) about a filing that is held, with a number in their truth."""
+    held = has_filing(questions, cover).filter("has_filing").drop("has_filing")
+    return held.filter(F.size(evaluated_numbers(F.col("truth"), 1.5)) > 0)
+
+
+def with_evidence(questions: DataFrame, documents: DataFrame, cover: DataFrame) -> DataFrame:
+    """The questions about a filing that is held, with the evidence (array of texts) that the benchmark gives for them."""
+    held = has_filing(questions, cover).filter("has_filing").drop("has_filing")
+    return held.join(documents.select("question", "evidence").dropDuplicates(["question"]), "question").filter(F.size("evidence") > 0)
+
+
+def evidence_hits(ranked: DataFrame, items: DataFrame) -> DataFrame:
+    """n and hit@k: whether one of the first k chunks (qid, rank, text) holds the numbers of an item's evidence (qid, evidence)."""
+    wanted = evidence_numbers(F.flatten(F.transform("evidence", lambda e: evaluated_numbers(e))))
+    each = ranked.join(items.select("qid", wanted.alias("_wanted")), "qid")
+    relevant = each.select("qid", "rank", covers(evidence_numbers(evaluated_numbers(F.col("text"))), F.col("_wanted")).alias("relevant"))
+    return hits(relevant, items).drop("mrr")
+
+
+def by_ticker(names: DataFrame) -> DataFrame:
+    """ticker and its wanted filings (year, quarter, form), of document names (name, ticker); other names are left out."""
+    parsed = names.select("ticker", document_name(F.col("name")).alias("d")).filter("d.form IS NOT NULL")
+    return parsed.groupBy("ticker").agg(F.sort_array(F.collect_set("d")).alias("wanted"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.stem import stemmed
@@ -28,11 +31,58 @@ def statistics(posted: DataFrame, units: DataFrame, key: str = "chunk_id") -> tu
     return lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def write_index(units: DataFrame, path: str, key: str = "chunk_id", stem: bool = True) -> None:
-    """Write postings, lengths and corpus statistics; a reader sees either the old files or the new ones."""
+class Index(NamedTuple):
+    """Postings (term, key, tf), lengths (key, dl) and one row of corpus statistics; whether terms are stems."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    corpus: DataFrame
+    stem: bool
+
+
+def made(units: DataFrame, key: str = "chunk_id", stem: bool = True) -> Index:
+    """An index of the units that is not written anywhere."""
+    posted = postings(units, key, stem)
+    return Index(posted, *statistics(posted, units, key), stem)
+
+
+def stemmed_terms(asked: DataFrame) -> DataFrame:
+    """The terms (qid, term) of questions as an index of stems holds them: parted at underscores, folded and stemmed."""
+    parts = asked.select("qid", F.explode(F.filter(F.split("term", "_"), lambda t: t != "")).alias("term"))
+    return parts.select("qid", stemmed("term").alias("term")).distinct()
+
+
+def write_index(units: DataFrame, path: str, key: str = "chunk_id", stem: bool = True) -> str:
+    """Write a new version of the index, sorted by term, beside those that are there, and return its name.
+
+    The corpus statistics are written last, and a reader takes the version of the newest ones: it sees a whole
+    version, the former one until then. Older versions stay until `forget` removes them.
+    """
+    version = uuid.uuid4().hex
     posted = postings(units, key, stem)
-    posted.repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    posted = units.sparkSession.read.parquet(f"{path}/postings")
+    posted.repartitionByRange("term").sortWithinPartitions("term", key).write.parquet(f"{path}/postings/version={version}")
+    posted = units.sparkSession.read.parquet(f"{path}/postings/version={version}")
     lengths, corpus = statistics(posted, units, key)
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    lengths.write.parquet(f"{path}/lengths/version={version}")
+    corpus.withColumns({"stem": F.lit(stem), "made": F.current_timestamp(), "version": F.lit(version)}).coalesce(1).write.mode("append").parquet(f"{path}/corpus")
+    return version
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """The newest whole version of an index; a search for few terms reads few of its row groups."""
+    corpus = spark.read.parquet(f"{path}/corpus")
+    newest = corpus.orderBy(F.desc("made"), "version").first()
+    read = lambda part: spark.read.parquet(f"{path}/{part}/version={newest['version']}")
+    return Index(read("postings"), read("lengths"), corpus.filter(F.col("version") == newest["version"]).select("n", "avgdl"), newest["stem"])
+
+
+def lookup_tables(units: DataFrame, path: str, key: str = "chunk_id") -> None:
+    """Write what answers without a search: the texts by key, sorted so that a few ids read few row groups, and the coverage."""
+    held = units.dropDuplicates([key])
+    held.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/units")
+    units.groupBy("ticker", "form", "filed").agg(F.count("*").alias("chunks")).write.mode("overwrite").parquet(f"{path}/coverage")
+
+
+def by_ids(spark: SparkSession, path: str, ids: list[str], key: str = "chunk_id") -> DataFrame:
+    """The units with these ids; unknown ids are absent."""
+    return spark.read.parquet(f"{path}/units").filter(F.col(key).isin(ids))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.functions.reference import CACHE_HOURS, CALLS_A_DAY, CALLS_A_MINUTE, TOKENS_A_DAY
+from quillstone.functions.reference import CACHE_HOURS, CALLS_A_DAY, CALLS_A_MINUTE, LOG_DAYS, LOGGED_CHARS, TOKENS_A_DAY
 
 
 def call_limits(calls: DataFrame, a_minute: int = CALLS_A_MINUTE, a_day: int = CALLS_A_DAY) -> DataFrame:
@@ -30,22 +33,34 @@ def call_limits(calls: DataFrame, a_minute: int = CALLS_A_MINUTE, a_day: int = C
     return c.select("id", "ts", (in_minute & in_day).alias("allowed"), reason.alias("reason"), retry.alias("retry_after"))
 
 
+def _walked(rows: DataFrame, key: str, order: list[str], walk: Callable, schema: str) -> DataFrame:
+    """Walk through each key's rows in order, holding only what the walk itself keeps of one key.
+
+    A key's rows are dealt to one task, since each step depends on those before, but they stream through it.
+    """
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(walk, schema)
+
+
 def budget(requests: DataFrame, cap: int = TOKENS_A_DAY) -> DataFrame:
     """requests (id, ts, tokens): granted while a day's granted tokens stay within the cap, in order of (ts, id).
 
-    A rejected request does not count, so this is a fold over each day and not a running sum.
+    A rejected request does not count, so this is a walk through each day and not a running sum.
     """
-    day = F.date_trunc("day", "ts")
-    rows = requests.groupBy(day.alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "id", "tokens"))).alias("r"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("CAST(array() AS array<struct<id:bigint,tokens:bigint,granted:boolean,used:bigint>>)").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        ok = acc["used"] + r["tokens"] <= cap
-        used = F.when(ok, acc["used"] + r["tokens"]).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), r["tokens"].alias("tokens"), ok.alias("granted"), used.alias("used")))).alias("out"))
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        day, used = None, 0
+        for f in frames:
+            granted, after = [], []
+            for d, tokens in zip(f["day"], f["tokens"], strict=True):
+                day, used = (day, used) if d == day else (d, 0)
+                granted.append(used + tokens <= cap)
+                used += tokens if granted[-1] else 0
+                after.append(used)
+            yield pd.DataFrame({"day": f["day"], "id": f["id"], "tokens": f["tokens"], "granted": granted, "used": after})
 
-    folded = rows.withColumn("out", F.aggregate("r", start, step, lambda acc: acc["out"]))
-    return folded.select("day", F.explode("out").alias("o")).select("day", "o.*")
+    rows = requests.select(F.date_trunc("day", "ts").alias("day"), "ts", "id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return _walked(rows, "day", ["ts", "id"], walk, f"day {kinds['day']}, id {kinds['id']}, tokens long, granted boolean, used long")
 
 
 def cache_key(tool: Column, arguments: Column, version: str) -> Column:
@@ -59,17 +74,85 @@ def cache_hits(calls: DataFrame, hours: int = CACHE_HOURS) -> DataFrame:
 
     Only clean results are stored, and only by calls that were no hits; those form a chain in each key.
     """
-    rows = calls.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ts", "id", "clean"))).alias("r"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("stored"), F.expr("CAST(array() AS array<struct<id:bigint,hit:boolean>>)").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        now = r["ts"].cast("timestamp")
-        hit = F.coalesce(F.unix_seconds(now) - F.unix_seconds(acc["stored"]) < hours * 3600, F.lit(False))
-        stored = F.when(~hit & r["clean"], now).otherwise(acc["stored"])
-        return F.struct(stored.alias("stored"), F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), hit.alias("hit")))).alias("out"))
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, stored = None, None
+        for f in frames:
+            hits = []
+            for k, now, clean in zip(f["key"], f["at"], f["clean"], strict=True):
+                key, stored = (key, stored) if k == key else (k, None)
+                hits.append(stored is not None and now - stored < hours * 3600)
+                stored = now if clean and not hits[-1] else stored
+            yield pd.DataFrame({"key": f["key"], "id": f["id"], "hit": hits})
+
+    rows = calls.select("key", "ts", "id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.coalesce("clean", F.lit(False)).alias("clean"))
+    return _walked(rows, "key", ["ts", "id"], walk, f"key string, id {calls.schema['id'].dataType.simpleString()}, hit boolean")
+
+
+def guarded(calls: DataFrame, version: str, a_minute: int = CALLS_A_MINUTE, a_day: int = CALLS_A_DAY, hours: int = CACHE_HOURS) -> DataFrame:
+    """calls (id, ts, tool, arguments, clean): the shared limits first, then the cache, then the work itself.
+
+    Adds rate_limited, reason, retry_after, cache_hit and worked. A call that is turned away asks no cache and
+    stores nothing.
+    """
+    limits = call_limits(calls.select("id", "ts"), a_minute, a_day).drop("ts")
+    passed = calls.join(limits.filter("allowed").select("id"), "id").withColumn("key", cache_key(F.col("tool"), F.col("arguments"), version))
+    hits = cache_hits(passed.select("id", "ts", "key", "clean"), hours).select("id", "hit")
+    out = calls.join(limits, "id").join(hits, "id", "left").withColumn("cache_hit", F.coalesce("hit", F.lit(False)))
+    return out.select(*calls.columns, (~F.col("allowed")).alias("rate_limited"), "reason", "retry_after", "cache_hit", (F.col("allowed") & ~F.col("cache_hit")).alias("worked"))
+
+
+def log_records(calls: DataFrame) -> DataFrame:
+    """One record for each call: tool, arguments, latency_ms, passages and figures counted, tickers, outcome, expiry.
+
+    calls: ts, tool, arguments, latency_ms, passages (array of structs with ticker), figures (ticker -> array of
+    figures), cache_hit, rate_limited, error. Null results count as empty.
+    """
+    none = F.array().cast("array<string>")
+    named = F.coalesce(F.transform("passages", lambda p: p["ticker"]), none)
+    with_figures = F.coalesce(F.map_keys(F.map_filter("figures", lambda k, v: F.size(v) > 0)), none)
+    counts = F.coalesce(F.aggregate(F.map_values("figures"), F.lit(0), lambda n, v: n + F.greatest(F.size(v), F.lit(0))), F.lit(0))
+    return calls.select(
+        "ts", "tool", F.substring("arguments", 1, LOGGED_CHARS).alias("arguments"), "latency_ms", F.coalesce(F.greatest(F.size("passages"), F.lit(0)), F.lit(0)).alias("n_passages"), counts.alias("n_figures"),
+        F.sort_array(F.array_distinct(F.filter(F.concat(named, with_figures), lambda t: t.isNotNull() & (t != "")))).alias("tickers"),
+        "cache_hit", "rate_limited", "error", (F.col("ts") + F.expr(f"INTERVAL {LOG_DAYS} DAYS")).alias("expires_at"),
+    )
+
+
+def append_log(records: DataFrame, path: str) -> None:
+    """Add records to the log, a folder a day, so that what has expired can go by folder."""
+    records.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def live_log(spark: SparkSession, path: str, now: str) -> DataFrame:
+    """The records that have not expired at this time; expired days are not read."""
+    log = spark.read.parquet(path).filter(F.col("day") >= F.date_sub(F.to_date(F.lit(now)), LOG_DAYS))
+    return log.filter(F.col("expires_at") > F.lit(now).cast("timestamp")).drop("day")
+
+
+def hourly_cost(log: DataFrame, gigabytes: float, price: float) -> DataFrame:
+    """hour, calls and cost: the seconds that calls took, times memory, times the price of a gigabyte second. log: ts, latency (ms)."""
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss")
+    return log.groupBy(hour.alias("hour")).agg(F.count("*").alias("calls"), F.round(F.sum("latency") / 1000 * gigabytes * price, 9).alias("cost"))
+
+
+def registry(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
+    """A keyed table brought up to date: new values where there are any, else the old ones."""
+    names = [c for c in old.columns if c != key]
+    fresh = new.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in names if c in new.columns))
+    out = old.join(fresh, F.col(key) == F.col("_key"), "full")
+    return out.select(F.coalesce(key, "_key").alias(key), *(F.coalesce(f"_{c}", c).alias(c) if c in new.columns else F.col(c) for c in names))
+
+
+def pending(items: DataFrame, done: DataFrame, key: str = "question") -> DataFrame:
+    """The items that a run which was broken off has still to do."""
+    return items.join(done.select(key).distinct(), key, "left_anti")
+
 
-    folded = rows.withColumn("out", F.aggregate("r", start, step, lambda acc: acc["out"]))
-    return folded.select("key", F.explode("out").alias("o")).select("key", "o.*")
+def resumed(items: DataFrame, done: DataFrame, key: str = "question", order: str = "at") -> DataFrame:
+    """Every item in its order with what was saved for it; what is not done yet is null. Of several results the first counts."""
+    first = done.dropDuplicates([key])
+    return items.join(first, key, "left").orderBy(order)
 
 
 def call_windows(log: DataFrame, minutes: int = 15, least: int = 3) -> DataFrame:

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.functions import questions as Q
+from quillstone.functions.reference import FORM, TICKER
 from quillstone.operators import chunks, facts, index, pages, retrieve, service, verify
 
 KEYWORD_ONLY = "Dense search is not available; results are by keyword only."
-NO_MATCH = "No passage matches the filters."
+NO_MATCH = "No passage matches; try the wording of the filings, or another year."
+OVER_BUDGET = "Ranked by shared words: the day's budget for ranking is used up, so passages may fit less well."
+OTHER_YEARS = "No filing matches %s; these passages are from other years."
+CANDIDATES = 40
 
 
 def check_text(value: str, most: int, name: str) -> str:
@@ -28,9 +34,14 @@ def check_list(values: list, least: int, most: int, name: str) -> list:
 
 
 def check_ticker(value: str) -> str:
-    value = value.strip().upper()
-    if not re.fullmatch(r"[A-Z0-9.\-]{1,10}", value):
+    if not re.fullmatch(TICKER, value.strip()):
         raise ValueError(f"{value!r} is not a ticker")
+    return value.strip().upper()
+
+
+def check_form(value: str) -> str:
+    if not re.fullmatch(FORM, value):
+        raise ValueError(f"{value!r} is not a form")
     return value
 
 
@@ -46,58 +57,116 @@ def require_covered(cover: DataFrame, ticker: str) -> str:
     return ticker
 
 
-def search_filings(units: DataFrame, question: str, ticker: str | None = None, year: int | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, k: int = 40, top: int = 5, key: str = "chunk_id") -> DataFrame:
-    """The best passages for a question over units (key, ticker, form, filed, text).
+def search_filings(
+    units: DataFrame, question: str, ticker: str | None = None, year: int | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
+    k: int = CANDIDATES, top: int = 5, key: str = "chunk_id", loaded: index.Index | None = None, cover: DataFrame | None = None, embed: Callable | None = None, rank: Callable | None = None, budget: int | None = None, stage: str = "reranked",
+) -> DataFrame:
+    """The best passages for a question over units (key, ticker, form, filed, text), with a note on how they were found.
 
-    Company and years come from the arguments, else from the question; a filter that was read from the question
-    and finds nothing is dropped. Without vectors the search is by keyword, and the note says so.
+    Company and years come from the arguments, else from the question. If the filters leave nothing, keyword and
+    dense search are done without them; passages of another company than an explicit one are never given. Without
+    vectors the search is by keyword. loaded: an index from `index.load`; without it one is made of the units.
+    embed: question -> vector. rank: (hits, questions, top, key) -> ranked hits, in place of shared words; it is used
+    while its cost in tokens is within the budget. cover: rows of coverage that an explicit company must be among.
+    stage: "candidates" gives all that was retrieved, before ranking.
     """
     spark = units.sparkSession
+    if stage not in ("candidates", "reranked"):
+        raise ValueError(f"{stage!r} is no stage")
     check_text(question, 500, "question")
+    if ticker and cover is not None:
+        require_covered(cover, check_ticker(ticker))
     asked = spark.createDataFrame([(0, question)], "qid int, question string").withColumn("question", Q.cleaned(F.col("question")))
-    row = asked.select(Q.company(F.col("question")).alias("t"), Q.years(F.col("question")).alias("y")).first()
+    row = asked.select("question", Q.company(F.col("question")).alias("t"), Q.years(F.col("question")).alias("y")).first()
     named = [check_year(year)] if year is not None else row["y"]
     symbol = check_ticker(ticker) if ticker else row["t"]
-    allowed = units.select(F.lit(0).alias("qid"), key, "ticker", "filed")
-    if symbol:
-        allowed = allowed.filter(F.col("ticker") == symbol)
-    if named:
-        allowed = allowed.filter(F.col("filed").between(f"{min(named)}-01-01", f"{max(named) + 1}-12-31"))
-    posted = index.postings(units, key)
-    lengths, corpus = index.statistics(posted, units, key)
+    window = (f"{min(named)}-01-01", f"{max(named) + 1}-12-31") if named else None
+    found = loaded or index.made(units, key)
     terms = retrieve.question_terms(asked.withColumn("question", Q.expanded(F.col("question"))))
-    only = allowed.select("qid", key) if symbol or named else None
-    hits = retrieve.bm25(terms, posted, lengths, corpus, k, key, only)
-    dense = None
-    if vectors is not None and query_vector is not None:
-        v = vectors if only is None else vectors.join(only.select(key), key, "left_semi")
-        dense = retrieve.cosine(spark.createDataFrame([(0, query_vector)], "qid int, v array<double>"), v, k, key)
-    if only is not None and not ticker:
-        hits = retrieve.relaxed(hits, retrieve.bm25(terms, posted, lengths, corpus, k, key)).drop("relaxed")
-    merged = retrieve.interleaved(hits, dense if dense is not None else hits.limit(0), key)
+    terms = index.stemmed_terms(terms) if found.stem else terms
+    if vectors is not None and query_vector is None and embed is not None:
+        query_vector = embed(row["question"])
+    dense = vectors is not None and query_vector is not None
+
+    def candidates(only: DataFrame | None) -> list:
+        """At most 2 k rows (qid, key, pos): with them here, what follows reads the index no more."""
+        hits = retrieve.bm25(terms, found.postings, found.lengths, found.corpus, k, key, only)
+        near = hits.limit(0)
+        if dense:
+            v = vectors if only is None else vectors.join(only.select(key), key, "left_semi")
+            near = retrieve.cosine(spark.createDataFrame([(0, query_vector)], "qid int, v array<double>"), v, k, key)
+        return retrieve.interleaved(hits, near, key).collect()
+
+    only = None
+    if symbol or window:
+        only = units.select(F.lit(0).alias("qid"), key, "ticker", "filed")
+        only = only.filter(F.col("ticker") == symbol) if symbol else only
+        only = (only.filter(F.col("filed").between(*window)) if window else only).select("qid", key)
+    merged = candidates(only) or (candidates(None) if only is not None else [])
+    merged = spark.createDataFrame(merged, units.select(F.lit(0).alias("qid"), key, F.lit(0).alias("pos")).schema)
     full = retrieve.with_full_text(merged, units, key).withColumn("text", pages.repaired(F.coalesce("text", F.lit(""))))
-    full = retrieve.without_interim(full, Q.wants_annual(F.lit(question), F.array(*map(F.lit, named)) if named else F.array().cast("array<int>")))
-    out = retrieve.passages(retrieve.lexical_rank(full, asked, top, key), key)
-    return out.withColumn("note", F.lit(KEYWORD_ONLY if dense is None else None).cast("string"))
+    if ticker:
+        full = full.filter(F.upper("ticker") == symbol)
+    annual = Q.wants_annual(F.lit(question), F.array(*map(F.lit, named)) if named else F.array().cast("array<int>"))
+    full = retrieve.without_interim(full, annual)
+    notes = [] if dense else [KEYWORD_ONLY]
+    if stage == "candidates":
+        ranked = full.withColumn("rank", F.col("pos"))
+    elif rank is not None:
+        cost = retrieve.rerank_tokens(full, asked).first() if budget is not None else None
+        within = cost is None or cost["tokens"] <= budget
+        ranked = (rank if within else retrieve.lexical_rank)(full, asked, top, key)
+        notes += [] if within else [OVER_BUDGET]
+    else:
+        ranked = retrieve.lexical_rank(full, asked, top, key)
+    out = retrieve.passages(ranked, key)
+    # whether any passage is from the years that the caller named, over the few passages themselves
+    aside = F.lit(None).cast("string")
+    if year is not None and stage == "reranked":
+        fits = F.max(F.col("filed").between(*window)).over(W.partitionBy("qid"))
+        aside = F.when(~F.coalesce(fits, F.lit(False)), F.lit(OTHER_YEARS % year))
+    note = F.concat_ws(" ", *map(F.lit, notes), aside)
+    return out.withColumn("note", F.when(note != "", note))
+
+
+def search_result(passages: DataFrame) -> DataFrame:
+    """One row for a search: its passages in order, and its note; a search without passages says so."""
+    order = F.sort_array(F.collect_list(F.struct("rank", "id", "ticker", "form", "filed", "page", "citation", "text")))
+    got = passages.agg(order.alias("passages"), F.first("note").alias("note"))
+    return got.withColumn("note", F.when(F.size("passages") == 0, F.lit(NO_MATCH)).otherwise(F.col("note")))
 
 
 def company_financials(all_facts: DataFrame, ciks: dict[str, int], tickers: list[str], metrics: list[str], period: str = "latest", strict: bool = False) -> DataFrame:
-    """Exact figures of companies: one row for each ticker and metric, errors as rows."""
+    """Exact figures of companies: one row for each ticker and metric, errors as rows; see `facts.answers`."""
     spark = all_facts.sparkSession
     tickers = [check_ticker(t) for t in check_list(tickers, 1, 5, "tickers")]
     metrics = [check_text(m, 100, "metric") for m in check_list(metrics, 1, 10, "metrics")]
-    asked = spark.createDataFrame([(f"{t}/{m}", t, ciks.get(t), m, check_text(period or "latest", 40, "period")) for t in tickers for m in metrics], "rid string, ticker string, cik long, metric string, period string")
-    asked = asked.withColumn("p", Q.period(F.col("period")))
+    period = check_text(period or "latest", 40, "period")
+    rows = [(f"{t}/{m}", t, ciks.get(t), m, period) for t in tickers for m in metrics]
+    asked = spark.createDataFrame(rows, "rid string, ticker string, cik long, metric string, period string").withColumn("p", Q.period(F.col("period")))
     if not asked.filter("NOT p.ok").isEmpty():
         raise ValueError(f"the period {period!r} is not understood")
     asked = facts.resolved(asked.select("rid", "ticker", "cik", "metric", "p.fy", "p.fp"), strict)
-    wanted = F.broadcast(asked.select("cik").distinct())
-    found = facts.values(all_facts.join(wanted, "cik", "left_semi"))
-    return facts.lookup(asked, found, facts.metric_table(spark))
+    wanted = F.broadcast(asked.select("cik").distinct())  # five companies at most
+    found = facts.values(all_facts.join(wanted, "cik", "left_semi")).cache()  # some ten thousand rows, read by every part of the answer
+    return facts.answers(asked, found, facts.metric_table(spark))
+
+
+def compare_companies(all_facts: DataFrame, ciks: dict[str, int], tickers: list[str], metrics: list[str], period: str = "latest", strict: bool = False) -> DataFrame:
+    """The same figures of two to five companies, in the order asked for; a company that is not known is an error of its own."""
+    if len(tickers) > 10:
+        raise ValueError("compare two to five companies")
+    tickers = check_list([check_ticker(t) for t in tickers], 2, 5, "tickers")
+    out = company_financials(all_facts, ciks, tickers, metrics, period, strict)
+    place = F.array_position(F.array(*map(F.lit, tickers)), F.col("ticker"))
+    asked = F.array(*(F.lit(m) for m in dict.fromkeys(metrics)))
+    unknown = F.when(F.col("cik").isNull(), F.format_string("%s is not a company with a number", "ticker"))
+    out = out.withColumn("error", F.coalesce(unknown, "error"))
+    return out.select(place.cast("int").alias("company"), F.array_position(asked, F.substring_index("rid", "/", -1)).cast("int").alias("line"), *out.columns).orderBy("company", "line")
 
 
 def latest_filing(listed: DataFrame, cover: DataFrame, ticker: str, form: str) -> DataFrame:
-    return service.latest_filing(listed.filter((F.col("ticker") == check_ticker(ticker)) & (F.col("form") == form)), cover)
+    return service.latest_filing(listed.filter((F.col("ticker") == check_ticker(ticker)) & (F.col("form") == check_form(form))), cover)
 
 
 def covered_companies(cover: DataFrame) -> DataFrame:

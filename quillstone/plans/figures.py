@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import figures as G
 from quillstone.operators import evaluate, facts, pages, verify
-from quillstone.sources.filings import order_facts, table
+from quillstone.sources.filings import filings, order_facts, table
 
 # Metrics of the stand-in facts, with their concepts in order of preference.
 PREFERENCES = {"urgency": ("URGENT", "HIGH"), "calm": ("LOW", "NOT SPECIFIED", "MEDIUM")}
@@ -177,10 +177,8 @@ def q43_evidence_cover(spark, d):
 
 
 def q53_has_filing(spark, d):
-    from quillstone.plans.retrieval import q01_coverage
-
     wanted = table(spark, d, "documents").select(F.col("source").alias("ticker"), F.lit("10-K").alias("form"), (2014 + F.col("doc_id") % 12).cast("int").alias("year")).distinct()
-    return evaluate.has_filing(wanted, q01_coverage(spark, d).filter("chunks > 3"))
+    return evaluate.has_filing(wanted, filings(spark, d))
 
 
 def q54_display(spark, d):
@@ -223,6 +221,9 @@ _WRONG = "abs({n}) = p"
 _JUDGED = """j AS (SELECT o_orderkey AS k, floor(o_totalprice) AS n, o_orderpriority, year(o_orderdate) AS y, o_orderkey % 7 <> 0 AND floor(o_totalprice) > 1.5 AS truth, o_orderkey % 2 = 0 AS held, o_orderkey % 4 AS calls FROM orders)"""
 
 ORACLES = {
+    "q53_has_filing": """WITH f AS (SELECT source AS ticker, CASE lang WHEN 'en' THEN '10-K' WHEN 'de' THEN '10-Q' ELSE '8-K' END AS form, CAST(DATE '2015-01-01' + CAST(doc_id % 3650 AS INTEGER) AS VARCHAR)[1:4] AS y FROM documents),
+        w AS (SELECT DISTINCT source AS ticker, '10-K' AS form, CAST(2014 + doc_id % 12 AS INTEGER) AS year FROM documents)
+        SELECT ticker, form, year, EXISTS (SELECT 1 FROM f WHERE f.ticker = w.ticker AND f.form = w.form AND CAST(f.y AS INTEGER) BETWEEN w.year AND w.year + 2) AS has_filing FROM w""",
     "q17_fact_pick": f"""WITH {_FACTS} SELECT cik, concept, fy, fp, round(val, 2) AS val, fin AS "end", filed, kind, CASE WHEN kind = 'to_date' THEN CAST(round(n / 30.4) AS INTEGER) || ' months' ELSE '' END AS note FROM v""",
     "q18_priority_coalesce": _answer_sql("ny.fy") + f""" SELECT rid, coalesce(concept, '') AS concept, coalesce(an.fy, 0) AS fy, coalesce({_SHOW.format(v='val')}, '') AS display,
         CASE WHEN concept IS NULL THEN 'No value for ' || rq.metric || ' in FY latest; years with annual values: ' || coalesce((SELECT array_to_string(list_reverse_sort(list_distinct(list(fy)))[1:8], ', ') FROM v WHERE v.cik = rq.cik AND fp = 'FY'), 'none') ELSE '' END AS error

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.operators import service
+from quillstone.operators import service, vectors
 from quillstone.sources.filings import table
 
 
@@ -43,9 +43,56 @@ def q34_latency_percentiles(spark, d):
     return service.latencies(_log(spark, d))
 
 
+def q55_hourly_cost(spark, d):
+    return service.hourly_cost(_log(spark, d), 2.0, 0.0000133334)
+
+
+def q56_log_records(spark, d):
+    """Calls whose results have passages and figures of several companies."""
+    c = _calls(spark, d)
+    passages = F.transform(F.slice(F.sequence(F.lit(1), F.lit(3)), F.lit(1), (F.col("user_id") % 4).cast("int")), lambda i: F.struct(F.concat(F.lit("T"), ((F.col("user_id") + i) % 3).cast("string")).alias("ticker")))
+    figures = F.create_map(F.concat(F.lit("F"), (F.col("user_id") % 2).cast("string")), F.array_repeat(F.col("value"), (F.col("id") % 3).cast("int")))
+    calls = c.select("ts", "tool", F.col("id").cast("string").alias("arguments"), F.col("value").alias("latency_ms"), passages.alias("passages"), figures.alias("figures"), F.lit(False).alias("cache_hit"), F.lit(False).alias("rate_limited"), F.lit(None).cast("string").alias("error"))
+    return service.log_records(calls).select("arguments", "n_passages", "n_figures", F.array_join("tickers", ",").alias("tickers"), F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+
+
+def q58_request_packing(spark, d):
+    """Small requests, in the order of each source's documents."""
+    return vectors.packed(table(spark, d, "documents").select("doc_id", "source", "text"), "source", "doc_id", 3000, 5).select("doc_id", "tokens", "request")
+
+
+def q59_registry(spark, d):
+    """The largest order of two customers in three, brought up to date with the smallest of every second one."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("most"), F.min("o_totalprice").alias("least"))
+    old = o.filter("key % 3 <> 0").select("key", F.col("most").alias("value"), F.lit("old").alias("file"))
+    out = service.registry(old, o.filter("key % 2 = 0").select("key", F.col("least").alias("value")))
+    return out.select("key", F.round("value", 2).alias("value"), F.coalesce("file", F.lit("")).alias("file"))
+
+
+def q61_vector_records(spark, d):
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "n_chars")
+    made = vectors.records(chunks, table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")))
+    m = F.col("metadata")
+    return made.select("id", F.size("values").alias("width"), F.length(m["text"]).alias("chars"), m["lang"].alias("lang"), m["n_chars"].cast("long").alias("n_chars"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 ORACLES = {
+    "q55_hourly_cost": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS calls, round(sum(value) / 1000 * 2.0 * 0.0000133334, 9) AS cost FROM events GROUP BY 1""",
+    "q56_log_records": """SELECT CAST(event_id AS VARCHAR) AS arguments, CAST(user_id % 4 AS INTEGER) AS n_passages, CAST(event_id % 3 AS INTEGER) AS n_figures,
+        array_to_string(list_sort(list_distinct(list_concat(list_transform(range(1, user_id % 4 + 1), lambda i: 'T' || ((user_id + i) % 3)), CASE WHEN event_id % 3 > 0 THEN ['F' || (user_id % 2)] ELSE [] END))), ',') AS tickers,
+        strftime(ts + INTERVAL 90 DAY, '%Y-%m-%d %H:%M:%S') AS expires_at FROM events""",
+    "q58_request_packing": """WITH RECURSIVE c AS (SELECT source, doc_id, CAST(length(substr(coalesce(text, ''), 1, 6000)) // 2 + 1 AS INTEGER) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+        r AS (SELECT source, n, doc_id, tokens, CAST(0 AS BIGINT) AS request, tokens AS used, 1 AS held FROM c WHERE n = 1
+              UNION ALL SELECT c.source, c.n, c.doc_id, c.tokens, CASE WHEN r.used + c.tokens > 3000 OR r.held >= 5 THEN r.request + 1 ELSE r.request END,
+              CASE WHEN r.used + c.tokens > 3000 OR r.held >= 5 THEN c.tokens ELSE r.used + c.tokens END, CASE WHEN r.used + c.tokens > 3000 OR r.held >= 5 THEN 1 ELSE r.held + 1 END
+              FROM r JOIN c ON c.source = r.source AND c.n = r.n + 1)
+        SELECT doc_id, tokens, request FROM r""",
+    "q59_registry": """WITH o AS (SELECT o_custkey AS key, max(o_totalprice) AS most, min(o_totalprice) AS least FROM orders GROUP BY 1),
+        a AS (SELECT key, most AS value FROM o WHERE key % 3 <> 0), b AS (SELECT key, least AS value FROM o WHERE key % 2 = 0)
+        SELECT coalesce(a.key, b.key) AS key, round(coalesce(b.value, a.value), 2) AS value, CASE WHEN a.key IS NULL THEN '' ELSE 'old' END AS file FROM a FULL JOIN b ON a.key = b.key""",
+    "q61_vector_records": """SELECT doc_id AS id, CAST(len(embedding) AS INTEGER) AS width, CAST(length(substr(text, 1, 1000)) AS INTEGER) AS chars, lang, n_chars FROM documents JOIN embeddings ON vec_id = doc_id""",
     "q30_rate_limit": """WITH c AS (SELECT event_id AS id, date_trunc('hour', ts) AS m, date_trunc('day', ts) AS d FROM events),
         n AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY id) AS nm FROM c), k AS (SELECT *, nm <= 2 AS okm FROM n),
         o AS (SELECT *, count(*) FILTER (okm) OVER (PARTITION BY d ORDER BY m, id ROWS UNBOUNDED PRECEDING) AS nd FROM k)

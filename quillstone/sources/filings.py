@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,68 @@ def company_numbers(wanted: DataFrame, live: DataFrame, overrides: DataFrame) ->
     return out.select(*wanted.columns, F.coalesce("live", "fixed").alias("cik"))
 
 
+#: A company's first page of submissions: the recent filings, and the names of the pages with older ones.
+FIRST_PAGE = T.StructType([T.StructField("cik", T.LongType()), T.StructField("filings", T.StructType([T.StructField("recent", T.StructType(SUBMISSIONS.fields[1:])), T.StructField("files", T.ArrayType(T.StructType([T.StructField("name", T.StringType())])))]))])
+
+
+def full_history(spark: SparkSession, first: str, older: str) -> DataFrame:
+    """Pages of submissions with their order: each company's recent filings, then its older pages as they are listed.
+
+    first, older: paths of JSON files; an older page is found by its file's name.
+    """
+    firsts = spark.read.schema(FIRST_PAGE).json(first)
+    recent = firsts.select("cik", F.lit(0).alias("page"), "filings.recent.*")
+    listed = firsts.select("cik", F.posexplode("filings.files").alias("page", "f")).select("cik", (F.col("page") + 1).alias("page"), F.col("f.name").alias("name"))
+    pages = spark.read.schema(T.StructType(SUBMISSIONS.fields[1:])).json(older).withColumn("name", F.substring_index(F.input_file_name(), "/", -1))
+    return recent.unionByName(listed.join(pages, "name").drop("name"))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """path, html of every file below a folder, read as it is."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return raw.select("path", F.decode("content", "UTF-8").alias("html"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Raw documents in folders of ticker, form and date; those of a folder that is written again are replaced."""
+    documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker", "form", "filed").parquet(path)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """A company's chunks replace those it had; other companies' stay. Written only once all of it has been made."""
+    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The six columns that an index is made of."""
+    return spark.read.parquet(path).select("chunk_id", "text", "ticker", "form", "filed", "chunk_type")
+
+
+def seeded(spark: SparkSession, wanted: DataFrame, path: str) -> DataFrame:
+    """The wanted companies (ticker) without those that a broken-off seed has already written."""
+    try:
+        held = spark.read.parquet(path).select("ticker").distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return wanted
+    return wanted.join(held, "ticker", "left_anti")
+
+
+def read_benchmark(spark: SparkSession, path: str, most: int = 150) -> DataFrame:
+    """The first questions of a benchmark file (one JSON object a line) with their truth, company, form and period."""
+    rows = spark.read.schema("question string, answer string, company string, doc_type string, doc_period string").json(path)
+    named = [F.col("question"), F.col("answer").alias("ground_truth"), *(F.coalesce(c, F.lit("")).alias(n) for c, n in (("company", "ticker"), ("doc_type", "filing_type"), ("doc_period", "period")))]
+    return rows.select(*named).limit(most)
+
+
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """question, doc_name, company, evidence (the texts) and ground_truth of every row of a benchmark file."""
+    rows = spark.read.schema("question string, doc_name string, company string, evidence array<struct<evidence_text:string>>, answer string").json(path)
+    texts = F.coalesce(F.transform("evidence", lambda e: F.coalesce(e["evidence_text"], F.lit(""))), F.array().cast("array<string>"))
+    return rows.filter("question IS NOT NULL").select("question", "doc_name", "company", texts.alias("evidence"), F.col("answer").alias("ground_truth"))
+
+
 # Stand-ins on the driver's tables.
 
 

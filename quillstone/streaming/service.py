@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstone.functions.reference import CACHE_HOURS, CALLS_A_DAY, CALLS_A_MINUTE, TOKENS_A_DAY
+from quillstone.operators import service as batch
+from quillstone.operators.service import publishable
 
 
 def event_time(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -82,6 +85,36 @@ def limited(calls: DataFrame, a_minute: int = CALLS_A_MINUTE, a_day: int = CALLS
     return calls.groupBy("day").applyInPandasWithState(run, "id long, allowed boolean", "calls long, minute string, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def cached(calls: DataFrame, hours: int = CACHE_HOURS) -> DataFrame:
+    """calls (id, ts, key, clean): a hit if the newest stored result of the key is younger than the bound.
+
+    The state of a key is when its result was stored; it goes once that has expired. Only clean results are stored.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stored = state.get[0] if state.exists else None
+        rows, hits = _ordered(frames), []
+        for at, clean in zip(rows["ts"], rows["clean"], strict=True):
+            now = int(pd.Timestamp(at).timestamp())
+            hits.append(stored is not None and now - stored < hours * 3600)
+            stored = now if clean and not hits[-1] else stored
+        if stored is not None:
+            state.update((int(stored),))
+            state.setTimeoutTimestamp(max((stored + hours * 3600) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": rows["id"], "hit": hits})
+
+    return calls.groupBy("key").applyInPandasWithState(run, "id long, hit boolean", "stored long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def logged(calls: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a record for each call to the log as it comes; see the batch form's `log_records`."""
+    records = batch.log_records(calls).withColumn("day", F.to_date("ts"))
+    return records.writeStream.partitionBy("day").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
 def refresh(listed: DataFrame, corpus: str, build: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Ingest newly listed filings (ticker, form, filed, text, ok) into a corpus of Parquet partitioned by ticker.
 
@@ -91,18 +124,20 @@ def refresh(listed: DataFrame, corpus: str, build: Callable[[DataFrame], DataFra
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        bad = batch.groupBy("ticker").agg(F.every("ok").alias("ok")).filter("NOT ok")
+        bad = batch.groupBy("ticker").agg(F.every(F.coalesce("ok", F.lit(False))).alias("ok")).filter("NOT ok")
         new = batch.join(bad, "ticker", "left_anti").drop("ok")
         try:
             held = spark.read.parquet(corpus).select("ticker", "filed").distinct()
             new = new.join(held, ["ticker", "filed"], "left_anti")
-        except Exception as error:  # nothing is held before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:  # nothing is held before the first batch
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-        if not new.isEmpty():
-            build(new).write.mode("append").partitionBy("ticker").parquet(corpus)
+        if new.isEmpty():
+            return
+        made = build(new)
+        # nothing is published that lacks a filing which came
+        if not publishable(new, made).isEmpty():
+            raise ValueError(f"chunks of batch {number} lack filings")
+        made.write.mode("append").partitionBy("ticker").parquet(corpus)
 
     return listed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-CACHE_WATERMARK = f"{CACHE_HOURS} hours"

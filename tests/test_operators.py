@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import chunks, evaluate, facts, index, pages, retrieve, service, tools, verify
+from quillstone.functions.text import excerpt, tidied
+from quillstone.operators import chunks, evaluate, facts, index, pages, retrieve, service, tools, vectors, verify
 from quillstone.sources import filings
 
 UNITS = [
@@ -41,8 +42,37 @@ def test_stemmed_index(units):
 
 
 def test_index_round_trip(spark, units, tmp_path):
-    index.write_index(units, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/corpus").first().n == 4
+    path = str(tmp_path)
+    index.write_index(units.limit(1), path)
+    index.write_index(units, path)
+    loaded = index.load(spark, path)
+    assert loaded.corpus.collect()[0].n == 4 and loaded.stem and loaded.corpus.count() == 1
+    assert search(units, "a purchase of equipment", loaded=loaded) == ["c1"]
+    index.lookup_tables(units, path)
+    assert [r.chunk_id for r in index.by_ids(spark, path, ["c2", "gone"]).collect()] == ["c2"]
+    assert spark.read.parquet(f"{path}/coverage").count() == 4
+
+
+def test_search_notes_and_relaxation(spark, units):
+    more = units.unionByName(spark.createDataFrame([("c5", "AAPL", "10-K", "2021-10-29", "Apple revenue of services in the annual report")], units.schema))
+    note = lambda df: tools.search_result(df).first()
+    got = note(tools.search_filings(more, "services revenue", ticker="aapl", year=2015))
+    assert {p.id for p in got.passages} == {"c5"} and got.note.endswith("No filing matches 2015; these passages are from other years.")
+    got = note(tools.search_filings(more, "zebra"))
+    assert got.passages == [] and got.note == tools.NO_MATCH
+    got = note(tools.search_filings(more, "accelerators", ticker="AAPL"))
+    assert got.passages == []  # never another company's
+    vectors = spark.createDataFrame([("c2", [1.0, 0.0]), ("c3", [0.0, 1.0])], "chunk_id string, v array<double>")
+    got = note(tools.search_filings(more, "zebra", vectors=vectors, embed=lambda q: [0.0, 1.0]))
+    assert [p.id for p in got.passages][0] == "c3" and got.note is None
+    picked = tools.search_filings(more, "revenue", rank=lambda h, q, top, key: h.filter("chunk_id = 'c3'").withColumn("rank", F.lit(1)), budget=10**6).collect()
+    assert [r.id for r in picked] == ["c3"]
+    over = tools.search_filings(more, "revenue", rank=lambda *a: 1 / 0, budget=1).first()
+    assert tools.OVER_BUDGET in over.note
+    assert tools.search_filings(more, "revenue", stage="candidates").count() >= 3
+    cover = chunks.coverage(more)
+    with pytest.raises(ValueError, match="not covered"):
+        tools.search_filings(more, "revenue", ticker="ZZZ", cover=cover)
 
 
 def test_interleaving(spark):
@@ -69,13 +99,27 @@ TABLE = "\n".join(
 )
 
 
-def test_table_repair():
-    assert pages.repair(TABLE) == "(In millions) | 2020 | 2019\nNet sales | $12467.5 | $9458.2\nDividend | 0.20 | 0.20\nLoss | (17) | 3.5%"
-    assert pages.repair("plain text") == "plain text"
-    assert pages.repair("2020 | 2019\n1 | 2") == "2020 | 2019\n1 | 2"
-    assert pages.repair("0 | 1 | 2\na | 2026 | 2026.0\nb | 5 | 5") == "a | 2026\nb | 5"
-    assert pages.repair("0 | 1 | 2\nx | 2020 | 2019\ny |  | 7") == "x | 2020 | 2019\ny |  | 7"
-    assert pages.repair("0 | 1") == ""
+def test_table_repair(spark):
+    pairs = [
+        (TABLE, "(In millions) | 2020 | 2019\nNet sales | $12467.5 | $9458.2\nDividend | 0.20 | 0.20\nLoss | (17) | 3.5%"), ("plain text", "plain text"), ("2020 | 2019\n1 | 2", "2020 | 2019\n1 | 2"),
+        ("0 | 1 | 2\na | 2026 | 2026.0\nb | 5 | 5", "a | 2026\nb | 5"), ("0 | 1 | 2\nx | 2020 | 2019\ny |  | 7", "x | 2020 | 2019\ny |  | 7"), ("0 | 1", ""), ("", ""), (None, None), ("0 | 1\na\nb | c | d\n |  ", "a\nb | c | d"),
+    ]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pairs)], "i int, t string").select("i", pages.repaired(F.col("t")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == [want for _, want in pairs]
+
+
+def test_new_facts(spark):
+    text = "(In millions) | 2020 | 2019\nNet sales | 12 | 9"
+    rows = [("t1", "table", "T", "10-K", "2020-08-01", text), ("t2", "table", "T", "10-K", "2020-08-01", text), ("t3", "table", "T", "10-Q", "2020-08-01", text), ("c", "child", "T", "10-K", "2020-08-01", text)]
+    held = spark.createDataFrame(rows, "chunk_id string, chunk_type string, ticker string, form string, filed string, text string")
+    fresh = pages.new_facts(held)
+    assert fresh.count() == 1 and pages.new_facts(held.unionByName(fresh.select(*held.columns))).count() == 0
+
+
+def test_tidied_texts_and_excerpts(spark):
+    text = "0 | 1 | 2\nNet sales |  | Net sales\xa0| $ | 1,577\n | 1577 | 1577"
+    row = spark.range(1).select(tidied(F.lit(text)).alias("t"), excerpt(F.lit(text), F.array(F.lit("$1,577 million"))).alias("e"), excerpt(F.lit("word " * 100 + "1577 end"), F.array(F.lit("none"), F.lit("1,577"))).alias("f")).first()
+    assert row.t == "Net sales | $ | 1,577 | 1577" and row.e == row.t and row.f.startswith("...") and row.f.endswith("1577 end") and len(row.f) == 3 + 120 + 8
 
 
 def test_html():
@@ -127,6 +171,10 @@ def test_financials(spark, tagged):
     assert got["revenue"].display == "$33,723.3 million" and got["eps diluted"].display == "$12.03 per share"
     assert "2023" in got["goodwill"].error and got["goodwill"].val is None
     assert ask(["revenue"], "latest")["revenue"].fy == 2023 and ask(["revenue"], "FY2015")["revenue"].error
+    assert (got["revenue"].id, got["revenue"].citation, got["revenue"].url) == ("xbrl:T:us-gaap:SalesRevenueNet:FY2023", "[T 10-K 2024-02-01]", "https://www.sec.gov/Archives/edgar/data/1/a/")
+    free = ask(["free cash flow"])["free cash flow"]
+    assert free.val == 7_274_301_000 and free.formula == "operating cash flow $7,622.9 million minus capital expenditure $348.6 million" and [x.val for x in free.inputs] == [7_622_853_000, 348_552_000]
+    assert [s.concept for s in ask(["cash flow of the year"])["cash flow of the year"].suggestions][:1] == ["us-gaap:CashFlow"] or ask(["cash flow of the year"])["cash flow of the year"].suggestions
     both = tools.company_financials(tagged, {"T": 1}, ["T"], ["operating cash flow", "capex"], "2023")
     free = facts.differences(both).collect()
     assert [(r.metric, r.val, r.id) for r in free] == [("free cash flow", 7_274_301_000, "derived:1:free cash flow:FY2023")]
@@ -134,6 +182,21 @@ def test_financials(spark, tagged):
         tools.company_financials(tagged, {"T": 1}, ["T"], ["revenue"], "soon")
 
 
+def test_fallback_and_comparison(spark, tagged):
+    rows = [fact("LiabilitiesAndStockholdersEquity", "FY", None, "2023-09-30", 379_680), fact("StockholdersEquity", "FY", None, "2023-09-30", 92_430)]
+    some = tagged.unionByName(spark.createDataFrame(rows, tagged.schema))
+    got = tools.company_financials(some, {"T": 1}, ["T"], ["total liabilities", "free cash flow"], "FY2023").orderBy("metric").collect()
+    assert [(r.metric, r.val, r.error) for r in got] == [("free cash flow", 7_274_301_000.0, None), ("total liabilities", 379_680.0 - 92_430, None)]
+    missing = tools.company_financials(some, {"T": 1}, ["T"], ["free cash flow"], "FY2015").first()
+    assert missing.val is None and missing.error.count("No value") == 2
+    got = tools.compare_companies(some, {"T": 1, "U": 2}, ["u", "T", "ZZ", "U"], ["revenue", "eps"], "FY2023").collect()
+    assert [(r.ticker, r.line, r.val) for r in got] == [("U", 1, None), ("U", 2, None), ("T", 1, 33_723_297_000.0), ("T", 2, 12.03), ("ZZ", 1, None), ("ZZ", 2, None)]
+    assert "number" in got[4].error
+    for few in (["T"], ["T", "t"], list("ABCDEF")):
+        with pytest.raises(ValueError):
+            tools.compare_companies(some, {"T": 1}, few, ["revenue"])
+
+
 def test_suggestions(spark, tagged):
     ask = spark.createDataFrame([("r", 1, "operating cash flow activities", 2023, "FY")], "rid string, cik long, metric string, fy int, fp string")
     assert [r.concept for r in facts.suggestions(ask, facts.values(tagged)).collect()] == ["us-gaap:NetCashProvidedByUsedInOperatingActivities"]
@@ -226,3 +289,75 @@ def test_filing_chunks(spark):
     t = spark.createDataFrame([("T", "10-K", "2020-01-01", ["0", "1"], [["a", "b"]])], "ticker string, form string, filed string, headers array<string>, rows array<array<string>>")
     got = chunks.filing_chunks(f, t).groupBy("chunk_type").count().collect()
     assert {r.chunk_type: r["count"] for r in got} == {"parent": 1, "child": 2, "table": 1}
+
+
+def test_guards_and_log(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", "t", f" A{i % 2} ", i != 1) for i in range(6)]
+    calls = spark.createDataFrame(rows, "id long, ts string, tool string, arguments string, clean boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.id: (r.rate_limited, r.cache_hit, r.worked) for r in service.guarded(calls, "v", a_minute=5).collect()}
+    assert got == {0: (False, False, True), 1: (False, False, True), 2: (False, True, False), 3: (False, False, True), 4: (False, True, False), 5: (True, False, False)}
+    made = spark.createDataFrame([("2024-01-01 00:00:00", "t", "x" * 600, 5, [("B",), (None,), ("A",)], {"C": [1.0, 2.0], "D": []}, False, False, None), ("2023-01-01 00:00:00", "t", None, 5, None, None, False, True, "E")], "ts string, tool string, arguments string, latency_ms int, passages array<struct<ticker:string>>, figures map<string,array<double>>, cache_hit boolean, rate_limited boolean, error string").withColumn("ts", F.col("ts").cast("timestamp"))
+    service.append_log(service.log_records(made), f"{tmp_path}/log")
+    row = service.live_log(spark, f"{tmp_path}/log", "2024-02-01 00:00:00").collect()
+    assert [(len(r.arguments), r.n_passages, r.n_figures, r.tickers) for r in row] == [(500, 3, 2, ["A", "B", "C"])]
+
+
+def test_registry_and_resumption(spark):
+    old = spark.createDataFrame([("a", 1.0, "x"), ("b", 2.0, "y")], "key string, value double, file string")
+    new = spark.createDataFrame([("a", None), ("b", 3.0), ("c", 4.0)], "key string, value double")
+    assert sorted(tuple(r) for r in service.registry(old, new).fillna("").collect()) == [("a", 1.0, "x"), ("b", 3.0, "y"), ("c", 4.0, "")]
+    items = spark.createDataFrame([(0, "q0"), (1, "q1")], "at int, question string")
+    done = spark.createDataFrame([("q1", "yes")], "question string, answer string")
+    assert [r.question for r in service.pending(items, done).collect()] == ["q0"]
+    assert [r.answer for r in service.resumed(items, done).collect()] == [None, "yes"]
+
+
+def test_vectors(spark):
+    chunks_ = spark.createDataFrame([("a", "T", "x" * 2000, None), ("b", "T", "y" * 10, 2), ("c", "T", "z", 3), ("d", "U", None, 4)], "chunk_id string, ticker string, text string, page int")
+    got = {r.chunk_id: r.request for r in vectors.packed(chunks_, "ticker", "chunk_id", tokens=1003, items=2).collect()}
+    assert got == {"a": 0, "b": 1, "c": 1, "d": 0}
+    v = vectors.embedded(vectors.packed(chunks_, "ticker", "chunk_id"), lambda texts: [[float(len(t))] for t in texts], "ticker")
+    made = {r.id: r for r in vectors.records(chunks_, v).collect()}
+    assert list(made["a"]["values"]) == [2000.0] and len(made["a"].metadata["text"]) == 1000 and set(made["a"].metadata) == {"ticker", "text"} and made["b"].metadata["page"] == "2"
+    held = vectors.records(chunks_, v)
+    assert vectors.upserted(held, held.filter("id = 'a'")).count() == 4
+
+
+def test_evaluation_of_items(spark):
+    cover = spark.createDataFrame([("T", "10-K", "2020-02-01")], "ticker string, form string, filed string")
+    q = spark.createDataFrame([("q1", "T", "10-K", 2019, "$5,000"), ("q2", "T", "10-K", 2010, "$5,000"), ("q3", "T", "10-K", 2019, "no number")], "question string, ticker string, form string, year int, truth string")
+    assert [r.question for r in evaluate.scorable(q, cover).collect()] == ["q1"]
+    docs = spark.createDataFrame([("q1", ["sales 1,234 and 5,678"]), ("q3", [])], "question string, evidence array<string>")
+    assert [r.question for r in evaluate.with_evidence(q, docs, cover).collect()] == ["q1"]
+    ranked = spark.createDataFrame([("q1", 1, "1,234 only"), ("q1", 2, "1234 | 5678 | 2019")], "qid string, rank int, text string")
+    hit = evaluate.evidence_hits(ranked, docs.withColumnRenamed("question", "qid").filter("qid = 'q1'")).first()
+    assert (hit.n, hit.hit_1, hit.hit_5) == (1, 0.0, 1.0)
+    answers = spark.createDataFrame([("It was $5,000", "$5,000", ["5,000"]), ("cannot determine", "$5,000", ["x"]), ("It was $7,000", "$5,000", ["x"])], "answer string, truth string, sources array<string>")
+    s = evaluate.summary(answers).first()
+    assert (s.n, s.refused, s.true_in_answers, s.wrong_in_answers, s.zero_not_found, s.total_not_found) == (3, 1, 1, 1, 2, 1)
+    names = spark.createDataFrame([("X_2018Q2_10Q", "T"), ("X_2019_10K", "T"), ("odd", "T")], "name string, ticker string")
+    assert [[tuple(d) for d in r.wanted] for r in evaluate.by_ticker(names).collect()] == [[(2018, 2, "10-Q"), (2019, None, "10-K")]]
+
+
+def test_sources_on_disk(spark, tmp_path):
+    (tmp_path / "first").mkdir()
+    (tmp_path / "older").mkdir()
+    page = lambda *f: '{"form":["%s"],"reportDate":["r"],"filingDate":["%s"],"accessionNumber":["a"],"primaryDocument":["d"]}' % f
+    (tmp_path / "first" / "c.json").write_text('{"cik":1,"filings":{"recent":%s,"files":[{"name":"p1.json"},{"name":"p2.json"}]}}' % page("10-K", "3"))
+    (tmp_path / "older" / "p1.json").write_text(page("10-Q", "2"))
+    (tmp_path / "older" / "p2.json").write_text(page("8-K", "1"))
+    rows = filings.listing(filings.full_history(spark, f"{tmp_path}/first", f"{tmp_path}/older")).orderBy("page").collect()
+    assert [(r.page, r.form, r.filed) for r in rows] == [(0, "10-K", "3"), (1, "10-Q", "2"), (2, "8-K", "1")]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.html").write_text("<p>\u00e9</p>", encoding="utf-8")
+    assert filings.read_documents(spark, f"{tmp_path}/raw").first().html == "<p>\u00e9</p>"
+    c = lambda rows: spark.createDataFrame(rows, "chunk_id string, text string, ticker string, form string, filed string, chunk_type string")
+    path = f"{tmp_path}/chunks"
+    wanted = spark.createDataFrame([("A",), ("B",)], "ticker string")
+    assert filings.seeded(spark, wanted, path).count() == 2
+    filings.write_chunks(c([("1", "t", "A", "10-K", "f", "child"), ("2", "t", "B", "10-K", "f", "child")]), path)
+    filings.write_chunks(c([("3", "t", "A", "10-K", "f", "child")]), path)
+    assert sorted(r.chunk_id for r in filings.read_chunks(spark, path).collect()) == ["2", "3"] and filings.seeded(spark, wanted, path).count() == 0
+    (tmp_path / "b.jsonl").write_text('{"question":"q","answer":"1","company":"X","evidence":[{"evidence_text":"e"},{}],"doc_name":"n"}\n\n')
+    assert filings.read_benchmark(spark, f"{tmp_path}/b.jsonl").first().asDict() == {"question": "q", "ground_truth": "1", "ticker": "X", "filing_type": "", "period": ""}
+    assert filings.read_evidence(spark, f"{tmp_path}/b.jsonl").first().evidence == ["e", ""]
