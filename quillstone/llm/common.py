@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,9 +64,14 @@ def removed(spark: SparkSession, folder: str) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage through a table in the checkpoint folder.
+
+    checkpoint() would keep the size that was estimated for the plan; where a loop joins its own results, that
+    estimate grows with its square each time, until the driver is busy with one number. A table has its real size.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import broadcast_if_small, saved
-from quillstone.llm.graphs import SIDE_ROWS, components
+from quillstone.llm.common import saved
+from quillstone.llm.graphs import components
 
 BITS, WIDTH, RADIUS, SEED = 64, 4, 4, 42
 #: Blocks of bits; a shard agrees on all but RADIUS of them.
@@ -187,7 +187,7 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = groups(prints.select("print"), radius)
     rooted = prints.join(roots, prints["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     # saved: the join is then no part of the grouping, and Spark can split a large component
-    least = broadcast_if_small(saved(rooted.groupBy("root").agg(F.min("least").alias("component_id"))), SIDE_ROWS)
+    least = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     ids = rooted.join(least, "root").select("print", "component_id")
     return each.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
