@@ -66,3 +66,19 @@ def test_refresh(spark, tmp_path):
     time.sleep(1.1)
     put(2, [("A", "10-Q", "2020-01-01", "same day", True), ("A", "10-Q", "2020-05-01", "new", True), ("B", "10-K", "2020-01-01", "b", True)])
     assert run() == [("A", "2020-01-01"), ("A", "2020-05-01"), ("B", "2020-01-01")]
+
+
+def test_cache_equals_batch(spark, tmp_path):
+    key = F.concat_ws("|", "tool", (F.col("id") % 5).cast("string"))
+    s = stream(spark, tmp_path).select("id", "ts", key.alias("key"), (F.col("id") % 4 != 0).alias("clean"))
+    got = {r.id: r.hit for r in drained(spark, service.cached(s, 6), "cache").collect()}
+    e = spark.read.parquet(EVENTS).select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("tool")).select("id", "ts", key.alias("key"), (F.col("id") % 4 != 0).alias("clean"))
+    assert got == {r.id: r.hit for r in batch.cache_hits(e, 6).collect()}
+
+
+def test_log_is_appended(spark, tmp_path):
+    calls = "ts timestamp, tool string, arguments string, latency_ms int, passages array<struct<ticker:string>>, figures map<string,array<double>>, cache_hit boolean, rate_limited boolean, error string"
+    spark.sql("SELECT TIMESTAMP'2024-01-01 00:00:00' AS ts, 't' AS tool, 'x' AS arguments, 5 AS latency_ms, array(struct('A' AS ticker)) AS passages, map('B', array(1D)) AS figures, false AS cache_hit, false AS rate_limited, 'e' AS error").write.parquet(f"{tmp_path}/calls")
+    for _ in range(2):  # what was logged is not logged again
+        service.logged(spark.readStream.schema(calls).parquet(f"{tmp_path}/calls"), f"{tmp_path}/log", f"{tmp_path}/check").awaitTermination(120)
+    assert [(r.n_passages, r.n_figures, r.tickers) for r in batch.live_log(spark, f"{tmp_path}/log", "2024-02-01 00:00:00").collect()] == [(1, 1, ["A", "B"])]
