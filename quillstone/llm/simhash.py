@@ -3,7 +3,8 @@
 Two fingerprints that differ in few bits agree on all but a few of their blocks of bits. A shard holds the
 fingerprints that agree on the rest, so all links lie inside shards. In each shard a BK-tree, whose children
 are keyed by their Hamming distance to the parent, is searched along the edges within the radius. The trees
-reach their tasks by a shuffle: as they hold every fingerprint, a broadcast of them would have no bound.
+reach their tasks by a shuffle: as they hold every fingerprint, a broadcast of them would have no bound. In a
+shard of two the tree is one edge, and so one distance; such shards are decided in arrays.
 """
 
 from __future__ import annotations
@@ -180,7 +181,8 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Null and empty texts have fingerprint 0 and link like any other. Equal fingerprints are one node, so a group of copies costs one.
     Null doc_ids are kept; they are never a component_id unless a component has no other. Repeated rows
-    stay. An empty table gives an empty result; other columns are ignored.
+    stay. Texts of any length are read whole. A bit that exactly half of the hashes set (a tie) is not set. An
+    empty table gives an empty result; other columns are ignored.
     """
     each = saved(docs.select("doc_id", F.arrow_udf(_fingerprints, "long")(F.coalesce("text", F.lit(""))).alias("print")))
     prints = saved(each.groupBy("print").agg(F.min("doc_id").alias("least")))
@@ -195,7 +197,7 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without those that are near-copies of one with a smaller doc_id; the rest unchanged.
 
-    Of rows that share the kept doc_id, and of a component without doc_ids, all stay.
+    Of rows that share the kept doc_id, and of a component without doc_ids, all stay; columns may have any names.
     """
     found = classes(docs, radius)
     dropped = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("gone")).distinct()
