@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import contamination, lines, mixing, pages, quality, repeats, secrets, simhash, topk, urls
+from quillstone.llm import contamination, lines, manifest, mixing, pages, phrases, quality, repeats, secrets, simhash, topk, toxicity, urls
 from quillstone.llm.common import table
 
 #: Fixed by the query's contract.
@@ -62,6 +62,18 @@ def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.checked(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_page_text": op2_page_text,
@@ -73,6 +85,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_top_products": op10_top_products,
+    "op11_phrases": op11_phrases,
+    "op12_manifest": op12_manifest,
+    "op13_toxicity": op13_toxicity,
 }
 
 _OP4_KINDS = [
@@ -91,6 +106,54 @@ _OP4_FOUND = " UNION ALL ".join(
     for i, (kind, rx, group, least) in enumerate(_OP4_KINDS)
 )
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+#: CRC-32 of the decimal doc_id: for each character eight steps of the reversed polynomial.
+_CRC32 = """xor(CAST(4294967295 AS BIGINT), list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda crc, x: list_reduce(CAST(range(8) AS BIGINT[]), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END, xor(crc, x)), CAST(4294967295 AS BIGINT)))"""
+
+
+def _merkle_levels(name: str, leaves: str, high: int) -> str:
+    """CTEs name_0 to name_{high}: the nodes of each level with the text of their siblings before and after.
+
+    A tree that has come to one node stays at it, so trees of any height up to `high` can be unrolled alike.
+    """
+    run = "PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN"
+    out = []
+    for k in range(high + 1):
+        nodes = leaves
+        if k:
+            up = "CASE WHEN any_value(total) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END"
+            nodes = f"SELECT tree, pos // 8 AS pos, (any_value(total) + 7) // 8 AS total, {up} AS d FROM {name}_{k - 1} GROUP BY tree, pos // 8"
+        out.append(f"""{name}_{k} AS MATERIALIZED (SELECT *, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+  coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS e FROM ({nodes}))""")
+    return ",\n".join(out)
+
+
+def _merkle_sql(high: int = 6, over: int = 2) -> str:
+    """SQL of op12 for trees of up to 8 ** high leaves and 8 ** over trees."""
+    lower = _LOWER.format("text")
+    framed = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(framed, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    steps = [f"t_{k}" for k in range(high)] + [f"f_{k}" for k in range(over)]
+    joins = " ".join(f"JOIN t_{k} ON t_{k}.tree = r.tree AND t_{k}.pos = r.pos // {8**k}" for k in range(high))
+    joins += f" JOIN s ON s.of = r.tree {' '.join(f'JOIN f_{k} ON f_{k}.pos = s.pos // {8**k}' for k in range(over))}"
+    fold = "new"
+    for t in steps:
+        fold = f"CASE WHEN {t}.total = 1 THEN {fold} ELSE sha256({t}.b || ({fold}) || {t}.e) END"
+    parts = " || ".join(f"{t}.b || {t}.e" for t in steps)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS leaf, {leaf(lower)} AS lowered FROM documents),
+r AS (SELECT doc_id, tree, leaf, CASE WHEN {_CRC32} % 3 = 0 THEN lowered ELSE leaf END AS new, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY tree) AS total FROM d),
+{_merkle_levels("t", "SELECT tree, pos, total, leaf AS d FROM r", high)},
+s AS (SELECT tree AS of, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS total, d FROM t_{high}),
+{_merkle_levels("f", "SELECT '' AS tree, pos, total, d FROM s", over)}
+SELECT r.doc_id, r.leaf, s.d AS subroot, f_{over}.d AS root, sha256({parts}) AS proof_sha256, {fold} AS folded_root, {fold} = f_{over}.d AS verified
+FROM r {joins} JOIN f_{over} ON true"""
+
+
 #: The SQL of op2 holds for pages of the kind in the tables: one article of headings and paragraphs, few character references.
 ORACLES = {
     "op2_page_text": r"""
@@ -163,4 +226,20 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS D
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op11_phrases": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS x FROM documents),
+w AS (SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, w[i:i + size - 1] AS p, count(*) AS f
+      FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS s(size) WHERE len(w) >= size) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, p, f AS a, size, unnest(range(1, size)) AS k FROM g WHERE size >= 2),
+s AS (SELECT c.lang, c.p, c.a, c.size, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score,
+        row_number() OVER (PARTITION BY c.lang, c.p ORDER BY CAST(2000000 AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) + y.f), k) AS best
+      FROM c JOIN g x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN g y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+o AS (SELECT lang, q, max(f) AS f FROM (SELECT lang, f, size, p[i:i + m - 1] AS q FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM g, (VALUES (2), (3)) AS v(m) WHERE m < size)) GROUP BY lang, q),
+k AS (SELECT s.lang, array_to_string(s.p, ' ') AS phrase, a, l, r, score FROM s LEFT JOIN o ON o.lang = s.lang AND o.q = s.p
+      WHERE best = 1 AND NOT coalesce(CAST(100 AS HUGEINT) * o.f >= CAST(80 AS HUGEINT) * a, false)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN t USING (lang) WHERE rank <= 2000""",
+    "op12_manifest": _merkle_sql(),
 }
