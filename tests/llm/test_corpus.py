@@ -133,7 +133,7 @@ def test_manifest(spark, n, langs):
 def test_toxicity(spark, documents):
     fine = [(i, f"The plain sentence number {i} reads well, and so does the next one about {i % 9} things.") for i in range(300)]
     bad = [(1000 + i, f"The plain sentence number {i} reads, you {('blorp', 'Snarg', 'FROB')[i % 3]} idle thing {i % 9}.") for i in range(150)]
-    docs = documents(fine + bad + [(5000, ""), (5001, None), (None, "you blorp"), (5002, "well " * 200_000 + "snarg frob")], score="clash", hashes=1, label="x")
+    docs = documents(fine + bad + [(5000, ""), (5001, None), (None, "you blorp"), (5002, "well " * 200_000 + "you snarg idle thing")], score="clash", hashes=1, label="x")
     labels = spark.createDataFrame([(i, 0) for i, _ in fine] + [(i, 1) for i, _ in bad] + [(None, 1), (1, None)], "doc_id long, toxic int")
     got = toxicity.judged(docs, labels).collect()
     assert len(got) == 454 and all(0 <= r.score <= 1 for r in got)
