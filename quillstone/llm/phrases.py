@@ -29,7 +29,7 @@ from quillstone.llm.hashing import ODD, mix
 
 LONGEST, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Bytes of text that are looked at together.
-WINDOW = 4 << 20
+WINDOW = 1 << 20
 #: Bits of each table of frequent fingerprints: 16 MB.
 FILTER_BITS = 27
 #: So many rows of 16 bytes are broadcast at most.
