@@ -59,9 +59,9 @@ def bm25(asked: DataFrame, posted: DataFrame, lengths: DataFrame, corpus: DataFr
 
 def bm25_relaxed(asked: DataFrame, posted: DataFrame, lengths: DataFrame, corpus: DataFrame, only: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
     """As `bm25` with `only`, but questions of which no candidate is left are ranked over all units (relaxed)."""
-    scored = bm25_scores(asked, posted, lengths, corpus, key).join(only.withColumn("_in", F.lit(True)), ["qid", key], "left")
-    scored = scored.withColumn("relaxed", F.max(F.coalesce("_in", F.lit(False))).over(W.partitionBy("qid")) == F.lit(False)).filter("relaxed OR _in")
-    return _top(scored, k, key).select("qid", key, "score", "rank", "relaxed")
+    filtered = bm25(asked, posted, lengths, corpus, k, key, only)
+    rest = asked.join(filtered.select("qid").distinct(), "qid", "left_anti")
+    return relaxed(filtered, bm25(rest, posted, lengths, corpus, k, key))
 
 
 def cosine(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id", keep: Column | None = None) -> DataFrame:
@@ -97,7 +97,11 @@ def relaxed(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
 
 
 def with_full_text(hits: DataFrame, units: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Join the whole text after the cut; a hit that the units lack keeps its own text, if it has one."""
+    """Join the whole text after the cut; a hit that the units lack keeps its own text, if it has one.
+
+    The ids asked for go to the units where they are few, so that only the texts of hits are moved.
+    """
+    units = units.join(_small(hits.select(key).distinct(), BROADCAST_TERMS), key, "left_semi")
     full = units.select(key, F.col("text").alias("_full"), *(c for c in ("ticker", "form", "filed", "page") if c in units.columns and c not in hits.columns))
     own = F.col("text") if "text" in hits.columns else F.lit(None).cast("string")
     return hits.join(full, key, "left").withColumn("text", F.coalesce("_full", own)).drop("_full")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import questions as Q
 from quillstone.functions.reference import STOPWORDS
 from quillstone.functions.stem import stemmed
-from quillstone.operators import chunks, index, pages, retrieve, service
+from quillstone.operators import chunks, index, pages, retrieve, segments, service
+from quillstone.session import files_of, saved, shared_folder
 from quillstone.sources.filings import filings, first_per_form, table
 
 K = 10
@@ -28,20 +32,29 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _keyword(spark: SparkSession, d: str, mode: str) -> DataFrame:
+def _index(spark: SparkSession, d: str) -> segments.Segments:
+    """The index of the filings as the shared folder holds it; written there once for each state of the table's files."""
+    files, path = files_of(spark, f"{d}/documents.parquet")
+    held = files.getContentSummary(path)
+    state = f"{path}|{held.getLength()}|{held.getFileCount()}|{files.getFileStatus(path).getModificationTime()}"
+    at = f"{shared_folder(spark)}/indexes/{hashlib.sha256(state.encode()).hexdigest()[:16]}"
+    if not segments.versions(spark, at):
+        segments.add(_units(spark, d), at, "doc_id", stem=False)
+    return segments.load(spark, at)
+
+
+def _own_filings(held: segments.Segments, asked: DataFrame) -> DataFrame:
+    """The filings of each question's company and window."""
+    return segments.allowed(held, asked.select("qid", "ticker", "filed_from", "filed_to"), F.col("filed").between(F.col("filed_from"), F.col("filed_to")))
+
+
+def _keyword(held: segments.Segments, asked: DataFrame, mode: str) -> DataFrame:
     """BM25 over all units (all), those of the question's company and window (filtered), or those if any (relaxed)."""
-    units, asked = _units(spark, d), _questions(spark, d)
-    posted = index.postings(units, "doc_id")
-    lengths, corpus = index.statistics(posted, units, "doc_id")
     terms = retrieve.question_terms(asked)
     if mode == "all":
-        return retrieve.bm25(terms, posted, lengths, corpus, K, "doc_id")
-    u, q = units.select("doc_id", "ticker", "filed"), asked.select("qid", "ticker", "filed_from", "filed_to")
-    q = F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q
-    only = u.join(q, "ticker").filter(F.col("filed").between(F.col("filed_from"), F.col("filed_to"))).select("qid", "doc_id")
-    if mode == "filtered":
-        return retrieve.bm25(terms, posted, lengths, corpus, K, "doc_id", only)
-    return retrieve.bm25_relaxed(terms, posted, lengths, corpus, only, K, "doc_id")
+        return segments.search(held, terms, K)
+    only = _own_filings(held, asked)
+    return segments.search(held, terms, K, only) if mode == "filtered" else segments.search_relaxed(held, terms, only, K)
 
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +64,8 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.interleaved(_keyword(spark, d, "relaxed"), _dense(spark, d), "doc_id")
+    """One table of ids a question; saved, as text is joined to it and it is ranked after that."""
+    return saved(retrieve.interleaved(_keyword(_index(spark, d), _questions(spark, d), "relaxed"), _dense(spark, d), "doc_id"))
 
 
 def q01_coverage(spark, d):
@@ -90,11 +104,32 @@ def q08_postings(spark, d):
 
 
 def q09_bm25_topk(spark, d):
-    return _keyword(spark, d, "all")
+    return _keyword(_index(spark, d), _questions(spark, d), "all")
 
 
 def q10_bm25_filtered(spark, d):
-    return _keyword(spark, d, "filtered")
+    return _keyword(_index(spark, d), _questions(spark, d), "filtered")
+
+
+def _grown(spark: SparkSession, d: str) -> str:
+    """An index that grew: the even filings first, then the odd ones and every tenth again, less every seventh of them all."""
+    at, f = f"{shared_folder(spark)}/indexes/grown-{uuid.uuid4().hex}", _units(spark, d)
+    segments.add(f.filter("doc_id % 2 = 0"), at, "doc_id", stem=False)
+    segments.add(f.filter("doc_id % 2 = 1 OR doc_id % 10 = 0"), at, "doc_id", stem=False)
+    segments.delete(f.filter("doc_id % 7 = 3").select("doc_id"), at)
+    return at
+
+
+def q62_grown_index(spark, d):
+    """BM25 over an index of two segments and deletions."""
+    return _keyword(segments.load(spark, _grown(spark, d)), _questions(spark, d), "all")
+
+
+def q63_merged_index(spark, d):
+    """The same, filtered, once the segments are one."""
+    at = _grown(spark, d)
+    segments.merge(spark, at)
+    return _keyword(segments.load(spark, at), _questions(spark, d), "relaxed")
 
 
 def q11_dense_topk(spark, d):
@@ -102,11 +137,11 @@ def q11_dense_topk(spark, d):
 
 
 def q12_hybrid_merge(spark, d):
-    return retrieve.interleaved(_keyword(spark, d, "all"), _dense(spark, d), "doc_id")
+    return retrieve.interleaved(_keyword(_index(spark, d), _questions(spark, d), "all"), _dense(spark, d), "doc_id")
 
 
 def q13_filter_relaxation(spark, d):
-    return _keyword(spark, d, "relaxed")
+    return _keyword(_index(spark, d), _questions(spark, d), "relaxed")
 
 
 def q14_hydrate(spark, d):
@@ -255,6 +290,7 @@ _BM25 = _POST + ", " + _QUESTIONS + f""", dl AS (SELECT f.doc_id, coalesce(sum(t
     kf AS (SELECT * FROM (SELECT s.qid, s.doc_id, score, CAST(row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, s.doc_id) AS INTEGER) AS rank
            FROM s JOIN q USING (qid) JOIN f ON f.doc_id = s.doc_id AND f.ticker = q.ticker AND f.filed BETWEEN filed_from AND filed_to) WHERE rank <= 10),
     rx AS (SELECT *, false AS relaxed FROM kf UNION ALL SELECT *, true FROM kw WHERE qid NOT IN (SELECT qid FROM kf))"""
+_GROWN = _BM25.replace(" FROM documents)", " FROM documents WHERE doc_id % 7 <> 3)", 1)
 _DENSE = """, dn AS (SELECT * FROM (SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank
     FROM (SELECT q.qid, c.vec_id AS doc_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score
           FROM q JOIN embeddings v ON v.vec_id = q.qid CROSS JOIN embeddings c)) WHERE rank <= 10)"""
@@ -300,6 +336,8 @@ ORACLES = {
     "q16_find_passages": _RANKED + """ SELECT qid, rank, rk.doc_id AS id, '[' || ticker || ' ' || form || ' ' || filed || ']' AS citation,
         md5(CASE WHEN length(text) > 8000 THEN substr(text, 1, 8000) || ' [... truncated]' ELSE text END) AS digest,
         CAST(length(CASE WHEN length(text) > 8000 THEN substr(text, 1, 8000) || ' [... truncated]' ELSE text END) AS INTEGER) AS n_chars FROM rk JOIN f USING (doc_id)""",
+    "q62_grown_index": f"WITH {_GROWN} SELECT * FROM kw",
+    "q63_merged_index": f"WITH {_GROWN} SELECT * FROM rx",
     "q35_refresh_anti": f"WITH {F_SQL} SELECT doc_id, ticker, form, filed FROM f WHERE (ticker, filed) NOT IN (SELECT (ticker, filed) FROM f WHERE doc_id % 2 = 0)",
     "q36_merge_chunks": """WITH u AS (SELECT md5(text) AS chunk_id, doc_id FROM documents), a AS (SELECT chunk_id, min(doc_id) AS doc_id FROM u WHERE doc_id % 2 = 0 GROUP BY 1),
         n AS (SELECT chunk_id, min(doc_id) AS doc_id FROM u WHERE doc_id % 2 = 1 GROUP BY 1) SELECT * FROM a UNION ALL SELECT * FROM n WHERE chunk_id NOT IN (SELECT chunk_id FROM a)""",
