@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import broadcast_if_small, saved, text_key, text_of
+from quillstone.llm.common import ascii_lower, broadcast_if_small, saved, text_key, text_of
 from quillstone.llm.hashing import ODD, mix
 
 LONGEST, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
@@ -40,6 +40,7 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(SPACES)], _KIND[list(BREAKS)] = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_TRANSLATED = _LOWER.tobytes()
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64))[_LOWER]
 _BACK = np.uint64(pow(ODD | 1, -1, 1 << 64))
 _ODD = np.uint64(ODD | 1)
@@ -147,7 +148,7 @@ def counting(n: int, table: Callable[[], np.ndarray] | None, cut: int) -> Callab
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table() if table else None
+        bits, held = table() if table else None, Merged(["print", "count"], 1)
         for batch in batches:
             data, bounds = _texts(batch)
             seeds = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -158,11 +159,37 @@ def counting(n: int, table: Callable[[], np.ndarray] | None, cut: int) -> Callab
                     part = _holds(bits, words.grams(n - 1, seeds)[0] >> np.uint64(cut))
                     good &= part[:-1] & part[1:]
                 found, count = np.unique(prints[good] >> np.uint64(cut), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count)], ["print", "count"])
+                yield from held.take([found.view(np.int64), count])
+        yield from held.rest()
 
     return run
 
 
+class Merged:
+    """Counts that come in many batches, given on once they are many: rows with equal keys are added up before."""
+
+    def __init__(self, names: list[str], keys: int, most: int = 2_000_000):
+        self.names, self.keys, self.most, self.parts, self.size = names, keys, most, [], 0
+
+    def take(self, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """arrays: the keys, the count, and what is kept of the first row of each."""
+        self.parts.append(arrays)
+        self.size += len(arrays[0])
+        if self.size > self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+            self.parts, self.size = [], 0
+            order = np.lexsort(columns[: self.keys][::-1])
+            columns = [x[order] for x in columns]
+            new = np.r_[True, np.any([x[1:] != x[:-1] for x in columns[: self.keys]], axis=0)]
+            first = np.flatnonzero(new)
+            out = [np.add.reduceat(x, first) if i == self.keys else x[first] for i, x in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], self.names)
+
+
 def _same(data: np.ndarray, words: Words, n: int, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Whether the n-grams at some words are byte for byte those at others: word by word, lower-cased."""
     out = np.ones(len(at), bool)
@@ -180,21 +207,23 @@ def _same(data: np.ndarray, words: Words, n: int, at: np.ndarray, to: np.ndarray
     return out
 
 
-FOUND = "lang string, n int, digest binary, count long, k1 long, k2 long, start long, stop long"
+FOUND = ["d1", "d2", "count", "k1", "k2", "start", "stop"]
 
 
 def pointing(tables: list[Callable[[], np.ndarray]], longest: int, cut: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From (text, seed, lang, k1, k2) to FOUND: counts of the n-grams that the tables let through.
 
-    A row has the digest of the words and a pointer: the key of a text, and the bytes from start to stop in it.
+    A row has the digest of the language and the words, 128 bits, and a pointer: the key of a row, and the bytes
+    from start to stop in its text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [t() for t in tables]
-        schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("digest", pa.binary()), ("count", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+        bits, held = [t() for t in tables], Merged(FOUND, 2, 500_000)
         for batch in batches:
             data, bounds = _texts(batch)
             seeds = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
+            langs = [x.encode() for x in batch.column("lang").to_pylist()]
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2")]
             for words, carried in windows(data, bounds, LONGEST - 1):
                 shorter = None
                 for n in range(1, longest + 1):
@@ -209,33 +238,37 @@ def pointing(tables: list[Callable[[], np.ndarray]], longest: int, cut: int) ->
                     at = np.flatnonzero(good)
                     if not len(at):
                         continue
-                    rows, counts = _told_apart(data, words, n, at, prints[at] >> np.uint64(cut))
+                    rows, counts = _told_apart(data, words, n, at, words.row, langs, prints[at] >> np.uint64(cut))
                     row = words.row[rows]
-                    digests = [_digest(data, words, n, i) for i in rows.tolist()]
-                    arrays = [batch.column("lang").take(pa.array(row)).cast(pa.string()), pa.array(np.full(len(rows), n, np.int32)), pa.array(digests, pa.binary()), pa.array(counts)]
-                    arrays += [batch.column(k).take(pa.array(row)) for k in ("k1", "k2")]
-                    arrays += [pa.array(words.start[rows] - bounds[row]), pa.array(words.stop[rows + n - 1] - bounds[row])]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                    digests = np.frombuffer(b"".join(_digests(data, words, n, rows, [langs[r] for r in row.tolist()])), np.int64).reshape(-1, 2)
+                    yield from held.take([digests[:, 0], digests[:, 1], counts, keys[0][row], keys[1][row], words.start[rows] - bounds[row], words.stop[rows + n - 1] - bounds[row]])
+        yield from held.rest()
 
     return run
 
 
-def _told_apart(data: np.ndarray, words: Words, n: int, at: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first occurrence and the number of each different n-gram: a group of one fingerprint is compared with its
-    first, and what differs is a group again."""
+def _told_apart(data: np.ndarray, words: Words, n: int, at: np.ndarray, row: np.ndarray, langs: list[bytes], prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first occurrence and the number of each different n-gram of a language: a group of one fingerprint is
+    compared with its first, and what differs is a group again."""
     rows, counts = [], []
+    known = {x: i for i, x in enumerate(set(langs))}
+    tongue = np.array([known[x] for x in langs])
     while len(at):
         _, first, group = np.unique(prints, return_index=True, return_inverse=True)
-        same = _same(data, words, n, at, at[first][group])
+        to = at[first][group]
+        same = _same(data, words, n, at, to) & (tongue[row[at]] == tongue[row[to]])
         rows.append(at[first])
         counts.append(np.bincount(group[same], minlength=len(first)))
         at, prints = at[~same], prints[~same]
     return np.concatenate(rows), np.concatenate(counts)
 
 
-def _digest(data: np.ndarray, words: Words, n: int, at: int) -> bytes:
-    start, stop = words.start[at : at + n].tolist(), words.stop[at : at + n].tolist()
-    return blake2b(b" ".join(_LOWER[data[a:b]].tobytes() for a, b in zip(start, stop, strict=True)), digest_size=16).digest()
+def _digests(data: np.ndarray, words: Words, n: int, rows: np.ndarray, langs: list[bytes]) -> Iterator[bytes]:
+    """128 bits of the language and the words, lower-cased and parted by spaces."""
+    starts, stops = ([x[rows + k].tolist() for k in range(n)] for x in (words.start, words.stop))
+    for lang, *places in zip(langs, *starts, *stops, strict=True):
+        text = b" ".join([data[a:b].tobytes().translate(_TRANSLATED) for a, b in zip(places[:n], places[n:], strict=True)])
+        yield blake2b(b"%d:%s %s" % (len(lang), lang, text), digest_size=16).digest()
 
 
 def bit_table(prints: DataFrame, bits: int = FILTER_BITS) -> Callable[[], np.ndarray]:
@@ -258,19 +291,23 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cut: i
     for n in range(1, longest):
         counted = read.select("text", "seed").mapInArrow(counting(n, tables[-1] if tables else None, cut), "print long, count long")
         tables.append(bit_table(counted.groupBy("print").agg(F.sum("count").alias("f")).filter(F.col("f") >= least)))
-    key = text_key(F.col("text"))
-    rows = read.select("lang", "text", "seed", key["k1"].alias("k1"), key["k2"].alias("k2")).mapInArrow(pointing(tables, longest, cut), FOUND)
-    exact = rows.groupBy("lang", "n", "digest").agg(F.sum("count").alias("f"), F.min(F.struct("k1", "k2", "start", "stop")).alias("at")).filter(F.col("f") >= least)
-    exact = saved(exact)
+    # a row's key covers its language, so that a pointer gives that too
+    key = text_key(F.concat_ws("|", F.length("lang"), "lang", "text"))
+    keyed = read.select("lang", "text", "seed", key["k1"].alias("k1"), key["k2"].alias("k2"))
+    rows = keyed.mapInArrow(pointing(tables, longest, cut), "d1 long, d2 long, count long, k1 long, k2 long, start long, stop long")
+    # the pointer is that of one row, the one with the least k1, field by field: whole numbers are summed up by hash
+    exact = rows.groupBy("d1", "d2").agg(F.sum("count").alias("f"), *(F.min_by(c, "k1").alias(c) for c in ("k1", "k2", "start", "stop")))
+    exact = saved(exact.filter(F.col("f") >= least).select("f", "k1", "k2", "start", "stop"))
     # all pointers into a text are cut out of it at once
-    spots = exact.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("lang", "n", "f", "at.start", "at.stop")).alias("spots"))
-    few = broadcast_if_small(spots.select("k1", "k2"), SIDE_ROWS)
-    texts = read.select(key["k1"].alias("k1"), key["k2"].alias("k2"), "text").join(few, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    cut_out = texts.join(spots, ["k1", "k2"]).select(F.encode("text", "UTF-8").alias("bytes"), F.explode("spots").alias("x"))
+    spots = exact.groupBy("k1", "k2").agg(F.collect_list(F.struct("f", "start", "stop")).alias("spots"))
+    few = broadcast_if_small(exact.select("k1", "k2").distinct(), SIDE_ROWS)
+    texts = keyed.select("k1", "k2", "lang", "text").join(few, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    cut_out = texts.join(spots, ["k1", "k2"]).select("lang", F.encode("text", "UTF-8").alias("bytes"), F.explode("spots").alias("x"))
     phrase = F.decode(F.expr("substring(bytes, CAST(x.start AS INT) + 1, CAST(x.stop - x.start AS INT))"), "UTF-8")
-    phrase = F.regexp_replace(F.translate(phrase, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[ \t]+", " ")
+    phrase = F.regexp_replace(ascii_lower(phrase), "[ \t]+", " ")
     totals = read.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(r"[^ \t.,;:!?\n\x0B\f\r]+")).cast("long")).alias("n"))
-    return saved(cut_out.select("x.lang", "x.n", phrase.alias("phrase"), "x.f")), totals
+    found = saved(cut_out.select("lang", phrase.alias("phrase"), "x.f"))
+    return found.select("lang", F.size(F.split("phrase", " ")).alias("n"), "phrase", "f"), totals
 
 
 def _whole(column: str | Column) -> Column:
