@@ -1,7 +1,10 @@
 """Streaming operators equal their batch forms."""
 
 import time
+from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import service as batch
@@ -31,18 +34,67 @@ def test_counts_of_closed_windows(spark, tmp_path):
     assert got and all(want[k] == v for k, v in got.items()) and len(want) - len(got) <= 5
 
 
-def test_budget_equals_batch(spark, tmp_path):
-    s = stream(spark, tmp_path).select("id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.floor("value").cast("long").alias("tokens"))
-    got = {r.id: r.granted for r in drained(spark, service.budgeted(s, 500), "budget").collect()}
-    e = spark.read.parquet(EVENTS).select(F.col("event_id").alias("id"), "ts", F.floor("value").cast("long").alias("tokens"))
-    assert got == {r.id: r.granted for r in batch.budget(e, 500).collect()}
+def shuffled(spark, tmp_path, rows, schema, parts=5, seed=3):
+    """A stream of the rows in any order over micro-batches, ended by a row that lets the watermark pass them all."""
+    order = np.random.default_rng(seed).permutation(len(rows))
+    for n in range(parts):
+        time.sleep(0.02)  # files are taken in order of their times
+        spark.createDataFrame([rows[i] for i in order[n::parts]], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    last = dict(zip(spark.createDataFrame([], schema).columns, rows[0], strict=True)) | {"id": -1, "ts": max(r[1] for r in rows) + timedelta(days=60)}
+    spark.createDataFrame([tuple(last.values())], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{parts}")
+    s = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    return service.event_time(s, "3 days")
 
 
-def test_limits_equal_batch(spark, tmp_path):
-    s = stream(spark, tmp_path, "date_trunc('hour', ts)").select("id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    got = {r.id: r.allowed for r in drained(spark, service.limited(s, 2, 12), "limits").collect()}
-    e = spark.read.parquet(EVENTS).select(F.col("event_id").alias("id"), F.date_trunc("hour", "ts").alias("ts"))
-    assert got == {r.id: r.allowed for r in batch.call_limits(e, 2, 12).collect()}
+def calls_of_a_day(n=400):
+    """Calls in bursts, several at one instant, some at the last moment of the day, and a few on the day after."""
+    r, day = np.random.default_rng(4), datetime(2024, 3, 1)
+    return [(i, day + timedelta(minutes=int(r.integers(0, 40)) * (37 if i % 9 else 36), seconds=int(r.integers(0, 3)) * 29.999999), f"t{i % 3}", f" Arg {'ab'[i % 2]}  {i % 4}", i % 5 != 0) for i in range(n)]
+
+
+CALLS = "id long, ts timestamp, tool string, arguments string, clean boolean"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_limits_of_shuffled_calls_equal_batch(spark, tmp_path, seed):
+    rows = calls_of_a_day()
+    got = drained(spark, service.limited(shuffled(spark, tmp_path, rows, CALLS, seed=seed), 7, 180), f"limits{seed}")
+    want = batch.call_limits(spark.createDataFrame(rows, CALLS), 7, 180).collect()
+    assert {(r.id, r.allowed, r.reason, r.retry_after) for r in got.filter("id >= 0").collect()} == {(r.id, r.allowed, r.reason, r.retry_after) for r in want}
+    assert {r.reason for r in want} == {None, "minute", "day"} and got.filter("id >= 0").count() == len(rows)
+
+
+def test_budget_of_shuffled_requests_equals_batch(spark, tmp_path):
+    rows = [(i, ts, i * 7 % 50 if i % 11 else None) for i, ts, *_ in calls_of_a_day()]
+    schema = "id long, ts timestamp, tokens long"
+    got = drained(spark, service.budgeted(shuffled(spark, tmp_path, rows, schema), 3000), "budget")
+    want = {r.id: r.granted for r in batch.budget(spark.createDataFrame(rows, schema), 3000).collect()}
+    assert {r.id: r.granted for r in got.filter("id >= 0").collect()} == want and len(set(want.values())) == 2
+
+
+def test_cache_of_shuffled_calls_equals_batch(spark, tmp_path):
+    rows = [(i, ts, f"k{i % 7}" if i % 10 else None, clean) for i, ts, _, _, clean in calls_of_a_day()]
+    schema = "id long, ts timestamp, key string, clean boolean"
+    got = drained(spark, service.cached(shuffled(spark, tmp_path, rows, schema), 6), "cache")
+    want = {r.id: r.hit for r in batch.cache_hits(spark.createDataFrame(rows, schema), 6).collect()}
+    assert {r.id: r.hit for r in got.filter("id >= 0").collect()} == want and len(set(want.values())) == 2
+
+
+def test_guard_of_shuffled_calls_equals_batch(spark, tmp_path):
+    rows = calls_of_a_day(240)
+    got = drained(spark, service.guarded(shuffled(spark, tmp_path, rows, CALLS, 3), "v1", 5, 90, 3), "guard").filter("id >= 0").collect()
+    want = batch.guarded(spark.createDataFrame(rows, CALLS), "v1", 5, 90, 3).collect()
+    key = lambda r: (r.id, r.tool, r.arguments, r.clean, r.rate_limited, r.reason, r.retry_after, r.cache_hit, r.worked)
+    assert sorted(map(key, got), key=str) == sorted(map(key, want), key=str)
+    assert {(r.rate_limited, r.cache_hit) for r in want} == {(True, False), (False, True), (False, False)}
+
+
+def test_what_the_watermark_has_not_passed_waits(spark, tmp_path):
+    rows = [(1, datetime(2024, 3, 1, 1), 5), (2, datetime(2024, 3, 3), 5), (3, datetime(2024, 3, 5), 5)]
+    spark.createDataFrame(rows, "id long, ts timestamp, tokens long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("id long, ts timestamp, tokens long").parquet(f"{tmp_path}/in")
+    got = drained(spark, service.budgeted(service.event_time(s, "3 days"), 8), "waiting")
+    assert [r.id for r in got.collect()] == [1]
 
 
 def test_first_of_each(spark, tmp_path):
@@ -68,14 +120,6 @@ def test_refresh(spark, tmp_path):
     assert run() == [("A", "2020-01-01"), ("A", "2020-05-01"), ("B", "2020-01-01")]
 
 
-def test_cache_equals_batch(spark, tmp_path):
-    key = F.concat_ws("|", "tool", (F.col("id") % 5).cast("string"))
-    s = stream(spark, tmp_path).select("id", "ts", key.alias("key"), (F.col("id") % 4 != 0).alias("clean"))
-    got = {r.id: r.hit for r in drained(spark, service.cached(s, 6), "cache").collect()}
-    e = spark.read.parquet(EVENTS).select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("tool")).select("id", "ts", key.alias("key"), (F.col("id") % 4 != 0).alias("clean"))
-    assert got == {r.id: r.hit for r in batch.cache_hits(e, 6).collect()}
-
-
 def test_log_is_appended(spark, tmp_path):
     calls = "ts timestamp, tool string, arguments string, latency_ms int, passages array<struct<ticker:string>>, figures map<string,array<double>>, cache_hit boolean, rate_limited boolean, error string"
     spark.sql("SELECT TIMESTAMP'2024-01-01 00:00:00' AS ts, 't' AS tool, 'x' AS arguments, 5 AS latency_ms, array(struct('A' AS ticker)) AS passages, map('B', array(1D)) AS figures, false AS cache_hit, false AS rate_limited, 'e' AS error").write.parquet(f"{tmp_path}/calls")
