@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ascii_lower, broadcast_if_small, saved, text_key, text_of
+from quillstone.llm.common import ascii_lower, broadcast_if_small, saved, text_of
 from quillstone.llm.hashing import ODD, mix
 
 LONGEST, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
@@ -168,7 +168,7 @@ def counting(n: int, table: Callable[[], np.ndarray] | None, cut: int) -> Callab
 class Merged:
     """Counts that come in many batches, given on once they are many: rows with equal keys are added up before."""
 
-    def __init__(self, names: list[str], keys: int, most: int = 2_000_000):
+    def __init__(self, names: list[str], keys: int, most: int = 400_000):
         self.names, self.keys, self.most, self.parts, self.size = names, keys, most, [], 0
 
     def take(self, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,8 @@ class Merged:
             new = np.r_[True, np.any([x[1:] != x[:-1] for x in columns[: self.keys]], axis=0)]
             first = np.flatnonzero(new)
             out = [np.add.reduceat(x, first) if i == self.keys else x[first] for i, x in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], self.names)
+            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in out], self.names)
+            yield from (whole.slice(at, 50_000) for at in range(0, len(first), 50_000))
 
 
 def _same(data: np.ndarray, words: Words, n: int, at: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -213,12 +214,12 @@ FOUND = ["d1", "d2", "count", "k1", "k2", "start", "stop"]
 def pointing(tables: list[Callable[[], np.ndarray]], longest: int, cut: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From (text, seed, lang, k1, k2) to FOUND: counts of the n-grams that the tables let through.
 
-    A row has the digest of the language and the words, 128 bits, and a pointer: the key of a row, and the bytes
+    A row has the digest of the language and the words, 96 bits, and a pointer: the key of a row, and the bytes
     from start to stop in its text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = [t() for t in tables], Merged(FOUND, 2, 500_000)
+        bits, held = [t() for t in tables], Merged(FOUND, 2, 100_000)
         for batch in batches:
             data, bounds = _texts(batch)
             seeds = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -240,8 +241,8 @@ def pointing(tables: list[Callable[[], np.ndarray]], longest: int, cut: int) ->
                         continue
                     rows, counts = _told_apart(data, words, n, at, words.row, langs, prints[at] >> np.uint64(cut))
                     row = words.row[rows]
-                    digests = np.frombuffer(b"".join(_digests(data, words, n, rows, [langs[r] for r in row.tolist()])), np.int64).reshape(-1, 2)
-                    yield from held.take([digests[:, 0], digests[:, 1], counts, keys[0][row], keys[1][row], words.start[rows] - bounds[row], words.stop[rows + n - 1] - bounds[row]])
+                    digests = np.frombuffer(b"".join(_digests(data, words, n, rows, [langs[r] for r in row.tolist()])), [("d1", np.int64), ("d2", np.int32)])
+                    yield from held.take([digests["d1"], digests["d2"], counts, keys[0][row], keys[1][row], words.start[rows] - bounds[row], words.stop[rows + n - 1] - bounds[row]])
         yield from held.rest()
 
     return run
@@ -264,11 +265,11 @@ def _told_apart(data: np.ndarray, words: Words, n: int, at: np.ndarray, row: np.
 
 
 def _digests(data: np.ndarray, words: Words, n: int, rows: np.ndarray, langs: list[bytes]) -> Iterator[bytes]:
-    """128 bits of the language and the words, lower-cased and parted by spaces."""
+    """96 bits of the language and the words, lower-cased and parted by spaces."""
     starts, stops = ([x[rows + k].tolist() for k in range(n)] for x in (words.start, words.stop))
     for lang, *places in zip(langs, *starts, *stops, strict=True):
         text = b" ".join([data[a:b].tobytes().translate(_TRANSLATED) for a, b in zip(places[:n], places[n:], strict=True)])
-        yield blake2b(b"%d:%s %s" % (len(lang), lang, text), digest_size=16).digest()
+        yield blake2b(b"%d:%s %s" % (len(lang), lang, text), digest_size=12).digest()
 
 
 def bit_table(prints: DataFrame, bits: int = FILTER_BITS) -> Callable[[], np.ndarray]:
@@ -292,9 +293,9 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cut: i
         counted = read.select("text", "seed").mapInArrow(counting(n, tables[-1] if tables else None, cut), "print long, count long")
         tables.append(bit_table(counted.groupBy("print").agg(F.sum("count").alias("f")).filter(F.col("f") >= least)))
     # a row's key covers its language, so that a pointer gives that too
-    key = text_key(F.concat_ws("|", F.length("lang"), "lang", "text"))
-    keyed = read.select("lang", "text", "seed", key["k1"].alias("k1"), key["k2"].alias("k2"))
-    rows = keyed.mapInArrow(pointing(tables, longest, cut), "d1 long, d2 long, count long, k1 long, k2 long, start long, stop long")
+    key = F.concat_ws("|", F.length("lang"), "lang", "text")
+    keyed = read.select("lang", "text", "seed", F.xxhash64(key).alias("k1"), F.hash(F.lit(7), key).alias("k2"))
+    rows = keyed.mapInArrow(pointing(tables, longest, cut), "d1 long, d2 int, count long, k1 long, k2 int, start long, stop long")
     # the pointer is that of one row, the one with the least k1, field by field: whole numbers are summed up by hash
     exact = rows.groupBy("d1", "d2").agg(F.sum("count").alias("f"), *(F.min_by(c, "k1").alias(c) for c in ("k1", "k2", "start", "stop")))
     exact = saved(exact.filter(F.col("f") >= least).select("f", "k1", "k2", "start", "stop"))
