@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.stem import stemmed
 from quillstone.functions.text import terms
+from quillstone.session import names_in, remove
+from quillstone.sources import manifests
 
 
 def postings(units: DataFrame, key: str = "chunk_id", stem: bool = False) -> DataFrame:
@@ -76,13 +78,39 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(read("postings"), read("lengths"), corpus.filter(F.col("version") == newest["version"]).select("n", "avgdl"), newest["stem"])
 
 
-def lookup_tables(units: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """Write what answers without a search: the texts by key, sorted so that a few ids read few row groups, and the coverage."""
+def forget(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Remove what the versions but the newest `keep` wrote; returns their names. A version that is being written stays."""
+    known = [r["version"] for r in spark.read.parquet(f"{path}/corpus").orderBy(F.desc("made"), "version").select("version").collect()]
+    there = {x for part in ("postings", "lengths") for x in names_in(spark, f"{path}/{part}")}
+    gone = [v for v in known[max(1, keep) :] if f"version={v}" in there]
+    for version in gone:
+        for part in ("postings", "lengths"):
+            remove(spark, f"{path}/{part}/version={version}")
+    return gone
+
+
+LOOKUP = "kind string, name string"
+
+
+def lookup_tables(units: DataFrame, path: str, key: str = "chunk_id") -> int:
+    """Publish what answers without a search: the texts by key, sorted so that a few ids read few row groups, and the coverage.
+
+    Both switch at once, by a manifest; `manifests.forget` removes former ones.
+    """
+    spark, name = units.sparkSession, uuid.uuid4().hex
     held = units.dropDuplicates([key])
-    held.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/units")
-    units.groupBy("ticker", "form", "filed").agg(F.count("*").alias("chunks")).write.mode("overwrite").parquet(f"{path}/coverage")
+    held.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{path}/lookup/{name}/units")
+    units.groupBy("ticker", "form", "filed").agg(F.count("*").alias("chunks")).write.parquet(f"{path}/lookup/{name}/coverage")
+    return manifests.commit(spark, path, [("lookup", name)], LOOKUP)
 
 
 def by_ids(spark: SparkSession, path: str, ids: list[str], key: str = "chunk_id") -> DataFrame:
     """The units with these ids; unknown ids are absent."""
-    return spark.read.parquet(f"{path}/units").filter(F.col(key).isin(ids))
+    name = manifests.entries(spark, path, LOOKUP)[0]["name"]
+    return spark.read.parquet(f"{path}/lookup/{name}/units").filter(F.col(key).isin(ids))
+
+
+def coverage(spark: SparkSession, path: str) -> DataFrame:
+    """The coverage that was published with the units."""
+    name = manifests.entries(spark, path, LOOKUP)[0]["name"]
+    return spark.read.parquet(f"{path}/lookup/{name}/coverage")

@@ -5,9 +5,8 @@ postings are one row for each term and slab, with the largest tf and the smalles
 bound every score of the slab, whatever the corpus's statistics become, so a search reads the arrays of postings
 only where the bound reaches the k-th best score found so far, and only in slabs that the filters leave.
 
-The segments and deletions that make up the index are listed in a manifest, a new one for each change, written as
-one file: readers take the newest that is there, so they see a change whole or not at all. Frequencies, lengths
-and numbers of units are sums over segments, less those of the units deleted. One writer at a time is assumed.
+The segments and deletions that make up the index are listed in a manifest, a new one for each change (see
+`manifests`). Frequencies, lengths and numbers of units are sums over segments, less those of the units deleted.
 """
 
 from __future__ import annotations
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.index import postings
 from quillstone.operators.retrieve import BROADCAST_TERMS, K1, LEAST_IDF, PLACES, B
-from quillstone.session import names_in, remove
+from quillstone.session import remove
+from quillstone.sources import manifests
 
 SLAB = 128
 #: At least so many slabs of a question are scored first, for the score that others must reach.
@@ -56,22 +56,7 @@ def _small(df: DataFrame, rows: int = SIDE_ROWS) -> DataFrame:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The versions of the index that are whole, oldest first."""
-    names = names_in(spark, f"{path}/manifests")
-    return sorted(int(x.split("=")[1]) for x in names if x.startswith("version=") and "_SUCCESS" in names_in(spark, f"{path}/manifests/{x}"))
-
-
-def _manifest(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list]:
-    known = versions(spark, path)
-    if version is None:
-        version = known[-1] if known else 0
-    rows = spark.read.schema(ENTRY).parquet(f"{path}/manifests/version={version}").collect() if version in known else []
-    return version, rows
-
-
-def _commit(spark: SparkSession, path: str, rows: list) -> int:
-    version = max([0, *(int(x.split("=")[1]) for x in names_in(spark, f"{path}/manifests") if x.startswith("version="))]) + 1
-    spark.createDataFrame(rows, ENTRY).coalesce(1).write.parquet(f"{path}/manifests/version={version}")
-    return version
+    return manifests.versions(spark, path)
 
 
 def _write(spark: SparkSession, path: str, name: str, posted: DataFrame, units: DataFrame, key: str, attributes: list[str]) -> tuple[int, int]:
@@ -96,7 +81,7 @@ def add(units: DataFrame, path: str, key: str = "chunk_id", attributes: tuple[st
     its rows. Units without terms count. The key and attributes of a first call hold for all later ones.
     """
     spark = units.sparkSession
-    _, rows = _manifest(spark, path)
+    rows = manifests.entries(spark, path, ENTRY)
     _same(rows, key, list(attributes), stem)
     name = uuid.uuid4().hex
     scratch = f"{path}/segments/{name}/scratch"
@@ -109,7 +94,7 @@ def add(units: DataFrame, path: str, key: str = "chunk_id", attributes: tuple[st
     remove(spark, scratch)
     if rows:
         rows = _deleted(spark, path, rows, spark.read.parquet(f"{path}/segments/{name}/units").select(key))
-    return _commit(spark, path, [*rows, ("segment", name, n, dl, stem, key, list(attributes))])
+    return manifests.commit(spark, path, [*rows, ("segment", name, n, dl, stem, key, list(attributes))], ENTRY)
 
 
 def _same(rows: list, key: str, attributes: list[str], stem: bool) -> None:
@@ -140,8 +125,8 @@ def _deleted(spark: SparkSession, path: str, rows: list, keys: DataFrame) -> lis
 def delete(keys: DataFrame, path: str) -> int:
     """Delete the units of these keys (a column named as the index's key); unknown ones are passed over."""
     spark = keys.sparkSession
-    _, rows = _manifest(spark, path)
-    return _commit(spark, path, _deleted(spark, path, rows, keys)) if rows else 0
+    rows = manifests.entries(spark, path, ENTRY)
+    return manifests.commit(spark, path, _deleted(spark, path, rows, keys), ENTRY) if rows else 0
 
 
 def _open(spark: SparkSession, path: str, rows: list) -> Segments:
@@ -167,7 +152,7 @@ def _row(row) -> dict:
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> Segments:
     """The index as its newest manifest, or that of a version, lists it."""
-    _, rows = _manifest(spark, path, version)
+    rows = manifests.entries(spark, path, ENTRY, version)
     if not rows:
         raise ValueError(f"no index of this version at {path}")
     return _open(spark, path, rows)
@@ -180,25 +165,19 @@ def live_units(held: Segments) -> DataFrame:
 
 def merge(spark: SparkSession, path: str) -> int:
     """Write all segments as one without what was deleted, and return the version; former ones stay readable."""
-    _, rows = _manifest(spark, path)
+    rows = manifests.entries(spark, path, ENTRY)
     held, name = _open(spark, path, rows), uuid.uuid4().hex
     key = held.key
     posted = held.blocks.select("segment", "term", F.explode("posts").alias("p")).select("segment", "term", F.col("p").getField(key).alias(key), "p.tf")
     if held.gone is not None:
         posted = posted.join(_small(held.gone), ["segment", key], "left_anti")
     n, dl = _write(spark, path, name, posted.select("term", key, "tf"), live_units(held).select(key, *held.attributes, "dl"), key, held.attributes)
-    return _commit(spark, path, [("segment", name, n, dl, held.stem, key, held.attributes)])
+    return manifests.commit(spark, path, [("segment", name, n, dl, held.stem, key, held.attributes)], ENTRY)
 
 
 def forget(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     """Remove all versions but the newest `keep`, and what no version that is left names; returns what was removed."""
-    known = versions(spark, path)
-    gone = [f"manifests/version={v}" for v in known[: max(0, len(known) - max(1, keep))]]
-    named = {r["name"] for v in known[-max(1, keep) :] for r in _manifest(spark, path, v)[1]}
-    gone += [f"{part}/{x}" for part in ("segments", "deletes") for x in names_in(spark, f"{path}/{part}") if x not in named]
-    for folder in gone:
-        remove(spark, f"{path}/{folder}")
-    return gone
+    return manifests.forget(spark, path, ENTRY, ("segments", "deletes"), keep)
 
 
 def _weight(held: Segments, tf: Column, dl: Column) -> Column:

@@ -169,6 +169,18 @@ def q29_html_blocks(spark, d):
     return pages.page_blocks(table(spark, d, "pages")).select("page_id", "pos", F.length("block").alias("n_chars"), F.md5("block").alias("digest"))
 
 
+def q64_typed_tables(spark, d):
+    """The tables of pages that list each customer's orders: numbers with commas, blanks, marks of absence, truth values."""
+    k = F.col("o_orderkey")
+    price = F.format_number("o_totalprice", 2)
+    cells = (k, price, F.when(k % 4 == 0, F.when(k % 8 == 0, "n/a").otherwise("")).otherwise((k % 1000).cast("string")), F.when(k % 2 == 0, "TRUE").otherwise("false"), F.when(k % 3 == 0, "NULL").when(k % 3 == 1, price).otherwise("as agreed"))
+    row = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), c.cast("string"), F.lit("</td>")) for c in cells), F.lit("</tr>"))
+    listed = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    html = F.concat(F.lit("<p>Orders</p><table><tr><th>order</th><th>price</th><th>rank</th><th>open</th><th></th></tr>"), "rows", F.lit("</table>"))
+    found = pages.page_tables(listed.select("page_id", html.alias("html")))
+    return found.select(F.col("page_id").alias("o_custkey"), F.array_join("headers", "|").alias("headers"), F.posexplode("rows").alias("place", "cells")).select("o_custkey", "headers", "place", F.array_join("cells", "|").alias("cells"))
+
+
 def q29b_stem(spark, d):
     """The stemmed dictionary of the corpus: for each stem its forms and occurrences."""
     words = index.postings(_units(spark, d), "doc_id").groupBy("term").agg(F.sum("tf").alias("n"))
@@ -338,6 +350,11 @@ ORACLES = {
         CAST(length(CASE WHEN length(text) > 8000 THEN substr(text, 1, 8000) || ' [... truncated]' ELSE text END) AS INTEGER) AS n_chars FROM rk JOIN f USING (doc_id)""",
     "q62_grown_index": f"WITH {_GROWN} SELECT * FROM kw",
     "q63_merged_index": f"WITH {_GROWN} SELECT * FROM rx",
+    "q64_typed_tables": """WITH o AS (SELECT *, bool_or(o_orderkey % 4 = 0) OVER c AS gaps, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place,
+            bool_or(o_orderkey % 3 = 2) OVER c AS words, CAST(round(o_totalprice, 2) AS DOUBLE) AS price FROM orders WINDOW c AS (PARTITION BY o_custkey))
+        SELECT o_custkey, 'order|price|rank|open|Unnamed: 4' AS headers, CAST(place AS INTEGER) AS place, concat_ws('|', o_orderkey, CAST(price AS VARCHAR),
+            CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderkey % 1000 || CASE WHEN gaps THEN '.0' ELSE '' END END, CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END,
+            CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN words THEN printf('%.2f', price) ELSE CAST(price AS VARCHAR) END ELSE 'as agreed' END) AS cells FROM o""",
     "q35_refresh_anti": f"WITH {F_SQL} SELECT doc_id, ticker, form, filed FROM f WHERE (ticker, filed) NOT IN (SELECT (ticker, filed) FROM f WHERE doc_id % 2 = 0)",
     "q36_merge_chunks": """WITH u AS (SELECT md5(text) AS chunk_id, doc_id FROM documents), a AS (SELECT chunk_id, min(doc_id) AS doc_id FROM u WHERE doc_id % 2 = 0 GROUP BY 1),
         n AS (SELECT chunk_id, min(doc_id) AS doc_id FROM u WHERE doc_id % 2 = 1 GROUP BY 1) SELECT * FROM a UNION ALL SELECT * FROM n WHERE chunk_id NOT IN (SELECT chunk_id FROM a)""",

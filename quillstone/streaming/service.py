@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillstone.functions.reference import CACHE_HOURS, CALLS_A_DAY, CALLS_A_MINUTE, TOKENS_A_DAY
+from quillstone.operators import corpus
 from quillstone.operators import service as batch
-from quillstone.operators.service import publishable
 from quillstone.streaming.ordered import walked
 
 
@@ -122,29 +121,14 @@ def logged(calls: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return records.writeStream.partitionBy("day").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def refresh(listed: DataFrame, corpus: str, build: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Ingest newly listed filings (ticker, form, filed, text, ok) into a corpus of Parquet partitioned by ticker.
+def refresh(listed: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Publish newly listed filings (ticker, form, filed, text, ok) as they come, a version for each batch that changes anything.
 
-    A batch adds only filings on dates that the ticker lacks. A ticker with a filing that is not ok is left as
-    it is, and the others go on; a replay of a batch adds nothing. build makes chunks of new filings.
+    See `corpus.add`: a batch is known by the checkpoint and its number, so a replay adds nothing, and a run that
+    breaks between the writing of chunks and the commit leaves the former version to readers.
     """
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        bad = batch.groupBy("ticker").agg(F.every(F.coalesce("ok", F.lit(False))).alias("ok")).filter("NOT ok")
-        new = batch.join(bad, "ticker", "left_anti").drop("ok")
-        try:
-            held = spark.read.parquet(corpus).select("ticker", "filed").distinct()
-            new = new.join(held, ["ticker", "filed"], "left_anti")
-        except AnalysisException as error:  # nothing is held before the first batch
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-        if new.isEmpty():
-            return
-        made = build(new)
-        # nothing is published that lacks a filing which came
-        if not publishable(new, made).isEmpty():
-            raise ValueError(f"chunks of batch {number} lack filings")
-        made.write.mode("append").partitionBy("ticker").parquet(corpus)
+    def apply(rows: DataFrame, number: int) -> None:
+        corpus.add(rows, path, build, checkpoint, number)
 
     return listed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -50,7 +50,11 @@ def test_index_round_trip(spark, units, tmp_path):
     assert search(units, "a purchase of equipment", loaded=loaded) == ["c1"]
     index.lookup_tables(units, path)
     assert [r.chunk_id for r in index.by_ids(spark, path, ["c2", "gone"]).collect()] == ["c2"]
-    assert spark.read.parquet(f"{path}/coverage").count() == 4
+    assert index.coverage(spark, path).count() == 4
+    index.lookup_tables(units.limit(2), path)
+    assert index.coverage(spark, path).count() == 2
+    first = index.load(spark, path)
+    assert len(index.forget(spark, path)) == 1 and index.forget(spark, path) == [] and index.load(spark, path).postings.count() == first.postings.count()
 
 
 def test_search_notes_and_relaxation(spark, units):
@@ -127,7 +131,34 @@ def test_html():
     assert pages.blocks_of(html) == [("word " * 12).strip(), ("inner text " * 6).strip()]
     assert pages.blocks_of(None) == [] and pages.tables_of("") == []
     table = "<table><tr><th rowspan=2>A<th colspan=2>2020</tr><tr><td>1<td></tr></table><table><tr><td>one column</table>"
-    assert pages.tables_of(table) == [{"headers": ["0", "1", "2"], "rows": [["A", "2020", "2020.0"], ["A", "1", ""]]}]
+    assert pages.tables_of(table) == [{"headers": ["A", "2020", "2020.1"], "rows": [["A", "1", ""]]}]
+
+
+HEAD = "<tr><th>a</th><th>b</th></tr>"
+CELLS = [
+    (["1", "2"], ["1", "2"]), (["1", ""], ["1.0", ""]), (["2020", "n/a"], ["2020.0", ""]), (["3.10", "1,234"], ["3.1", "1234.0"]), (["1,234", "12,345"], ["1234", "12345"]),
+    (["1,234", "x"], ["1234", "x"]), (["$1,234", "(1,234)"], ["$1,234", "(1,234)"]), (["007", "+5"], ["7", "5"]), (["1e3", "-.5"], ["1000.0", "-0.5"]), (["TRUE", "false"], ["True", "False"]),
+    (["True", ""], ["True", ""]), (["NULL", "None"], ["", ""]), (["5%", "7"], ["5%", "7"]), (["-", "7"], ["-", "7"]), (["inf", "1"], ["inf", "1.0"]), (["99999999999999999999", "1"], ["1e+20", "1.0"]),
+]
+
+
+@pytest.mark.parametrize("given, wanted", CELLS)
+def test_cells_are_typed_by_column(given, wanted):
+    table = f"<table>{HEAD}" + "".join(f"<tr><td>k</td><td>{x}</td></tr>" for x in given) + "</table>"
+    assert pages.tables_of(table) == [{"headers": ["a", "b"], "rows": [["k", x] for x in wanted]}]
+
+
+def test_heads_spans_and_what_is_hidden():
+    one = lambda html: pages.tables_of(f"<table>{html}</table>")
+    body = "<tr><td>k</td><td>1<sup>a</sup></td></tr>"
+    assert one(f"<thead><tr><td>x</td><td>x</td></tr></thead>{body}") == [{"headers": ["x", "x.1"], "rows": [["k", "1a"]]}]
+    assert one(f"<tr><th></th><th>y</th></tr>{body}") == [{"headers": ["Unnamed: 0", "y"], "rows": [["k", "1a"]]}]
+    assert one(f"<tr><th colspan=2>t</th></tr><tr><th>x</th><th></th></tr>{body}")[0]["headers"] == ["('t', 'x')", "('t', 'Unnamed: 1_level_1')"]
+    assert one("<tr><td rowspan=2>k</td><td>1</td></tr><tr><td>2<br>3</td></tr><tfoot><tr><td>sum</td><td>3</td></tr></tfoot>") == [{"headers": ["0", "1"], "rows": [["k", "1"], ["k", "2 3"], ["sum", "3"]]}]
+    assert one("<tr style='display: none'><td>a</td><td>b</td></tr><tr><td>c</td><td style='display:none'>x</td><td>d <b style='display:none'>e</b></td></tr>") == [{"headers": ["0", "1"], "rows": [["c", "d"]]}]
+    assert one(HEAD) == [] and one("<tr><td>only</td></tr>") == []
+    rows = "".join(f"<tr><td>{i}</td><td>r</td></tr>" for i in range(1500))
+    assert one(f"<tr><td rowspan=1501>all</td><td>0</td><td>r</td></tr>{rows}")[0]["rows"][-1] == ["all", "1499", "r"]
 
 
 def test_row_facts(spark):

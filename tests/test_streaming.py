@@ -1,13 +1,17 @@
 """Streaming operators equal their batch forms."""
 
+import shutil
 import time
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from quillstone.operators import corpus
 from quillstone.operators import service as batch
+from quillstone.sources import manifests
 from quillstone.streaming import service
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -103,21 +107,65 @@ def test_first_of_each(spark, tmp_path):
     assert got.count() == got.select("key").distinct().count()
 
 
+LISTED = "ticker string, form string, filed string, text string, ok boolean"
+
+
 def test_refresh(spark, tmp_path):
-    schema = "ticker string, form string, filed string, text string, ok boolean"
-    put = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
-    corpus = f"{tmp_path}/corpus"
+    put = lambda n, rows: spark.createDataFrame(rows, LISTED).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    path = f"{tmp_path}/corpus"
 
-    def run():
-        s = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
-        service.refresh(s, corpus, lambda f: f.withColumn("chunk_id", F.md5("text")), f"{tmp_path}/check").awaitTermination(120)
-        return sorted((r.ticker, r.filed) for r in spark.read.parquet(corpus).collect())
+    def run(build=lambda f: f.withColumn("chunk_id", F.md5("text"))):
+        s = spark.readStream.schema(LISTED).parquet(f"{tmp_path}/in/*")
+        service.refresh(s, path, build, f"{tmp_path}/check").awaitTermination(120)
+        return sorted((r.ticker, r.filed) for r in corpus.read(spark, path).collect())
 
     put(1, [("A", "10-K", "2020-01-01", "a", True), ("B", "10-K", "2020-01-01", "b", True), ("B", "10-Q", "2020-05-01", "c", False)])
     assert run() == [("A", "2020-01-01")]
     time.sleep(1.1)
     put(2, [("A", "10-Q", "2020-01-01", "same day", True), ("A", "10-Q", "2020-05-01", "new", True), ("B", "10-K", "2020-01-01", "b", True)])
-    assert run() == [("A", "2020-01-01"), ("A", "2020-05-01"), ("B", "2020-01-01")]
+
+    def breaks(f):
+        raise RuntimeError("between write and commit")
+
+    with pytest.raises(StreamingQueryException):
+        run(breaks)
+    assert sorted((r.ticker, r.filed) for r in corpus.read(spark, path).collect()) == [("A", "2020-01-01")]
+    assert run() == [("A", "2020-01-01"), ("A", "2020-05-01"), ("B", "2020-01-01")]  # the batch is tried again
+    assert manifests.versions(spark, path) == [1, 2] and run() == [("A", "2020-01-01"), ("A", "2020-05-01"), ("B", "2020-01-01")]
+
+
+def test_corpus_is_published_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path, build = f"{tmp_path}/corpus", lambda f: f.withColumn("chunk_id", F.md5("text"))
+    rows = lambda *r: spark.createDataFrame([(*x, "text", True) for x in r], LISTED)
+    held = lambda: sorted((r.ticker, r.form, r.filed) for r in corpus.read(spark, path).collect())
+    a, b, c, d = ("A", "10-K", "2020-01-01"), ("B", "10-K", "2020-01-01"), ("C", "10-Q", "2021-01-01"), ("D", "10-Q", "2021-01-01")
+    assert corpus.read(spark, path) is None and corpus.add(rows().limit(0), path, build) is None
+    assert corpus.add(rows(a, b), path, build, "s", 0) == 1 and held() == [a, b]
+    assert corpus.add(rows(a, b), path, build, "s", 7) is None  # nothing changes, nothing is written
+    assert corpus.add(rows(c), path, build, "s", 0) is None  # a batch that was taken
+    with pytest.raises(ValueError):  # chunks of a filing that came are missing
+        corpus.add(rows(c, d), path, lambda f: build(f.filter("ticker <> 'D'")), "s", 1)
+    assert held() == [a, b] and manifests.versions(spark, path) == [1]
+
+    def broken(*args):
+        raise OSError("the run breaks off before the manifest is written")
+
+    with monkeypatch.context() as m:
+        m.setattr(manifests, "commit", broken)
+        with pytest.raises(OSError):
+            corpus.add(rows(c), path, build, "s", 1)
+    assert held() == [a, b]
+    assert corpus.add(rows(c), path, build, "s", 1) == 2 and held() == [a, b, c]
+    assert corpus.compact(spark, path) == 3 and held() == [a, b, c] and corpus.compact(spark, path) is None
+    assert corpus.add(rows(d), path, build, "s", 0) is None and corpus.add(rows(d), path, build, "s", 2) == 4
+    assert sorted((r.ticker, r.chunks) for r in corpus.coverage(spark, path).collect()) == [("A", 1), ("B", 1), ("C", 1), ("D", 1)]
+    assert sorted(r.ticker for r in corpus.read(spark, path, 1).collect()) == ["A", "B"]
+    assert any(x.startswith("parts/") for x in corpus.forget(spark, path)) and held() == [a, b, c, d] and corpus.forget(spark, path) == []
+    assert manifests.versions(spark, path) == [4] and corpus.read(spark, path, 1) is None
+    lost = [x for x in (tmp_path / "corpus" / "parts").glob("*/ticker=A")]
+    shutil.rmtree(lost[0])
+    with pytest.raises(ValueError):  # what is held lacks a filing that was covered
+        corpus.add(rows(("E", "10-K", "2022-01-01")), path, build, "s", 3)
 
 
 def test_log_is_appended(spark, tmp_path):
