@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import columns_of, saved, text_of
@@ -46,28 +47,27 @@ SPAN = "struct<kind:string,start:int,stop:int>"
 LEDGER = "blob string, rule string, spans array<" + SPAN + ">"
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """The rule's matches, leftmost and without overlap, as spans in code points (end exclusive).
+HITS = "array<struct<before:int,whole:int,good:boolean>>"
 
-    The pieces between the matches and the matches themselves alternate, so a running sum of their lengths
-    gives the positions.
-    """
+
+def hits_of(text: Column, rule: Rule) -> Column:
+    """The rule's matches, leftmost and without overlap: how many code points come before each, how long it is, and
+    whether it counts. The pieces between the matches and the matches themselves alternate."""
     found = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("whole"),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("part"),
         F.split(text, rule.pattern, -1).alias("before"),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS array<{SPAN}>)").alias("spans"))
+    lengths = lambda m: F.struct(F.length(m["before"]).alias("before"), F.length(m["whole"]).alias("whole"), (F.length(m["part"]) >= rule.least).alias("good"))
+    return F.when(text.rlike(rule.pattern), F.transform(F.filter(found, lambda m: m["whole"].isNotNull()), lengths)).otherwise(F.array().cast(HITS))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["before"])
-        stop = start + F.coalesce(F.length(m["whole"]), F.lit(0))
-        span = F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), stop.alias("stop"))
-        good = F.coalesce(F.length(m["part"]), F.lit(0)) >= rule.least
-        return F.struct(stop.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    none = F.expr(f"CAST(array() AS array<{SPAN}>)")
-    return F.when(text.rlike(rule.pattern), F.aggregate(found, empty, step, lambda acc: acc["spans"])).otherwise(none)
+def _spans(scanned: DataFrame) -> DataFrame:
+    """blob, rule and span of the matches that count: running sums over a blob's matches give the places."""
+    each = scanned.select("blob", F.explode("new").alias("x")).select("blob", "x.rule", "x.kind", F.posexplode("x.hits").alias("nth", "hit"))
+    before = F.sum(F.col("hit.before") + F.col("hit.whole")).over(W.partitionBy("blob", "rule").orderBy("nth")).cast("int")
+    span = F.struct("kind", (before - F.col("hit.whole")).alias("start"), before.alias("stop")).alias("span")
+    return each.select("blob", "rule", F.col("hit.good").alias("good"), span).filter("good").drop("good")
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -95,21 +95,16 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     joined = blobs.join(seen, "blob", "left")
     todo = F.array_except(F.array(*map(F.lit, wanted)), F.coalesce("done", F.array().cast("array<string>")))
     none = F.expr(f"CAST(array() AS array<{SPAN}>)")
+    new = F.array(*(F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.when(F.array_contains("todo", r.key), hits_of(F.col("body"), r)).alias("hits")) for r in rules))
     # saved, so that the texts are scanned once, and so that Spark can split a blob with very many paths below
-    scanned = joined.withColumn("todo", todo).select(
-        "blob",
-        "todo",
-        F.coalesce("old", none).alias("old"),
-        *(F.when(F.array_contains("todo", r.key), spans_of(F.col("body"), r)).otherwise(none).alias(f"new_{i}") for i, r in enumerate(rules)),
-    )
-    scanned = saved(scanned)
-    new = F.array(*(F.struct(F.lit(r.key).alias("rule"), F.col(f"new_{i}").alias("spans")) for i, r in enumerate(rules)))
-    added = scanned.select("blob", F.explode(F.filter(new, lambda x: F.array_contains("todo", x["rule"]))).alias("x")).select("blob", "x.*")
+    scanned = saved(joined.withColumn("todo", todo).select("blob", "todo", F.coalesce("old", none).alias("old"), F.filter(new, lambda x: F.size(x["hits"]) > 0).alias("new")))
+    spans = saved(_spans(scanned))
+    pairs = scanned.select("blob", F.explode("todo").alias("rule"))
+    added = pairs.join(spans.groupBy("blob", "rule").agg(F.array_sort(F.collect_list("span")).alias("spans")), ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", none).alias("spans"))
     rank = F.create_map(*(F.lit(x) for item in order.items() for x in item))
-    every = F.concat("old", *(f"new_{i}" for i in range(len(rules))))
-    keyed = F.transform(every, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-    ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    hits = scanned.select("blob", ordered.alias("spans")).filter(F.size("spans") > 0)
+    every = scanned.select("blob", F.explode("old").alias("span")).unionByName(spans.select("blob", "span"))
+    keyed = every.select("blob", F.struct(F.col("span.start"), rank[F.col("span.kind")].alias("rank"), F.col("span.stop"), F.col("span.kind")).alias("key"))
+    hits = keyed.groupBy("blob").agg(F.transform(F.array_sort(F.collect_list("key")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
     paths = versions.select(*columns_of(versions, text.lower(), "blob", "spans"), F.sha2(body, 256).alias("blob"))
     return paths.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", none)), added
 
