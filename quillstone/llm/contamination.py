@@ -1,7 +1,6 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
-The short sets are sketched and the long ones are asked: an item's sketch is its shingles with the smallest
-hashes, and what counts is how many of them a document has. (Sketches of both sides compare a few hundred hashes
+The short sets are sketched and the long ones are asked: an item's sketch is some of its shingles, the rarest, and what counts is how many of them a document has. (Sketches of both sides compare a few hundred hashes
 of a long document with an item's few dozen, and find nothing.) Items are partitioned by size, and each size
 has its own sketch length, least number of hits and least size of document. A document that holds the wanted
 share of an item lacks at most a known number of its shingles, so it cannot lack more of the sketch: asking for
@@ -12,12 +11,14 @@ the document holds.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import ascii_lower, broadcast_if_small, pinned, saved, text_key, text_of, words
 
 WIDTH, SHARE, SPARE = 5, 0.8, 3
-SKETCH_ROWS = 2_000_000
+#: So many sketch rows, of 80 bytes each at most, are broadcast at most; so many keys of 24 bytes.
+SKETCH_ROWS, KEY_ROWS = 500_000, 500_000
 
 
 def shingles(tokens: Column, width: int | Column) -> Column:
@@ -37,7 +38,7 @@ def _words(text: str = "text") -> Column:
 
 
 def _item_key(tokens: Column) -> Column:
-    return F.sha2(F.array_join(tokens, " "), 256)
+    return text_key(F.array_join(tokens, " "))
 
 
 def _items(items: DataFrame, width: int, share: float) -> DataFrame:
@@ -50,11 +51,17 @@ def _items(items: DataFrame, width: int, share: float) -> DataFrame:
 
 
 def _sketches(items: DataFrame) -> DataFrame:
-    """One row for each shingle in an item's sketch: the smallest hashes, enough of them for the item's size."""
-    split = F.transform("shingles", lambda s: F.struct(F.xxhash64(F.xxhash64(*[s])).alias("order"), F.split(s, " ").alias("w")))
-    row = items.select("item", "width", "n", "may_lack", F.least("n", F.col("may_lack") + 1 + SPARE).alias("length"), split.alias("all"))
-    row = row.withColumn("kept", F.slice(F.array_sort("all"), F.lit(1), F.col("length")))
-    return row.select("item", "width", "n", (F.col("length") - F.col("may_lack")).alias("need"), F.explode("kept.w").alias("w"))
+    """One row for each shingle in an item's sketch, enough of them for the item's size.
+
+    Any shingles would do; those that the fewest items hold are taken, and of these the ones with the smallest
+    hashes, so that a stock phrase of many items is asked for only where there is nothing else.
+    """
+    each = items.select("item", "width", "n", "may_lack", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count("*").alias("holders"))
+    place = F.row_number().over(W.partitionBy("item").orderBy("holders", F.xxhash64(F.xxhash64("s")), "s"))
+    length = F.least("n", F.col("may_lack") + 1 + SPARE)
+    kept = each.join(common, "s").withColumn("place", place).filter(F.col("place") <= length)
+    return kept.select("item", "width", "n", (length - F.col("may_lack")).alias("need"), F.split("s", " ").alias("w"))
 
 
 def found_in(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
@@ -73,23 +80,19 @@ def found_in(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float
         hits = hits.groupBy("key", "item").agg(F.size(F.collect_set("h")).alias("hit"), F.max("need").alias("need")).filter("hit >= need")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "text struct<k1:bigint,k2:bigint>, item string, hits int, size int")
+        return docs.sparkSession.createDataFrame([], "text struct<k1:bigint,k2:bigint>, item struct<k1:bigint,k2:bigint>, hits int, size int")
     found = saved(found.select("key", "item"))
-    listed = found.join(broadcast_if_small(items.select("item", "width", "shingles", "n"), SKETCH_ROWS // 100), "item")
-    listed = listed.groupBy("key").agg(F.collect_list(F.struct("item", "width", "shingles", "n")).alias("asked"))
-    few = broadcast_if_small(found.select(F.col("key").alias("few")).distinct(), SKETCH_ROWS // 4)
+    # verified row by row: a text may hold any number of items, of any length
+    wanted = found.join(items.select("item", "width", F.col("n").alias("size"), F.explode("shingles").alias("shingle")), "item")
+    few = broadcast_if_small(found.select(F.col("key").alias("few")).distinct(), KEY_ROWS)
     asked = texts.join(few, text_key(texts["text"]) == few["few"], "left_semi").select(text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
-    joined = pinned(asked.join(listed, "key"), "w", _words())
-    own = {k: f"own{k}" for k in widths}
-    for k, name in own.items():
-        joined = pinned(joined, name, F.array_distinct(shingles(F.col("w"), k)))
-
-    def verify(asked: Column) -> Column:
-        pick = F.coalesce(*(F.when(asked["width"] == k, F.col(name)) for k, name in own.items()))
-        return F.struct(asked["item"].alias("item"), F.size(F.array_intersect(asked["shingles"], pick)).alias("hits"), asked["n"].alias("size"))
-
-    checked = F.filter(F.transform("asked", verify), lambda x: x["hits"] >= x["size"] * F.lit(share) - F.lit(1e-9))
-    return saved(joined.select(F.col("key").alias("text"), F.explode(checked).alias("x")).select("text", "x.*"))
+    split = pinned(asked, "w", _words())
+    held = None
+    for k in widths:
+        own = split.select("key", F.lit(k).alias("width"), F.explode_outer(F.array_distinct(shingles(F.col("w"), k))).alias("shingle"))
+        held = own if held is None else held.unionByName(own)
+    counted = wanted.join(held, ["key", "width", "shingle"]).groupBy("key", "item", "size").agg(F.count("*").cast("int").alias("hits"))
+    return saved(counted.filter(F.col("hits") >= F.col("size") * F.lit(share) - F.lit(1e-9)).select(F.col("key").alias("text"), "item", "hits", "size"))
 
 
 def contained(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -109,5 +112,5 @@ def contained(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that contain no item (see `contained`), unchanged; their columns may have any names."""
-    bad = broadcast_if_small(found_in(docs, items, **options).select(F.col("text").alias("bad")).distinct(), SKETCH_ROWS // 4)
+    bad = broadcast_if_small(found_in(docs, items, **options).select(F.col("text").alias("bad")).distinct(), KEY_ROWS)
     return docs.join(bad, text_key(text_of(docs["text"])) == bad["bad"], "left_anti")
