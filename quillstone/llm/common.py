@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.session import remove as removed
+from quillstone.session import saved
+from quillstone.session import shared_folder as checkpoint_folder
+
+__all__ = ["checkpoint_folder", "removed", "saved"]  # what the operators take from here besides the functions below
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -42,38 +45,6 @@ def released(columns: list[str], **new: Column) -> list[Column]:
     return [new.get(c, F.col("row").getField(c)).alias(c) for c in columns]
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it.
-
-    Where the session names none, a folder of this machine is used in local mode, as in a test; on a cluster
-    the other machines could not see it, and that is an error.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def removed(spark: SparkSession, folder: str) -> None:
-    """Delete a folder that nothing reads any more, wherever it is stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a table in the checkpoint folder.
-
-    checkpoint() would keep the size that was estimated for the plan; where a loop joins its own results, that
-    estimate grows with its square each time, until the driver is busy with one number. A table has its real size.
-    """
-    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is computed once a row: Spark moves no filter on it below a generator."""
     return df.select("*", F.explode(F.array(value)).alias(name))

@@ -39,7 +39,13 @@ _HINTS = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pagination paywall popup promo promos promotion related reply "
     "replies respond responses share sharing sidebar social sponsor sponsored subscribe taboola toolbar widget widgets".split()
 )
+#: A header that is named after one of these is that of the text itself.
 _CONTENT_HINTS = frozenset("article content main post entry story text body".split())
+#: What an article element must be named to be no article.
+_COMMENT_HINTS = frozenset("comment comments reply replies respond responses".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements inside a block whose text can be furniture by itself.
+_INLINE = frozenset("a abbr b cite em font i ins mark small span strong u".split())
 
 #: Labelled blocks, a page a line and in the page's order: + if part of the main text, else -; words; words in links; and how
 #: the place is marked: a in an article, f in page furniture, nothing if it is not marked.
@@ -127,13 +133,18 @@ def asked(tree, row: tuple) -> list[str]:
 
 
 @lru_cache(maxsize=4096)
-def _hinted(attributes: str) -> bool:
-    """Whether class, id or role name page furniture, or the element is hidden."""
+def _hinted(attributes: str, tag: str) -> bool:
+    """Whether class, id or role name page furniture, or the element is hidden.
+
+    Words for furniture count whatever else the name holds, but for the header of a text. An article is furniture
+    only as a comment.
+    """
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTES.findall(attributes)}
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes):
         return True
     names = set(re.split(r"[^a-z]+", " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
-    return bool(names & _HINTS) and not names & _CONTENT_HINTS
+    found = names & (_COMMENT_HINTS if tag in ("article", "main") else _HINTS)
+    return bool(found - {"header"} if tag in _INLINE or names & _CONTENT_HINTS else found)
 
 
 def pieces(html: str) -> Iterator[tuple[str, str, str]]:
@@ -221,18 +232,26 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
     out: list[tuple[str, int, int, int]] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # element, mark inside it, whether an ancestor is page furniture for good
-    region, barred, links = 0, False, 0
+    # element, and as it is around it: mark, whether page furniture for good, whether the header of an article
+    stack: list[tuple[str, int, bool, bool]] = []
+    region, barred, titled, links = 0, False, False, 0
+    own, heading, inside = False, False, []  # of the open block: named as furniture, a heading, open elements named as furniture
 
     def end() -> None:
+        nonlocal own, heading
         words = unescape("".join(text)).split()
         if words:
-            out.append((" ".join(words), len(words), min(len(words), len(unescape(" ".join(linked)).split())), -1 if barred else region))
+            mark = -1 if barred or own else 1 if titled and heading else region
+            out.append((" ".join(words), len(words), min(len(words), len(unescape(" ".join(linked)).split())), mark))
         text.clear()
         linked.clear()
+        inside.clear()
+        own = heading = False
 
     for kind, tag, value in pieces(html):
         if kind == "text":
+            if inside:
+                continue
             text.append(value)
             if links:
                 linked.append(value)
@@ -241,27 +260,33 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
                 text.append(" ")
             elif tag == "a":
                 links += 1
+            if tag in _INLINE and (inside and tag == inside[-1] or value and _hinted(value, tag)):
+                inside.append(tag)
             if tag not in BLOCKS:
                 continue
             end()
             links = 0
             if tag in NESTED:
-                stack.append((tag, region, barred))
+                stack.append((tag, region, barred, titled))
                 if tag in ("article", "main"):
-                    region = 1
+                    region, titled = 1, False
                 elif tag in _SOFT_CHROME:
-                    region = -1
-                if tag in _CHROME or tag not in ("body", "main") and value and _hinted(value):
+                    region, titled = -1, tag == "header" and region == 1
+                if tag in _CHROME or tag not in ("body", "main") and value and _hinted(value, tag):
                     barred = True
+            else:
+                heading, own = tag in _HEADINGS, bool(value) and _hinted(value, tag)
         else:
             if tag == "a":
                 links = max(0, links - 1)
+            if inside and tag == inside[-1]:
+                inside.pop()
             if tag not in BLOCKS:
                 continue
             end()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    _, region, barred = stack[i]
+                    _, region, barred, titled = stack[i]
                     del stack[i:]
                     break
     end()

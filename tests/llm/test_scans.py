@@ -393,3 +393,49 @@ def test_rounding_is_fair():
 def test_short_blocks_of_an_article_stay_whatever_is_around(body, around):
     want = [x.strip() for x in re.findall(r">([^<]+)<", body)]
     assert pages.main_text(f"{around}<article>{body}</article>{around}", pages.fit_tree()).split("\n") == want
+
+
+LINE = LONG.strip()
+FURNITURE = "comment-body comment-content comment-text post-comments sidebar-content footer-text main-nav ad-content cookie-text notice-body related-content share-text newsletter-body".split()
+
+
+@pytest.mark.parametrize("name", FURNITURE)
+def test_furniture_whatever_else_its_name_holds(name):
+    tree, text = pages.fit_tree(), f"<article><h1>A title here</h1><p>{LINE}</p>%s<p>The end of it.</p></article>%s"
+    for block in (f'<div class="{name}"><p>Someone wrote this text, which is of some length.</p></div>', f'<div id="{name}">Someone wrote this.</div>', f'<p class="{name}">Someone wrote this text.</p>'):
+        want = f"A title here\n{LINE}\nThe end of it."
+        assert pages.main_text(text % (block, ""), tree) == want
+        assert pages.main_text(text % ("", block), tree) == want
+
+
+def test_marks_inside_a_text():
+    tree = pages.fit_tree()
+    one = lambda html: pages.main_text(f"<nav><a>x</a></nav><article>{html}</article>", tree)
+    assert one(f"<header><h1>The title</h1><p>By someone</p></header><p>{LINE}</p>") == f"The title\n{LINE}"
+    assert one(f'<div class="article-header"><h1>The title</h1></div><div class="entry-content"><p>{LINE}</p></div>') == f"The title\n{LINE}"
+    assert one(f'<p>{LINE}</p><p class="ad">Buy this now</p><p class="notice">Read our terms</p><p>So <span class="advert">buy <span>it</span> now</span> it goes.</p>') == f"{LINE}\nSo it goes."
+    assert one(f'<h2>A part</h2><p>{LINE}</p><p><a href="x">This whole paragraph is a link to more</a></p><p>{LINE}</p>') == f"A part\n{LINE}\nThis whole paragraph is a link to more\n{LINE}"
+    assert one(f'<p>{LINE} <span class="ad">left open</p><p>goes on, as it should.</p>') == f"{LINE}\ngoes on, as it should."
+    assert pages.main_text(f'<article class="post category-social"><p>{LINE}</p></article><article class="comment"><p>{LINE}</p></article>', tree) == LINE
+
+
+def test_secrets_take_time_in_proportion(documents):
+    took = {}
+    for n in (100, 32_000, 100):
+        rows = [(1, " ".join(f"{i:024x}" for i in range(n)))]
+        start = time.perf_counter()
+        row = secrets.digest(secrets.scan(documents(rows))[0]).first()
+        took[n] = time.perf_counter() - start
+        assert row.n_hex == n and row.spans.endswith(f"hex:{25 * (n - 1)}:{25 * n - 1}")
+    assert took[32_000] < took[100] + 4
+
+
+def test_a_text_that_holds_every_item(spark, documents):
+    r = np.random.default_rng(1)
+    stock = "all rights are reserved by the owner of this text"
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 5000, 60)) + " " + stock for _ in range(300)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [(1, " and ".join(texts)), (2, stock), *((10 + i, f"{stock} number {i}") for i in range(200)), (3, texts[7])]
+    got = {(x.doc_id, x.item_id, x.hits, x.size) for x in contamination.contained(documents(docs), items).collect()}
+    n = {i: len({tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)}) for i, t in enumerate(texts)}
+    assert got == {(1, i, n[i], n[i]) for i in n} | {(3, 7, n[7], n[7])}
