@@ -84,6 +84,27 @@ def parsed_id(c: Column) -> Column:
     return F.when(c.rlike(rx), F.struct(part(1).alias("ticker"), concept[0].alias("namespace"), concept[1].alias("concept"), part(3).alias("fp"), part(4).cast("int").alias("fy")))
 
 
+# Fixed value: what the id of a difference of two figures looks like.
+DERIVED_ID = r"^derived:(\d{1,18}):(.+):(FY|Q[1-4])(\d{4})$"
+
+
+def values_of(cited: DataFrame, found: DataFrame, companies: DataFrame, metrics: DataFrame, recipes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """key, val of the cited ids (key) that name a figure: one that was reported, or a difference as `answers` gives it.
+
+    companies: ticker, cik. The namespace of an id is read and, as published, not used. Ids that name nothing are absent.
+    """
+    recipes = recipes or DERIVED_METRICS | FALLBACK_METRICS
+    own = cited.select("key", parsed_id(F.col("key")).alias("x")).filter("x IS NOT NULL").select("key", "x.*")
+    own = own.join(companies, "ticker").drop("namespace").join(found.select("cik", "concept", "fy", "fp", "val"), ["cik", "concept", "fy", "fp"])
+    part = lambda i: F.regexp_extract("key", DERIVED_ID, i)
+    derived = cited.filter(F.col("key").rlike(DERIVED_ID)).select("key", part(1).cast("long").alias("cik"), part(2).alias("metric"), part(3).alias("fp"), part(4).cast("int").alias("fy"))
+    inputs = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for item in recipes.items() for x in item))
+    asked = derived.select("cik", "fy", "fp", F.explode(inputs[F.col("metric")]).alias("metric")).distinct()
+    asked = asked.withColumn("rid", F.concat_ws("|", "cik", "metric", "fp", "fy"))
+    made = differences(lookup(asked, found, metrics), recipes).select(F.col("id").alias("key"), "val")
+    return own.select("key", "val").unionByName(derived.select("key").distinct().join(made, "key"))
+
+
 def lookup(requests: DataFrame, found: DataFrame, metrics: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Answer requests (rid, cik, metric, fy, fp; a null fy is the latest): the first concept with a value.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import questions as Q
 from quillstone.functions.reference import FORM, TICKER
 from quillstone.operators import chunks, facts, index, pages, retrieve, service, verify
+from quillstone.session import saved
 
 KEYWORD_ONLY = "Dense search is not available; results are by keyword only."
 NO_MATCH = "No passage matches; try the wording of the filings, or another year."
@@ -148,7 +149,7 @@ def company_financials(all_facts: DataFrame, ciks: dict[str, int], tickers: list
         raise ValueError(f"the period {period!r} is not understood")
     asked = facts.resolved(asked.select("rid", "ticker", "cik", "metric", "p.fy", "p.fp"), strict)
     wanted = F.broadcast(asked.select("cik").distinct())  # five companies at most
-    found = facts.values(all_facts.join(wanted, "cik", "left_semi")).cache()  # some ten thousand rows, read by every part of the answer
+    found = saved(facts.values(all_facts.join(wanted, "cik", "left_semi")))  # some ten thousand rows, read by every part of the answer
     return facts.answers(asked, found, facts.metric_table(spark))
 
 
@@ -174,13 +175,11 @@ def covered_companies(cover: DataFrame) -> DataFrame:
 
 
 def verify_figures(answer: str, ids: list[str], passages: DataFrame, found: DataFrame, ciks: dict[str, int]) -> DataFrame:
-    """Check an answer's figures against cited passages (key, text) and cited facts (ids of exact figures)."""
+    """Check an answer's figures against cited passages (key, text) and cited facts (ids of exact figures, derived ones too)."""
     spark = passages.sparkSession
     check_text(answer, 20_000, "answer")
     ids = check_list(ids, 1, 20, "ids")
     drafts = spark.createDataFrame([(0, answer, ids)], "id int, answer string, ids array<string>")
-    cited = drafts.select(F.explode("ids").alias("key")).withColumn("x", facts.parsed_id(F.col("key"))).filter("x IS NOT NULL")
-    cited = cited.select("key", "x.*").join(F.broadcast(spark.createDataFrame(list(ciks.items()), "ticker string, cik long")), "ticker")
-    # as published, the namespace of an id is read and not used
-    exact = cited.drop("namespace").join(found, ["cik", "concept", "fy", "fp"]).select("key", "val")
+    companies = F.broadcast(spark.createDataFrame(list(ciks.items()), "ticker string, cik long"))  # the caller's own table
+    exact = facts.values_of(drafts.select(F.explode("ids").alias("key")).distinct(), found, companies, facts.metric_table(spark))
     return verify.combined(drafts, passages.filter(F.col("key").isin(ids)), exact)

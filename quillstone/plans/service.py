@@ -43,6 +43,17 @@ def q34_latency_percentiles(spark, d):
     return service.latencies(_log(spark, d))
 
 
+def q65_latency_sketches(spark, d):
+    """Sketches of hours merged into days, and whether their quantiles are within a hundredth, in rank, of the exact ones."""
+    log = _log(spark, d)
+    days = service.sketched_latencies(service.merged_sketches(service.latency_sketches(log), "month"))
+    rows = log.select("tool", F.date_trunc("month", "ts").alias("start"), "latency").join(days, ["tool", "start"])
+    share = lambda q, below: F.count(F.when(F.col("latency") < F.col(q) if below else F.col("latency") <= F.col(q), 1)) / F.count("*")
+    near = lambda q, at: (share(q, True) <= at + 0.01) & (share(q, False) >= at - 0.01)
+    out = rows.groupBy("tool", "start").agg(F.first("calls").alias("calls"), F.round(F.first("worst"), 6).alias("worst"), near("p50", 0.5).alias("p50_near"), near("p99", 0.99).alias("p99_near"))
+    return out.select("tool", F.date_format("start", "yyyy-MM-dd").alias("month"), "calls", "worst", "p50_near", "p99_near")
+
+
 def q55_hourly_cost(spark, d):
     return service.hourly_cost(_log(spark, d), 2.0, 0.0000133334)
 
@@ -110,5 +121,6 @@ ORACLES = {
         SELECT id, hit FROM r""",
     "q33_call_log_windows": """SELECT strftime(time_bucket(INTERVAL '240 minutes', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS tool, count(*) AS calls,
         count(*) FILTER (value > 60) AS errors, count(*) FILTER (value > 60) >= 1 AS alarm FROM events GROUP BY 1, 2""",
+    "q65_latency_sketches": """SELECT event_type AS tool, strftime(date_trunc('month', ts), '%Y-%m-%d') AS month, count(*) AS calls, round(max(value), 6) AS worst, true AS p50_near, true AS p99_near FROM events GROUP BY 1, 2""",
     "q34_latency_percentiles": """SELECT event_type AS tool, count(*) AS calls, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS worst FROM events GROUP BY 1""",
 }
