@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import questions as Q
-from quillstone.functions.reference import STOPWORDS
+from quillstone.functions.reference import COMPANY_NAMES, RATIO_LINES, STOPWORDS, SYNONYMS
 from quillstone.functions.stem import stemmed
 from quillstone.operators import chunks, index, pages, retrieve, segments, service
 from quillstone.session import files_of, saved, shared_folder
@@ -225,12 +226,24 @@ def q44_latest_filing(spark, d):
     return service.latest_filing(f, q01_coverage(spark, d).filter("form <> '10-Q'"))
 
 
+def _picked(values, times: int, key: str = "doc_id"):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) * times % len(values) + 1).cast("int"))
+
+
+def _mixed_questions(spark, d):
+    """Whole documents with companies, terms, ratios and years that their ids choose from the fixed tables, in changing spellings."""
+    name, k = _picked([names[0] for names in COMPANY_NAMES.values()], 1), F.col("doc_id")
+    second = F.when(k % 5 == 0, F.concat(F.lit(" and "), F.initcap(_picked([names[0] for names in COMPANY_NAMES.values()], 7)))).when(k % 5 == 1, F.concat(F.lit(" ("), _picked(list(COMPANY_NAMES), 1), F.lit(")"))).otherwise("")
+    year = (2001 + k % 23).cast("string")
+    when = F.when(k % 7 == 0, F.concat(F.lit("FY"), F.substring(year, 3, 2))).when(k % 7 == 1, F.concat(F.lit("from "), year, F.lit(" to "), (2002 + k % 23).cast("string"), F.lit("."))).when(k % 7 == 2, F.concat(F.lit("$"), year)).when(k % 7 == 3, F.concat(F.lit("Q2 "), year)).otherwise(F.concat(year, F.lit("?")))
+    ask = F.concat(F.lit("For "), F.when(k % 3 == 0, F.initcap(name)).otherwise(name), second, F.lit(" show "), _picked(list(SYNONYMS), 5), F.lit(", "), F.upper(_picked(list(RATIO_LINES), 11)), F.lit(" or "), _picked(list(RATIO_LINES), 7), F.lit(" in "), when, F.lit(" "))
+    return table(spark, d, "documents").select("doc_id", F.concat(ask, F.coalesce("text", F.lit(""))).alias("q"))
+
+
 def q46_query_filters(spark, d):
-    """What the filters read from questions built of document words, company names and dates."""
-    e = table(spark, d, "orders")
-    text = F.concat(F.element_at(F.array(*map(F.lit, ("Nvidia capex in ", "3M revenue for ", "Ford and Tesla sales, ", "UPS results of "))), (F.col("o_orderkey") % 4 + 1).cast("int")), F.lit("FY"), F.substring(F.year("o_orderdate").cast("string"), 3, 2), F.lit(" against "), (F.year("o_orderdate") - 1).cast("string"), F.lit(" at $"), F.floor("o_totalprice").cast("string"))
-    a = e.select("o_orderkey", text.alias("q")).withColumn("_y", Q.years(F.col("q")))
-    return a.select("o_orderkey", Q.company(F.col("q")).alias("ticker"), F.array_min("_y").alias("first_year"), F.array_max("_y").alias("last_year"), Q.wants_annual(F.col("q"), F.col("_y")).alias("annual"))
+    """What the filters read from questions: company, years, and whether annual reports are meant."""
+    a = _mixed_questions(spark, d).withColumn("_y", Q.years(F.col("q")))
+    return a.select("doc_id", Q.company(F.col("q")).alias("ticker"), F.array_join("_y", ",").alias("years"), Q.wants_annual(F.col("q"), F.col("_y")).alias("annual"))
 
 
 def _phrases(spark, d):
@@ -241,7 +254,7 @@ def _phrases(spark, d):
 
 
 def q47_synonym_expand(spark, d):
-    return _phrases(spark, d).select("o_orderkey", Q.expanded(F.col("q")).alias("expanded"))
+    return _mixed_questions(spark, d).select("doc_id", F.md5(Q.expanded(F.col("q"))).alias("digest"), F.length(Q.expanded(F.col("q"))).alias("n_chars"))
 
 
 def q48_period_parse(spark, d):
@@ -253,7 +266,7 @@ def q48_period_parse(spark, d):
 
 
 def q49_ratio_plan(spark, d):
-    return _phrases(spark, d).select("o_orderkey", F.array_join(Q.ratio_lines(F.col("q")), "; ").alias("lines"))
+    return _mixed_questions(spark, d).select("doc_id", F.array_join(Q.ratio_lines(F.col("q")), "; ").alias("lines"))
 
 
 def q50_clean_question(spark, d):
@@ -327,6 +340,31 @@ _LISTED = F_SQL + ", l AS (SELECT ticker, form, filed, CAST(CAST(filed AS DATE)
 _PHRASE = """o AS (SELECT o_orderkey, 'What is ' || (['gross margin and dpo', 'free cash flow', 'working capital or ROA', 'the quick ratio', 'net sales of EBITDA', 'eps and dividend payout ratio'])[o_orderkey % 6 + 1]
     || ' in ' || year(o_orderdate) || '?' AS q FROM orders)"""
 
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _sql_pick(values, times: int) -> str:
+    return f"({_sql_list(values)})[doc_id * {times} % {len(values)} + 1]"
+
+
+def _sql_rows(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+
+
+def _sql_bounded(term: str) -> str:
+    """A pattern of a term that stands by itself, in a text with a blank before and after."""
+    return "[^a-z0-9](?:" + term + ")[^a-z0-9]"
+
+
+_CAPITAL = "array_to_string(list_transform(string_split({}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_NAMES = [names[0] for names in COMPANY_NAMES.values()]
+_MIXED = f"""m AS (SELECT doc_id, 'For ' || CASE WHEN doc_id % 3 = 0 THEN {_CAPITAL.format(_sql_pick(_NAMES, 1))} ELSE {_sql_pick(_NAMES, 1)} END
+      || CASE doc_id % 5 WHEN 0 THEN ' and ' || {_CAPITAL.format(_sql_pick(_NAMES, 7))} WHEN 1 THEN ' (' || {_sql_pick(list(COMPANY_NAMES), 1)} || ')' ELSE '' END || ' show ' || {_sql_pick(list(SYNONYMS), 5)}
+      || ', ' || upper({_sql_pick(list(RATIO_LINES), 11)}) || ' or ' || {_sql_pick(list(RATIO_LINES), 7)} || ' in '
+      || CASE doc_id % 7 WHEN 0 THEN 'FY' || CAST(2001 + doc_id % 23 AS VARCHAR)[3:4] WHEN 1 THEN 'from ' || (2001 + doc_id % 23) || ' to ' || (2002 + doc_id % 23) || '.' WHEN 2 THEN '$' || (2001 + doc_id % 23)
+         WHEN 3 THEN 'Q2 ' || (2001 + doc_id % 23) ELSE (2001 + doc_id % 23) || '?' END || ' ' || coalesce(text, '') AS q FROM documents)"""
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 ORACLES = {
@@ -365,16 +403,22 @@ ORACLES = {
         WHERE nth <= CASE form WHEN '10-K' THEN 2 WHEN '10-Q' THEN 4 ELSE 0 END""",
     "q44_latest_filing": f"""WITH {_COVER}, l AS (SELECT ticker, form, filed, doc_id AS slot FROM f), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, form ORDER BY filed DESC, slot) AS n FROM l) WHERE n = 1)
         SELECT n.ticker, n.form, n.filed, (n.ticker, n.form, n.filed) IN (SELECT (ticker, form, filed) FROM c WHERE form <> '10-Q') AS covered FROM n""",
-    "q46_query_filters": """SELECT o_orderkey, (['NVDA', 'MMM', NULL, 'UPS'])[o_orderkey % 4 + 1] AS ticker, CAST(year(o_orderdate) - 1 AS INTEGER) AS first_year,
-        CAST(2000 + year(o_orderdate) % 100 AS INTEGER) AS last_year, true AS annual FROM orders""",
-    "q47_synonym_expand": f"""WITH {_PHRASE} SELECT o_orderkey, q || ([' accounts payable cost of sales', ' net cash provided by operating activities purchases of property plant and equipment',
-        ' total current assets total current liabilities net income total assets', ' cash and cash equivalents accounts receivable total current liabilities', ' operating income depreciation and amortization',
-        ' dividends paid to shareholders cash dividends earnings per share'])[o_orderkey % 6 + 1] AS expanded FROM o""",
+    "q46_query_filters": f"""WITH {_MIXED}, c(ticker, names) AS (VALUES {_sql_rows([(t, _sql_bounded("|".join(map(re.escape, names)))) for t, names in COMPANY_NAMES.items()])}),
+        n AS (SELECT doc_id, ticker FROM m, c WHERE regexp_matches(' ' || lower(q) || ' ', names)
+              UNION SELECT doc_id, t FROM (SELECT doc_id, unnest(regexp_split_to_array(q, '[^A-Za-z0-9]+')) AS t FROM m) WHERE length(t) BETWEEN 2 AND 5 AND t IN (SELECT ticker FROM c)),
+        y AS (SELECT doc_id, list_concat(list_filter(list_transform(regexp_extract_all(q, '[0-9,.$]+'), lambda r: regexp_extract(r, '^((?:19|20)[0-9]{{2}})(?:[.$]|$)', 1)), lambda r: r <> ''),
+                list_transform(regexp_extract_all(q, '(?i)\\bFY\\s?(\\d{{2}})\\b', 1), lambda r: '20' || r)) AS y, regexp_matches(q, '{Q.INTERIM}') AS interim FROM m)
+        SELECT doc_id, (SELECT CASE WHEN count(*) = 1 THEN max(ticker) END FROM n WHERE n.doc_id = y.doc_id) AS ticker, array_to_string(y, ',') AS years, len(y) > 0 AND NOT interim AS annual FROM y""",
+    "q47_synonym_expand": f"""WITH {_MIXED}, s(i, term, wording, head) AS (VALUES {_sql_rows([(i, t, w, w.split()[0]) for i, (t, w) in enumerate(SYNONYMS.items())])}),
+        f AS (SELECT doc_id, wording, min(i) AS i FROM m, s WHERE contains(lower(q), term) AND NOT contains(lower(q), head) GROUP BY ALL),
+        a AS (SELECT doc_id, string_agg(wording, ' ' ORDER BY i) AS more FROM f GROUP BY doc_id)
+        SELECT doc_id, md5(q || coalesce(' ' || more, '')) AS digest, CAST(length(q || coalesce(' ' || more, '')) AS INTEGER) AS n_chars FROM m LEFT JOIN a USING (doc_id)""",
     "q48_period_parse": """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 9 < 7 THEN year(o_orderdate) + CASE WHEN o_orderkey % 9 = 6 AND year(o_orderdate) < 2000 THEN 100 ELSE 0 END ELSE 0 END AS INTEGER) AS fy,
         (['FY', 'FY', 'FY', 'Q3', 'Q2', 'Q4', 'FY', 'FY', NULL])[o_orderkey % 9 + 1] AS fp, o_orderkey % 9 <> 8 AS ok FROM orders""",
-    "q49_ratio_plan": """SELECT o_orderkey, (['net sales; cost of sales; accounts payable', 'net cash provided by operating activities; purchases of property, plant and equipment',
-        'total current assets; total current liabilities; net income; total assets', 'cash and cash equivalents; short-term investments; accounts receivable; total current liabilities',
-        'operating income; depreciation and amortization; net sales', 'dividends; net income'])[o_orderkey % 6 + 1] AS lines FROM orders""",
+    "q49_ratio_plan": f"""WITH {_MIXED}, r(i, term, part, line) AS (VALUES {_sql_rows([(i, _sql_bounded(re.escape(t)), j, line) for i, (t, lines) in enumerate(RATIO_LINES.items()) for j, line in enumerate(lines)])}),
+        h AS (SELECT doc_id, line, i, part, length(regexp_extract(' ' || lower(q) || ' ', '(?s)^(.*?)' || term, 1)) AS place FROM m, r WHERE regexp_matches(' ' || lower(q) || ' ', term)),
+        o AS (SELECT doc_id, line, min((place, i, part)) AS o FROM h GROUP BY ALL)
+        SELECT doc_id, coalesce(string_agg(line, '; ' ORDER BY o), '') AS lines FROM m LEFT JOIN o USING (doc_id) GROUP BY doc_id""",
     "q50_clean_question": f"WITH {_PHRASE} SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN q ELSE q || ' is it high?' END AS cleaned FROM o",
     "q51_search_terms": f"""SELECT item_id AS qid, coalesce(string_agg(t, ' ' ORDER BY i), '') AS terms FROM (SELECT item_id, t, min(i) AS i FROM
         (SELECT item_id, unnest(x) AS t, unnest(range(len(x))) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS x FROM benchmark)) WHERE t NOT IN {_STOP} GROUP BY 1, 2) GROUP BY 1""",
