@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import questions as Q
 from quillstone.functions.reference import FORM, TICKER
-from quillstone.operators import chunks, facts, index, pages, retrieve, service, verify
+from quillstone.operators import chunks, facts, index, pages, retrieve, segments, service, verify
 from quillstone.session import saved
 
 KEYWORD_ONLY = "Dense search is not available; results are by keyword only."
@@ -60,13 +60,14 @@ def require_covered(cover: DataFrame, ticker: str) -> str:
 
 def search_filings(
     units: DataFrame, question: str, ticker: str | None = None, year: int | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
-    k: int = CANDIDATES, top: int = 5, key: str = "chunk_id", loaded: index.Index | None = None, cover: DataFrame | None = None, embed: Callable | None = None, rank: Callable | None = None, budget: int | None = None, stage: str = "reranked",
+    k: int = CANDIDATES, top: int = 5, key: str = "chunk_id", loaded: index.Index | segments.Segments | None = None, cover: DataFrame | None = None, embed: Callable | None = None, rank: Callable | None = None, budget: int | None = None, stage: str = "reranked",
 ) -> DataFrame:
     """The best passages for a question over units (key, ticker, form, filed, text), with a note on how they were found.
 
     Company and years come from the arguments, else from the question. If the filters leave nothing, keyword and
     dense search are done without them; passages of another company than an explicit one are never given. Without
-    vectors the search is by keyword. loaded: an index from `index.load`; without it one is made of the units.
+    vectors the search is by keyword. loaded: an index from `segments.load` or `index.load`; without it
+    one is made of the units.
     embed: question -> vector. rank: (hits, questions, top, key) -> ranked hits, in place of shared words; it is used
     while its cost in tokens is within the budget. cover: rows of coverage that an explicit company must be among.
     stage: "candidates" gives all that was retrieved, before ranking.
@@ -83,6 +84,7 @@ def search_filings(
     symbol = check_ticker(ticker) if ticker else row["t"]
     window = (f"{min(named)}-01-01", f"{max(named) + 1}-12-31") if named else None
     found = loaded or index.made(units, key)
+    grown = isinstance(found, segments.Segments)
     terms = retrieve.question_terms(asked.withColumn("question", Q.expanded(F.col("question"))))
     terms = index.stemmed_terms(terms) if found.stem else terms
     if vectors is not None and query_vector is None and embed is not None:
@@ -91,7 +93,13 @@ def search_filings(
 
     def candidates(only: DataFrame | None) -> list:
         """At most 2 k rows (qid, key, pos): with them here, what follows reads the index no more."""
-        hits = retrieve.bm25(terms, found.postings, found.lengths, found.corpus, k, key, only)
+        if grown:
+            own = segments.live_units(found)
+            own = own if only is None or not symbol else own.filter(F.col("ticker") == symbol)
+            own = own if only is None or not window else own.filter(F.col("filed").between(*window))
+            hits = segments.search(found, terms, k, None if only is None else own.select(F.lit(0).alias("qid"), "segment", "slab", key))
+        else:
+            hits = retrieve.bm25(terms, found.postings, found.lengths, found.corpus, k, key, only)
         near = hits.limit(0)
         if dense:
             v = vectors if only is None else vectors.join(only.select(key), key, "left_semi")
@@ -130,6 +138,22 @@ def search_filings(
     return out.withColumn("note", F.when(note != "", note))
 
 
+def health(units: DataFrame, question: str, **options) -> DataFrame:
+    """One row that says whether a search works: ok, passages, note, error.
+
+    A real retrieval, but for the ranking. It fails if it finds nothing, if it had to do without what it was given
+    (its note says so), or if it breaks off, which is a row too and no exception.
+    """
+    n, note, error = 0, None, None
+    try:
+        found = search_filings(units, question, stage="candidates", **options).select("id", "note").collect()
+        n, note = len(found), found[0]["note"] if found else None
+    except Exception as e:  # whatever the reason, the verdict is a row
+        error = f"{type(e).__name__}: {e}"[:500]
+    told = note if options.get("vectors") is not None or note != KEYWORD_ONLY else None
+    return units.sparkSession.createDataFrame([(question, n > 0 and not told, n, note, error)], "question string, ok boolean, passages int, note string, error string")
+
+
 def search_result(passages: DataFrame) -> DataFrame:
     """One row for a search: its passages in order, and its note; a search without passages says so."""
     order = F.sort_array(F.collect_list(F.struct("rank", "id", "ticker", "form", "filed", "page", "citation", "text")))

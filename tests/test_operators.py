@@ -1,10 +1,12 @@
 """Operators on fixtures."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import excerpt, tidied
-from quillstone.operators import chunks, evaluate, facts, index, pages, retrieve, service, tools, vectors, verify
+from quillstone.operators import chunks, evaluate, facts, index, ingest, pages, retrieve, segments, service, tools, vectors, verify
 from quillstone.sources import filings
 
 UNITS = [
@@ -392,3 +394,71 @@ def test_sources_on_disk(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"question":"q","answer":"1","company":"X","evidence":[{"evidence_text":"e"},{}],"doc_name":"n"}\n\n')
     assert filings.read_benchmark(spark, f"{tmp_path}/b.jsonl").first().asDict() == {"question": "q", "ground_truth": "1", "ticker": "X", "filing_type": "", "period": ""}
     assert filings.read_evidence(spark, f"{tmp_path}/b.jsonl").first().evidence == ["e", ""]
+
+
+def test_search_over_segments_and_health(spark, units, tmp_path):
+    path = f"{tmp_path}/ix"
+    segments.add(units, path)
+    loaded = segments.load(spark, path)
+    for question, extra in (("a purchase of equipment", {}), ("data center revenue", {"ticker": "NVDA"}), ("revenue", {"year": 2018})):
+        assert search(units, question, loaded=loaded, **extra) == search(units, question, **extra)
+    row = tools.health(units, "a purchase of equipment", loaded=loaded).first()
+    assert row.ok and row.passages >= 1 and row.error is None
+    assert not tools.health(units, "nothing of the kind", loaded=loaded).first().ok
+    broken = tools.health(units.drop("text"), "a purchase").first()
+    assert not broken.ok and broken.error
+
+
+def test_companies_to_chunks(spark):
+    html = lambda x: f"<html><p>{x} reported revenue of twelve million in the year, and some more words.</p><table><tr><th>item</th><th>2020</th></tr><tr><td>sales</td><td>1,200</td></tr></table></html>"
+    subs = spark.createDataFrame([(1, 0, ["10-K", "10-K", "8-K"], ["r"] * 3, ["2021-02-01", "2020-02-01", "2021-03-01"], ["a1", "a2", "a3"], ["d"] * 3), (2, 0, ["10-K"], ["r"], ["2021-02-01"], ["b1"], ["d"])], "cik long, page int, form array<string>, reportDate array<string>, filingDate array<string>, accessionNumber array<string>, primaryDocument array<string>")
+    companies = spark.createDataFrame([("AAA",), ("BBB",), ("CCC",), ("DDD",)], "ticker string")
+    live = spark.createDataFrame([("aaa", 1), ("BBB", 2)], "ticker string, cik long")
+    wanted = ingest.wanted_filings(companies, live, spark.createDataFrame([("DDD", 4)], "ticker string, cik long"), subs)
+    docs = spark.createDataFrame([(1, "a1", html("A")), (1, "a2", html("B"))], "cik long, accession string, html string")
+    made, errors = ingest.ingested(wanted, docs)
+    assert {(r.ticker, r.error) for r in errors.collect()} == {("BBB", "no document"), ("CCC", "unknown company"), ("DDD", "no filings")}
+    got = made.collect()
+    assert {(r.ticker, r.form, r.filed) for r in got} == {("AAA", "10-K", "2021-02-01"), ("AAA", "10-K", "2020-02-01")}
+    assert sorted(r.chunk_type for r in got) == ["child", "child", "parent", "parent", "table", "table"]
+    assert {r.text for r in got if r.chunk_type == "table"} == {"item | 2020\nsales | 1200"} and all(len(r.chunk_id) == 32 for r in got)
+    docs = docs.filter("accession = 'a1'")
+    assert ingest.ingested(wanted, docs)[0].count() == 0  # a company that lacks a document gives nothing
+
+
+def test_ids_of_differences_can_be_verified(spark):
+    rows = [(7, "us-gaap", c, c, "USD", 0, 1, None, "2023-12-31", v, 2023, "FY", "10-K", "2024-02-01", "x") for c, v in (("NetCashProvidedByUsedInOperatingActivities", 7_622_826.0), ("PaymentsToAcquirePropertyPlantAndEquipment", 348_552.0))]
+    all_facts = spark.createDataFrame(rows, "cik long, namespace string, concept string, label string, unit string, unit_at int, at int, start string, end string, val double, fy int, fp string, form string, filed string, accn string")
+    answer = tools.company_financials(all_facts, {"TST": 7}, ["TST"], ["free cash flow"], "FY2023").first()
+    assert answer.id == "derived:7:free cash flow:FY2023" and answer.val == 7_274_274.0
+    ids = [answer.id, answer.inputs[0].id, "derived:7:free cash flow:FY2001", "derived:7:no such metric:FY2023", "derived:x"]
+    none = spark.createDataFrame([], "key string, text string")
+    got = tools.verify_figures("It was $7,274,274 of $7.6 million, not $5 million.", ids, none, facts.values(all_facts), {"TST": 7}).first()
+    assert got.grounded == ["$7,274,274", "$7.6 million"] and got.not_found == ["$5 million"]
+    assert got.unknown_ids == sorted(ids[2:]) and got.checked_against == 2
+
+
+def test_sketches_merge_within_their_bound(spark):
+    log = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("tool"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id") % 86_400)).alias("ts"), (F.abs(F.hash("id")) % 100_000).cast("double").alias("latency"))
+    hours = service.latency_sketches(log)
+    assert hours.count() == 48
+    for merged in (service.merged_sketches(hours), service.merged_sketches(service.merged_sketches(hours, "day"), "month"), service.merged_sketches(service.latency_sketches(log, "day"))):
+        for r in service.sketched_latencies(merged).collect():
+            values = [x.latency for x in log.filter(F.col("tool") == r.tool).select("latency").collect()]
+            assert r.calls == len(values) and r.worst == max(values)
+            for q, at in ((0.5, r.p50), (0.99, r.p99)):
+                assert abs(sum(v <= at for v in values) / len(values) - q) < 0.01
+    empty = spark.createDataFrame([("t", "2024-01-01 00:00:00", None)], "tool string, ts string, latency double").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [(r.calls, r.p50, r.worst) for r in service.sketched_latencies(service.latency_sketches(empty)).collect()] == [(1, None, None)]
+
+
+def test_chunking_takes_time_in_proportion(spark):
+    took = {}
+    for n in (1_000, 100_000, 1_000):
+        text = "\n".join(f"block number {i} of a long filing, with ten words in it" for i in range(n))
+        df = spark.createDataFrame([(1, "T", "10-K", "2020-01-01", text)], "doc_id int, ticker string, form string, filed string, text string")
+        start = time.perf_counter()
+        got = chunks.chunks(df).select("nth", "words").collect()
+        took[n] = time.perf_counter() - start
+        assert sum(r.words for r in got) == 12 * n and all(r.words == 408 for r in got[:-1])
+    assert took[100_000] < took[1_000] + 20
