@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,26 +27,32 @@ def blocks(text: Column, least: int = LEAST_BLOCK) -> Column:
     return F.filter(F.split(blank_if_null(text), "\n"), lambda b: F.length(b) >= least)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def greedy_chunks(parts: Column, words: int) -> Column:
     """Join blocks in order until a chunk has so many words; then begin the next. Blocks are never cut.
 
-    A fold with a running sum that is reset, which no window function expresses.
+    A fold with a running sum that is reset, which no window function expresses. It keeps only where chunks end, as
+    Spark copies what a fold keeps at every step; the chunks are sliced out afterwards.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
-    def step(acc: Column, block: Column) -> Column:
-        n, held = acc["n"] + word_count(block), F.concat(acc["open"], F.array(block))
-        full = n >= words
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.array_join(held, " ")))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array().cast("array<string>")).otherwise(held).alias("open"),
-            F.when(full, F.lit(0)).otherwise(n).alias("n"),
-        )
+    def step(acc: Column, count: Column) -> Column:
+        full, at = acc["n"] + count >= words, acc["at"] + 1
+        return F.struct(F.when(full, F.lit(0)).otherwise(acc["n"] + count).alias("n"), at.alias("at"), F.when(full, F.concat(acc["ends"], F.array(at))).otherwise(acc["ends"]).alias("ends"))
 
     def finish(acc: Column) -> Column:
-        return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["done"])
+        last = F.coalesce(F.get(acc["ends"], F.size(acc["ends"]) - 1), F.lit(0))
+        return F.when(acc["at"] > last, F.concat(acc["ends"], F.array(acc["at"]))).otherwise(acc["ends"])
+
+    def sliced(blocks_: Column, ends: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(0))
+        return F.transform(ends, lambda end, k: F.array_join(F.slice(blocks_, before(k) + 1, end - before(k)), " "))
 
-    return F.aggregate(parts, start, step, finish)
+    return _once(parts, lambda p: _once(F.aggregate(F.transform(p, word_count), start, step, finish), lambda ends: sliced(p, ends)))
 
 
 def chunk_id(*fields: Column) -> Column:
