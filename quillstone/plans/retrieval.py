@@ -388,6 +388,11 @@ ORACLES = {
         CAST(length(CASE WHEN length(text) > 8000 THEN substr(text, 1, 8000) || ' [... truncated]' ELSE text END) AS INTEGER) AS n_chars FROM rk JOIN f USING (doc_id)""",
     "q62_grown_index": f"WITH {_GROWN} SELECT * FROM kw",
     "q63_merged_index": f"WITH {_GROWN} SELECT * FROM rx",
+    # for pages of the kind in the tables: one box, then an article of headings and paragraphs, some of them left open
+    "q29_html_blocks": r"""WITH a AS (SELECT page_id, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)</head>.*?(<div.*</article>)', 1), '</?(?:div|h1|p)(?:\s[^>]*)?>|</article>') AS x FROM pages),
+        t AS (SELECT page_id, list_filter(list_transform(x, lambda s: array_to_string(list_filter(list_transform(regexp_split_to_array(s, '<[^>]*>'),
+                lambda y: regexp_replace(regexp_replace(regexp_replace(y, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g')), lambda y: y <> ''), ' ')), lambda s: length(s) >= 40) AS b FROM a)
+        SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, CAST(length(b[i]) AS INTEGER) AS n_chars, md5(b[i]) AS digest FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM t)""",
     "q64_typed_tables": """WITH o AS (SELECT *, bool_or(o_orderkey % 4 = 0) OVER c AS gaps, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place,
             bool_or(o_orderkey % 3 = 2) OVER c AS words, CAST(round(o_totalprice, 2) AS DOUBLE) AS price FROM orders WINDOW c AS (PARTITION BY o_custkey))
         SELECT o_custkey, 'order|price|rank|open|Unnamed: 4' AS headers, CAST(place AS INTEGER) AS place, concat_ws('|', o_orderkey, CAST(price AS VARCHAR),
