@@ -24,7 +24,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _top(scored: DataFrame, k: int, key: str) -> DataFrame:
+def top_ranked(scored: DataFrame, k: int, key: str) -> DataFrame:
+    """The k best of each question (qid) by score, ties by key, with their rank."""
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -54,7 +55,7 @@ def bm25(asked: DataFrame, posted: DataFrame, lengths: DataFrame, corpus: DataFr
     scored = bm25_scores(asked, posted, lengths, corpus, key)
     if only is not None:
         scored = scored.join(only, ["qid", key], "left_semi")
-    return _top(scored, k, key).select("qid", key, "score", "rank")
+    return top_ranked(scored, k, key).select("qid", key, "score", "rank")
 
 
 def bm25_relaxed(asked: DataFrame, posted: DataFrame, lengths: DataFrame, corpus: DataFrame, only: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
@@ -80,7 +81,7 @@ def cosine(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chun
     c = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(side, "block")
     each = c.select(key, F.col("v").alias("cv"), "n", F.explode("qs").alias("q"))
     dot = F.aggregate(F.zip_with("cv", "q.v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return _top(each.select(F.col("q.qid").alias("qid"), key, F.round(dot / (F.col("n") * F.col("q.qn")), PLACES).alias("score")), k, key).select("qid", key, "score", "rank")
+    return top_ranked(each.select(F.col("q.qid").alias("qid"), key, F.round(dot / (F.col("n") * F.col("q.qn")), PLACES).alias("score")), k, key).select("qid", key, "score", "rank")
 
 
 def interleaved(first: DataFrame, second: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import questions as Q
 from quillstone.functions.reference import FORM, TICKER
-from quillstone.operators import chunks, facts, index, pages, retrieve, segments, service, verify
+from quillstone.operators import chunks, facts, index, neighbours, pages, retrieve, segments, service, verify
 from quillstone.session import saved
 
 KEYWORD_ONLY = "Dense search is not available; results are by keyword only."
@@ -59,14 +59,14 @@ def require_covered(cover: DataFrame, ticker: str) -> str:
 
 
 def search_filings(
-    units: DataFrame, question: str, ticker: str | None = None, year: int | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
+    units: DataFrame, question: str, ticker: str | None = None, year: int | None = None, vectors: DataFrame | neighbours.Placed | None = None, query_vector: list[float] | None = None,
     k: int = CANDIDATES, top: int = 5, key: str = "chunk_id", loaded: index.Index | segments.Segments | None = None, cover: DataFrame | None = None, embed: Callable | None = None, rank: Callable | None = None, budget: int | None = None, stage: str = "reranked",
 ) -> DataFrame:
     """The best passages for a question over units (key, ticker, form, filed, text), with a note on how they were found.
 
     Company and years come from the arguments, else from the question. If the filters leave nothing, keyword and
     dense search are done without them; passages of another company than an explicit one are never given. Without
-    vectors the search is by keyword. loaded: an index from `segments.load` or `index.load`; without it
+    vectors the search is by keyword; vectors that `neighbours.place` has placed are searched by pivots. loaded: an index from `segments.load` or `index.load`; without it
     one is made of the units.
     embed: question -> vector. rank: (hits, questions, top, key) -> ranked hits, in place of shared words; it is used
     while its cost in tokens is within the budget. cover: rows of coverage that an explicit company must be among.
@@ -102,8 +102,11 @@ def search_filings(
             hits = retrieve.bm25(terms, found.postings, found.lengths, found.corpus, k, key, only)
         near = hits.limit(0)
         if dense:
-            v = vectors if only is None else vectors.join(only.select(key), key, "left_semi")
-            near = retrieve.cosine(spark.createDataFrame([(0, query_vector)], "qid int, v array<double>"), v, k, key)
+            placed = isinstance(vectors, neighbours.Placed)
+            v = vectors.units if placed else vectors
+            v = v if only is None else v.join(only.select(key), key, "left_semi")
+            asked_for = spark.createDataFrame([(0, query_vector)], "qid int, v array<double>")
+            near = neighbours.nearest(asked_for, vectors._replace(units=v), k, key) if placed else retrieve.cosine(asked_for, v, k, key)
         return retrieve.interleaved(hits, near, key).collect()
 
     only = None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import questions as Q
 from quillstone.functions.reference import COMPANY_NAMES, RATIO_LINES, STOPWORDS, SYNONYMS
 from quillstone.functions.stem import stemmed
-from quillstone.operators import chunks, index, pages, retrieve, segments, service
+from quillstone.operators import chunks, index, neighbours, pages, retrieve, segments, service
 from quillstone.session import files_of, saved, shared_folder
 from quillstone.sources.filings import filings, first_per_form, table
 
@@ -64,6 +64,16 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.cosine(q, v, K, "doc_id")
 
 
+def q66_near_in_groups(spark, d):
+    """The nearest vectors of even labels, by pivots; the filter comes before the search and its bounds."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    q = _questions(spark, d).select("qid").join(v.select(F.col("doc_id").alias("qid"), "v"), "qid")
+    placed = neighbours.place(v, "doc_id")
+    placed = placed._replace(units=saved(placed.units))
+    even = table(spark, d, "embeddings").filter("label % 2 = 0").select(F.col("vec_id").alias("doc_id"))
+    return neighbours.nearest(q, placed._replace(units=placed.units.join(even, "doc_id", "left_semi")), K, "doc_id")
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """One table of ids a question; saved, as text is joined to it and it is ranked after that."""
     return saved(retrieve.interleaved(_keyword(_index(spark, d), _questions(spark, d), "relaxed"), _dense(spark, d), "doc_id"))
@@ -379,6 +389,7 @@ ORACLES = {
     "q09_bm25_topk": f"WITH {_BM25} SELECT * FROM kw",
     "q10_bm25_filtered": f"WITH {_BM25} SELECT * FROM kf",
     "q11_dense_topk": f"WITH {_QUESTIONS} {_DENSE} SELECT * FROM dn",
+    "q66_near_in_groups": f"WITH {_QUESTIONS} {_DENSE} SELECT * FROM dn".replace("CROSS JOIN embeddings c", "CROSS JOIN (SELECT * FROM embeddings WHERE label % 2 = 0) c"),
     "q12_hybrid_merge": f"WITH {_BM25} {_DENSE} {_merge_sql('kw')} SELECT * FROM m",
     "q13_filter_relaxation": f"WITH {_BM25} SELECT * FROM rx",
     "q14_hydrate": f"WITH {_BM25} {_DENSE} {_merge_sql('rx')} SELECT qid, pos, m.doc_id, ticker, form, filed, md5(text) AS digest FROM m LEFT JOIN f USING (doc_id)",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import excerpt, tidied
-from quillstone.operators import chunks, evaluate, facts, index, ingest, pages, retrieve, segments, service, tools, vectors, verify
+from quillstone.operators import chunks, evaluate, facts, index, ingest, neighbours, pages, retrieve, segments, service, tools, vectors, verify
 from quillstone.sources import filings
 
 UNITS = [
@@ -71,6 +71,10 @@ def test_search_notes_and_relaxation(spark, units):
     vectors = spark.createDataFrame([("c2", [1.0, 0.0]), ("c3", [0.0, 1.0])], "chunk_id string, v array<double>")
     got = note(tools.search_filings(more, "zebra", vectors=vectors, embed=lambda q: [0.0, 1.0]))
     assert [p.id for p in got.passages][0] == "c3" and got.note is None
+    placed = neighbours.place(vectors)
+    for asked in ({}, {"ticker": "NVDA"}):
+        plain, pruned = (note(tools.search_filings(more, "zebra", vectors=v, embed=lambda q: [0.0, 1.0], **asked)) for v in (vectors, placed))
+        assert plain == pruned
     picked = tools.search_filings(more, "revenue", rank=lambda h, q, top, key: h.filter("chunk_id = 'c3'").withColumn("rank", F.lit(1)), budget=10**6).collect()
     assert [r.id for r in picked] == ["c3"]
     over = tools.search_filings(more, "revenue", rank=lambda *a: 1 / 0, budget=1).first()
