@@ -466,3 +466,12 @@ def test_chunking_takes_time_in_proportion(spark):
         took[n] = time.perf_counter() - start
         assert sum(r.words for r in got) == 12 * n and all(r.words == 408 for r in got[:-1])
     assert took[100_000] < took[1_000] + 20
+
+
+def test_table_repair_takes_time_in_proportion_to_the_table(spark):
+    """Steps that were computed anew for every cell and mention took the square of a table's size."""
+    body = [" | 2020.0 | 2020 |  | 2019 | 2019 | ", *(f"line {i} | $ | {i}.5 |  | $ | {i}.0 | " for i in range(1500))]
+    long = spark.range(1).select(F.concat(F.lit("\n".join(["0 | 1 | 2 | 3 | 4 | 5 | 6", *body])), F.col("id").cast("string")).alias("t"))
+    began = time.monotonic()
+    got = long.select(pages.repaired(F.col("t")).alias("r")).first().r.split("\n")
+    assert got == [" | 2020 | 2019", *(f"line {i} | ${i}.5 | ${i}" for i in range(1499)), "line 1499 | $1499.5 | $1499 | 0"] and time.monotonic() - began < 20
