@@ -5,12 +5,13 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstone.llm import copies, queries
+from quillstone.llm import copies, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 ORDER = ["quality_classifier", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "source_mixture"]
@@ -123,3 +124,17 @@ def test_query_without_sql(spark, name):
     got = queries.QUERIES[name](spark, SF)
     source = "pages" if name.startswith("op2") else "documents"
     assert got.count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+
+
+def test_near_dedup_takes_candidates_from_simhash(spark):
+    """Without a MinHash band the pairs that SimHash gives are compared, and those that are alike are linked."""
+    text = prose(1, 300)
+    rows = [(0, text), (1, text.rsplit(" ", 1)[0]), (2, prose(2, 300))]
+    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() <= simhash.RADIUS
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    each = spark.createDataFrame([(i, 0, int(np.array([simhash.fingerprint(t)], np.uint64).view(np.int64)[0])) for i, t in rows], "k1 long, k2 long, print long")
+    nodes = docs.select(F.col("doc_id").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("doc_id").alias("node"), copies._text_id(docs).alias("text_id"), F.array().cast("array<long>").alias("least_hashes"))
+    near = copies._simhash_pairs(each, nodes, simhash.RADIUS)
+    assert [tuple(r) for r in near.collect()] == [(0, 1)]
+    none = nodes.select("node", F.lit(0).cast("long").alias("key")).limit(0)
+    assert {(r.node, r.root) for r in copies._links(docs, nodes, none, near, copies.WIDTH, copies.SHARE).collect()} == {(0, 0), (1, 0)}
