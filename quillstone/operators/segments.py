@@ -3,7 +3,9 @@
 A segment is never changed. Its units are numbered in order of their attributes, SLAB numbers are a slab, and its
 postings are one row for each term and slab, with the largest tf and the smallest length among them. These two
 bound every score of the slab, whatever the corpus's statistics become, so a search reads the arrays of postings
-only where the bound reaches the k-th best score found so far, and only in slabs that the filters leave.
+only where the bound reaches the k-th best score found so far, and only in slabs that the filters leave. A slab's
+arrays meet in one group, with the questions that want it, and only its best units leave it. Files of postings hold
+whole slabs, sorted by term, so that sums over a slab's terms are made where they are read.
 
 The segments and deletions that make up the index are listed in a manifest, a new one for each change (see
 `manifests`). Frequencies, lengths and numbers of units are sums over segments, less those of the units deleted.
@@ -14,13 +16,16 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstone.operators.index import postings
-from quillstone.operators.retrieve import BROADCAST_TERMS, K1, LEAST_IDF, PLACES, B
-from quillstone.session import remove
+from quillstone.operators.retrieve import BROADCAST_TERMS, K1, LEAST_IDF, PLACES, QUESTION_BLOCK, B
+from quillstone.session import remove, saved
 from quillstone.sources import manifests
 
 SLAB = 128
@@ -35,7 +40,7 @@ class Segments(NamedTuple):
     """An index as one manifest lists it.
 
     blocks: segment, slab, term, n, max_tf, min_dl, posts (array of key, tf, dl). units: segment, slab, key, dl and
-    the attributes, deleted ones included. gone (segment, key) and gone_terms (term, df) of the units deleted, None
+    the attributes, deleted ones included. gone (segment, slab, key) and gone_terms (term, df) of the units deleted, None
     if there are none.
     """
 
@@ -69,7 +74,7 @@ def _write(spark: SparkSession, path: str, name: str, posted: DataFrame, units:
     n, dl = placed.agg(F.count("*"), F.sum("dl")).first()
     own = posted.join(_small(placed.select(key, "slab", "dl")), key)
     posts = F.array_sort(F.collect_list(F.struct(key, "tf", "dl"))).alias("posts")
-    blocks = own.repartitionByRange("term", "slab").groupBy("term", "slab").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), posts)
+    blocks = own.repartitionByRange("slab", "term").groupBy("term", "slab").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), posts)
     blocks.sortWithinPartitions("term", "slab").write.parquet(f"{at}/blocks")
     return n, dl or 0
 
@@ -140,7 +145,7 @@ def _open(spark: SparkSession, path: str, rows: list) -> Segments:
             out = one if out is None else out.unionByName(one)
         return out
 
-    gone = spark.read.parquet(*(f"{path}/deletes/{x}/units" for x in deletes)).select("segment", first["key"]) if deletes else None
+    gone = spark.read.parquet(*(f"{path}/deletes/{x}/units" for x in deletes)).select("segment", "slab", first["key"]) if deletes else None
     terms = spark.read.parquet(*(f"{path}/deletes/{x}/terms" for x in deletes)) if deletes else None
     n, dl = (sum(_row(r)[c] for r in rows) for c in ("n", "dl"))
     return Segments(read("blocks"), read("units"), gone, terms, n, dl / n if n else 0.0, first["stem"], first["key"], list(first["attributes"]))
@@ -197,7 +202,7 @@ def weighted_terms(held: Segments, asked: DataFrame) -> DataFrame:
         df = df.unionByName(held.gone_terms.join(marked(wanted), "term", "left_semi").select("term", (-F.col("df")).alias("df")))
     df = df.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
     raw = F.log((F.lit(held.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return marked(asked.join(df, "term").select("qid", "term", F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)).alias("idf")))
+    return marked(saved(asked.join(df, "term").select("qid", "term", F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF)).alias("idf"))))
 
 
 def slab_bounds(held: Segments, weighted: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -208,16 +213,65 @@ def slab_bounds(held: Segments, weighted: DataFrame, only: DataFrame | None = No
     return found.groupBy("qid", "segment", "slab").agg(F.sum(F.col("idf") * _weight(held, F.col("max_tf"), F.col("min_dl"))).alias("bound"))
 
 
-def _scored(held: Segments, weighted: DataFrame, slabs: DataFrame, only: DataFrame | None) -> DataFrame:
-    """qid, key, score of the units in the given slabs (qid, segment, slab) of each question."""
-    key = held.key
-    asked = held.blocks.select("segment", "slab", "term", "posts").join(weighted, "term").join(slabs, ["qid", "segment", "slab"], "left_semi")
-    each = asked.select("qid", "segment", "slab", "idf", F.explode("posts").alias("p")).select("qid", "segment", "slab", "idf", F.col("p").getField(key).alias(key), "p.tf", "p.dl")
-    if only is not None:
-        each = each.join(_small(only), ["qid", "segment", "slab", key], "left_semi")
-    if held.gone is not None:
-        each = each.join(_small(held.gone), ["segment", key], "left_anti")
-    return each.groupBy("qid", key).agg(F.round(F.sum(F.col("idf") * _weight(held, F.col("tf"), F.col("dl"))), PLACES).alias("score"))
+def _best_of_slab(avgdl: float, k: int, key: str, filtered: bool):
+    def run(rows: pa.Table) -> pa.Table:
+        """qid, key, score of the units that may be among a question's k best of a slab.
+
+        Rows of kind 0 are the slab's terms with their postings and the questions that ask for them, of kind 1 the
+        questions that want the slab, 2 the units that a question may find, 3 the units deleted. Scores are sums of
+        products of two matrices; those within a rounding of the k-th stay, as they are rounded and ranked later.
+        """
+        of = lambda kind, column: rows.filter(pc.equal(rows["kind"], kind))[column].combine_chunks()
+        posts, asks, wanted = of(0, "posts"), of(0, "asks"), of(1, "qid").unique()
+        place = lambda lists: np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        post, ask = posts.flatten(), asks.flatten()
+        units = post.field(key).unique()
+        within = lambda values, names: pc.fill_null(pc.index_in(values, value_set=names), -1).to_numpy(zero_copy_only=False)
+        tf, dl = (post.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "dl"))
+        weight = np.zeros((len(posts), len(units)))
+        weight[place(posts), within(post.field(key), units)] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+        asker, term, idf = within(ask.field("qid"), wanted), place(asks), ask.field("idf").to_numpy(zero_copy_only=False)
+        may = np.zeros((len(wanted), len(units)), bool) if filtered else np.ones((len(wanted), len(units)), bool)
+        if filtered:
+            q, u = within(of(2, "qid"), wanted), within(of(2, key), units)
+            both = (q >= 0) & (u >= 0)
+            may[q[both], u[both]] = True
+        gone = within(of(3, key), units)
+        may[:, gone[gone >= 0]] = False
+        found: list[tuple] = []
+        for at in range(0, len(wanted) if len(units) else 0, QUESTION_BLOCK):
+            own = (asker >= at) & (asker < at + QUESTION_BLOCK)
+            idfs = np.zeros((min(QUESTION_BLOCK, len(wanted) - at), len(posts)))
+            np.add.at(idfs, (asker[own] - at, term[own]), idf[own])
+            scores = idfs @ weight
+            scores[~(may[at : at + QUESTION_BLOCK] & (scores > 0))] = -np.inf
+            least = np.partition(scores, max(0, len(units) - k), axis=1)[:, max(0, len(units) - k)] - 2 * 10.0**-PLACES
+            q, u = np.nonzero((scores >= least[:, None]) & (scores > 0))
+            found.append((q + at, u, scores[q, u]))
+        q, u, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        return pa.table({"qid": wanted.take(pa.array(q)), key: units.take(pa.array(u)), "score": score})
+
+    return run
+
+
+def _scored(held: Segments, weighted: DataFrame, slabs: DataFrame, only: DataFrame | None, k: int) -> DataFrame:
+    """qid, key, score of the units that may be among the k best of the given slabs (qid, segment, slab) of each question.
+
+    Postings move once, whatever the number of questions, and so do the keys of `only`: neither side is ever laid
+    out as a row for each question and posting.
+    """
+    key, at = held.key, ["segment", "slab"]
+    asks = weighted.groupBy("term").agg(F.collect_list(F.struct("qid", "idf")).alias("asks"))
+    few = _small(slabs.select(*at).distinct())
+    rows = held.blocks.select(*at, "term", "posts").join(_small(asks, BROADCAST_TERMS), "term").join(few, at, "left_semi").select(*at, F.lit(0).alias("kind"), "asks", "posts")
+    for kind, more in ((1, slabs.select(*at, "qid")), (2, None if only is None else only.select(*at, "qid", key)), (3, None if held.gone is None else held.gone.select(*at, key))):
+        if more is not None:
+            more = more if kind == 1 else more.join(few, at, "left_semi")
+            rows = rows.unionByName(more.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields} | {key: held.units.schema[key].dataType.simpleString()}
+    rows = rows if key in rows.columns else rows.withColumn(key, F.lit(None).cast(kinds[key]))
+    best = rows.groupBy(*at).applyInArrow(_best_of_slab(float(held.avgdl) or 1.0, k, key, only is not None), f"qid {kinds['qid']}, `{key}` {kinds[key]}, score double")
+    return best.withColumn("score", F.round("score", PLACES))
 
 
 def _ranked(scored: DataFrame, k: int, key: str) -> DataFrame:
@@ -230,10 +284,10 @@ def wanted_slabs(held: Segments, weighted: DataFrame, k: int, only: DataFrame |
     Each question's first slabs by bound (FIRST, k at least) are scored; of the others those stay whose bound
     reaches the k-th best score found. Where fewer than k units are found all slabs stay.
     """
-    bounds = slab_bounds(held, weighted, only)
+    bounds = saved(slab_bounds(held, weighted, only))
     nth = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("bound"), "segment", "slab"))
     first = bounds.withColumn("nth", nth).filter(F.col("nth") <= max(FIRST, k)).select("qid", "segment", "slab")
-    need = _ranked(_scored(held, weighted, _small(first), only), k, held.key).filter(F.col("rank") == k).select("qid", F.col("score").alias("need"))
+    need = _ranked(_scored(held, weighted, first, only, k), k, held.key).filter(F.col("rank") == k).select("qid", F.col("score").alias("need"))
     # one number a question: read once, where the questions are few, so that this pass is not run again below
     rows = need.limit(SIDE_ROWS // 10 + 1).collect()
     if len(rows) <= SIDE_ROWS // 10:
@@ -249,8 +303,8 @@ def search(held: Segments, asked: DataFrame, k: int = 10, only: DataFrame | None
     nothing. Postings are read of the slabs that `wanted_slabs` leaves.
     """
     weighted = weighted_terms(held, asked)
-    slabs = _small(wanted_slabs(held, weighted, k, only))
-    return _ranked(_scored(held, weighted, slabs, only), k, held.key).select("qid", held.key, "score", "rank")
+    slabs = saved(wanted_slabs(held, weighted, k, only))
+    return _ranked(_scored(held, weighted, slabs, only, k), k, held.key).select("qid", held.key, "score", "rank")
 
 
 def allowed(held: Segments, questions: DataFrame, *conditions: Column, on: tuple[str, ...] = ("ticker",)) -> DataFrame:
