@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.figures import shown
 from quillstone.functions.questions import metric_name, normalized_metric
 from quillstone.functions.reference import ANNUAL_FORMS, DERIVED_METRICS, FACT_ID, FALLBACK_METRICS, FILING_URL, METRIC_CONCEPTS, NAMESPACES, QUARTER_FORMS, UNITS
+from quillstone.session import saved
 
 
 def metric_table(spark: SparkSession) -> DataFrame:
@@ -94,6 +95,7 @@ def values_of(cited: DataFrame, found: DataFrame, companies: DataFrame, metrics:
     companies: ticker, cik. The namespace of an id is read and, as published, not used. Ids that name nothing are absent.
     """
     recipes = recipes or DERIVED_METRICS | FALLBACK_METRICS
+    found = saved(found)  # it is read five times below
     own = cited.select("key", parsed_id(F.col("key")).alias("x")).filter("x IS NOT NULL").select("key", "x.*")
     own = own.join(companies, "ticker").drop("namespace").join(found.select("cik", "concept", "fy", "fp", "val"), ["cik", "concept", "fy", "fp"])
     part = lambda i: F.regexp_extract("key", DERIVED_ID, i)
@@ -101,7 +103,7 @@ def values_of(cited: DataFrame, found: DataFrame, companies: DataFrame, metrics:
     inputs = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for item in recipes.items() for x in item))
     asked = derived.select("cik", "fy", "fp", F.explode(inputs[F.col("metric")]).alias("metric")).distinct()
     asked = asked.withColumn("rid", F.concat_ws("|", "cik", "metric", "fp", "fy"))
-    made = differences(lookup(asked, found, metrics), recipes).select(F.col("id").alias("key"), "val")
+    made = differences(saved(lookup(asked, found, metrics).filter("error IS NULL")), recipes).select(F.col("id").alias("key"), "val")
     return own.select("key", "val").unionByName(derived.select("key").distinct().join(made, "key"))
 
 
