@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -475,3 +476,33 @@ def test_table_repair_takes_time_in_proportion_to_the_table(spark):
     began = time.monotonic()
     got = long.select(pages.repaired(F.col("t")).alias("r")).first().r.split("\n")
     assert got == [" | 2020 | 2019", *(f"line {i} | ${i}.5 | ${i}" for i in range(1499)), "line 1499 | $1499.5 | $1499 | 0"] and time.monotonic() - began < 20
+
+
+def test_pages_are_parsed_one_at_a_time(monkeypatch):
+    """The trees of a whole batch of pages were held at once."""
+    alive = []
+
+    class Counted(pages._Tree):
+        def __init__(self):
+            super().__init__()
+            Counted.now = getattr(Counted, "now", 0) + 1
+            alive.append(Counted.now)
+
+        def __del__(self):
+            Counted.now -= 1
+
+    monkeypatch.setattr(pages, "_Tree", Counted)
+    html = pa.array(["<p>" + "word " * 12 + "</p><table><tr><td>1<td>2</tr></table>", None] * 300)
+    out = list(pages._parts(iter([html, html.slice(0, 0)])))
+    assert sum(map(len, out)) == 600 and max(map(len, out)) <= pages.PAGES and max(alive) <= 2
+    assert out[0][0].as_py() == {"blocks": [("word " * 12).strip()], "tables": [{"headers": ["0", "1"], "rows": [["1", "2"]]}]}
+
+
+def test_ids_are_looked_up_in_figures_that_are_made_once(spark):
+    """The picks of `values` were made anew for each of their uses."""
+    facts_ = spark.createDataFrame([(1, "us-gaap", "A", "a", "USD", 0, 0, None, "1996-12-31", 5.0, 1996, "FY", "10-K", "1997-01-01", "x")], "cik long, namespace string, concept string, label string, unit string, unit_at int, at int, start string, end string, val double, fy int, fp string, form string, filed string, accn string")
+    cited = spark.createDataFrame([("xbrl:T:us-gaap:A:FY1996",), ("derived:1:d:FY1996",)], "key string")
+    metrics = spark.createDataFrame([("a", "A", 0), ("b", "A", 0)], "metric string, concept string, prio int")
+    got = facts.values_of(cited, facts.values(facts_), spark.createDataFrame([("T", 1)], "ticker string, cik long"), metrics, {"d": ("a", "b")})
+    assert "min_by" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("derived:1:d:FY1996", 0.0), ("xbrl:T:us-gaap:A:FY1996", 5.0)]
