@@ -6,17 +6,18 @@ length the fingerprints are counted by a shuffle, and those that reach the bound
 size; an n-gram can only reach it if both its (n-1)-grams do, so that only such n-grams are counted in the next
 round. A filled bit table prunes less and loses nothing.
 
-Fingerprints only choose what to look at. In the last round, occurrences of the chosen ones are compared byte by
-byte with the first of their window, whose place in its text is their pointer and whose text's digest is the key
-that they are counted by; so n-grams whose fingerprints collide are counted apart. Only phrases that reach the
-bound are then cut out of the texts, at their pointers.
+These rounds only choose what to look at; 40 bits of a fingerprint do for that. In the last round, n-grams are told
+apart by 96 bits: the whole fingerprint and a check of another kind, sums of numbers that each byte draws at its
+place in the word. What is shuffled are blocks: a task's counts by ranges of fingerprints, in order, as steps.
+
+The pointer to an occurrence is the slot of its text, one byte of a hash, in the last round's blocks; the least slot
+is kept. Phrases that reach the bound are then read from texts of that slot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import cache
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ascii_lower, broadcast_if_small, saved, text_of
+from quillstone.llm.common import saved, text_of
 from quillstone.llm.hashing import ODD, mix
 
 LONGEST, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
@@ -32,8 +33,10 @@ LONGEST, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 WINDOW = 1 << 20
 #: Bits of each table of frequent fingerprints: 16 MB.
 FILTER_BITS = 27
-#: So many rows of 16 bytes are broadcast at most.
-SIDE_ROWS = 500_000
+#: Bits of a fingerprint that the rounds before the last count by.
+CODE_BITS = 40
+#: Bytes of phrases, about, that a task gathers before it gives them on.
+WRITTEN = 8 << 20
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 
 _KIND = np.zeros(256, np.uint8)
@@ -44,6 +47,9 @@ _TRANSLATED = _LOWER.tobytes()
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64))[_LOWER]
 _BACK = np.uint64(pow(ODD | 1, -1, 1 << 64))
 _ODD = np.uint64(ODD | 1)
+#: The columns of blocks: a key and its count; two keys, their count and the least slot.
+CODES, EXACT = (np.uint64, np.int64), (np.uint64, np.uint32, np.int64, np.uint8)
+_CODEC = pa.Codec("zstd", 1)
 
 
 @cache
@@ -65,6 +71,11 @@ def _slices(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
+def _cleared(prints: np.ndarray, cut: int) -> np.ndarray:
+    """Fingerprints without their lowest bits."""
+    return prints >> np.uint64(cut) << np.uint64(cut)
+
+
 class Words:
     """The words of a window: hash (of the lower-cased bytes), row, piece, start and stop in the buffer."""
 
@@ -141,135 +152,215 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds
 
 
-def counting(n: int, table: Callable[[], np.ndarray] | None, cut: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (text, seed) to (print, count): the n-grams of each window that the table of (n-1)-grams lets through.
+def _summed(columns: list[np.ndarray], keys: int, kind: str = "stable") -> list[np.ndarray]:
+    """One row for each key, in order: the keys, the sum of the counts, and the least of every column after them.
 
-    cut: bits of a fingerprint that are dropped; 0 but for tests of collisions.
+    columns: one or two columns of keys, the counts, any others. kind: of sorting; stable is fast on ordered runs.
+    """
+    if not len(columns[0]):
+        return columns
+    order = np.argsort(columns[0], kind=kind)
+    columns_in = lambda order: [x[order] for x in columns]
+    out = columns_in(order)
+    new = np.r_[True, out[0][1:] != out[0][:-1]]
+    if keys == 2 and np.any((out[1][1:] != out[1][:-1]) & ~new[1:]):  # fingerprints that collide
+        out = columns_in(np.lexsort(columns[1::-1]))
+        new = np.r_[True, (out[0][1:] != out[0][:-1]) | (out[1][1:] != out[1][:-1])]
+    first = np.flatnonzero(new)
+    return [*(x[first] for x in out[:keys]), np.add.reduceat(out[keys], first, dtype=out[keys].dtype), *(np.minimum.reduceat(x, first) for x in out[keys + 1 :])]
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns as bytes: steps of the first, which ascends; the bytes of equal weight lie together, zeros are left out."""
+    steps = np.r_[columns[0][:1], np.diff(columns[0])]
+    planes = [plane.tobytes() for x in (steps, *columns[1:]) for plane in x.view(np.uint8).reshape(len(x), -1).T]
+    some = [plane.strip(b"\0") != b"" for plane in planes]
+    return bytes(some) + b"".join(_CODEC.compress(plane, asbytes=True) for plane, kept in zip(planes, some, strict=True) if kept)
+
+
+def unpacked(block: bytes, size: int, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    """The columns of `packed`, of these types."""
+    widths = [np.dtype(kind).itemsize for kind in kinds]
+    some = np.frombuffer(block, bool, sum(widths))
+    planes = np.zeros((len(some), size), np.uint8)
+    planes[some] = np.frombuffer(_CODEC.decompress(block[len(some) :], int(some.sum()) * size, asbytes=True), np.uint8).reshape(-1, size)
+    ends = np.cumsum(widths)
+    columns = [np.ascontiguousarray(planes[end - width : end].T).view(kind)[:, 0] for kind, width, end in zip(kinds, widths, ends, strict=True)]
+    return [np.add.accumulate(columns[0]), *columns[1:]]
+
+
+class Blocks:
+    """A task's counts, added up by key and given on as (bucket, size, block) once they are many.
+
+    A bucket has a range of the first key: its upper `bits` of `width`.
+    """
+
+    def __init__(self, keys: int, width: int, bits: int, most: int = 1_000_000):
+        self.keys, self.shift, self.bits, self.most, self.parts, self.size = keys, np.uint64(width - bits), bits, most, [], 0
+
+    def take(self, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """columns: see `_summed`."""
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size > self.most:
+            self._merge()
+            if self.size > self.most // 2:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        self.parts = [_summed([np.concatenate(x) for x in zip(*self.parts, strict=True)], self.keys)]
+        self.size = len(self.parts[0][0])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        self._merge()
+        (columns,), self.parts, self.size = self.parts, [], 0
+        edges = np.searchsorted(columns[0] >> self.shift, np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        full = np.flatnonzero(edges[1:] > edges[:-1])
+        for some in np.array_split(full, -(-len(full) // 256)):
+            blocks = [packed([x[edges[k] : edges[k + 1]] for x in columns]) for k in some]
+            sizes = (edges[some + 1] - edges[some]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sizes), pa.array(blocks, pa.binary())], ["bucket", "size", "block"])
+
+
+BLOCK = "bucket int, size int, block binary"
+
+
+def _gathered(table: pa.Table, keys: int, kinds: tuple[type, ...], least: int) -> list[np.ndarray]:
+    """What the blocks of a bucket add up to: the keys that reach the bound."""
+    parts = [unpacked(block, size, kinds) for block, size in zip(table.column("block").to_pylist(), table.column("size").to_pylist(), strict=True)]
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    columns = _summed(columns, keys)
+    return [x[columns[keys] >= least] for x in columns]
+
+
+def counting(n: int, table: Callable[[], np.ndarray] | None, cut: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (text, seed) to BLOCK: the n-grams of each window that the table of (n-1)-grams lets through.
+
+    cut: bits of a fingerprint that are dropped; 0 but for tests of collisions. bits: of the number of buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = table() if table else None, Merged(["print", "count"], 1)
+        held, filled = Blocks(1, CODE_BITS, bits), table() if table else None
         for batch in batches:
             data, bounds = _texts(batch)
             seeds = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
             for words, carried in windows(data, bounds, LONGEST - 1):
                 prints, good = words.grams(n, seeds)
                 good[: max(0, carried - n + 1)] = False  # these were in the window before
-                if bits is not None:
-                    part = _holds(bits, words.grams(n - 1, seeds)[0] >> np.uint64(cut))
+                if filled is not None:
+                    part = _holds(filled, _coded(words.grams(n - 1, seeds)[0], cut))
                     good &= part[:-1] & part[1:]
-                found, count = np.unique(prints[good] >> np.uint64(cut), return_counts=True)
-                yield from held.take([found.view(np.int64), count])
+                found, count = np.unique(_cleared(prints[good], cut) >> np.uint64(64 - CODE_BITS), return_counts=True)
+                yield from held.take([found, count])
         yield from held.rest()
 
     return run
 
 
-class Merged:
-    """Counts that come in many batches, given on once they are many: rows with equal keys are added up before."""
+def _coded(prints: np.ndarray, cut: int) -> np.ndarray:
+    """What a bit table holds for fingerprints: the bits that were counted by, scattered."""
+    return mix(_cleared(prints, cut) >> np.uint64(64 - CODE_BITS))
 
-    def __init__(self, names: list[str], keys: int, most: int = 400_000):
-        self.names, self.keys, self.most, self.parts, self.size = names, keys, most, [], 0
 
-    def take(self, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """arrays: the keys, the count, and what is kept of the first row of each."""
-        self.parts.append(arrays)
-        self.size += len(arrays[0])
-        if self.size > self.most:
-            yield from self.rest()
+def reaching(least: int) -> Callable[[pa.Table], pa.Table]:
+    """From the blocks of a bucket to (print): for a bit table, the fingerprints that reach the bound."""
+    return lambda table: pa.table({"print": mix(_gathered(table, 1, CODES, least)[0]).view(np.int64)})
 
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
-            self.parts, self.size = [], 0
-            order = np.lexsort(columns[: self.keys][::-1])
-            columns = [x[order] for x in columns]
-            new = np.r_[True, np.any([x[1:] != x[:-1] for x in columns[: self.keys]], axis=0)]
-            first = np.flatnonzero(new)
-            out = [np.add.reduceat(x, first) if i == self.keys else x[first] for i, x in enumerate(columns)]
-            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in out], self.names)
-            yield from (whole.slice(at, 50_000) for at in range(0, len(first), 50_000))
-
-
-def _same(data: np.ndarray, words: Words, n: int, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Whether the n-grams at some words are byte for byte those at others: word by word, lower-cased."""
-    out = np.ones(len(at), bool)
-    for k in range(n):
-        a, b = at + k, to + k
-        long = words.stop[a] - words.start[a]
-        out &= long == words.stop[b] - words.start[b]
-        test = np.flatnonzero(out)
-        for some in np.array_split(test, max(1, int(long[test].sum()) // WINDOW)):
-            size = long[some]
-            ends = np.cumsum(size)
-            inner = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
-            unequal = _LOWER[data[np.repeat(words.start[a[some]], size) + inner]] != _LOWER[data[np.repeat(words.start[b[some]], size) + inner]]
-            out[some[np.unique(np.repeat(np.arange(len(some)), size)[unequal])]] = False
-    return out
 
+def _checks(data: np.ndarray, words: Words) -> np.ndarray:
+    """A second hash of each word's lower-cased bytes: the sum of what every byte draws at its place."""
+    if not len(words.start):
+        return np.empty(0, np.uint64)
+    size = words.stop - words.start
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    byte = _LOWER[data[place + np.repeat(words.start, size)]]
+    return np.add.reduceat(mix((place.astype(np.uint64) << np.uint64(8)) + byte + _ODD), ends - size)
 
-FOUND = ["d1", "d2", "count", "k1", "k2", "start", "stop"]
 
+def _chosen(data: np.ndarray, words: Words, carried: int, tables: list[np.ndarray], longest: int, seeds: np.ndarray, tongues: np.ndarray, cut: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The n-grams of a window that the tables let through: n, the first words, and the two keys of each."""
+    shorter, checks = None, _checks(data, words)
+    for n in range(1, longest + 1):
+        prints, good = words.grams(n, seeds)
+        if n <= len(tables):
+            kept = _holds(tables[n - 1], _coded(prints, cut))
+        else:
+            kept = shorter[:-1] & shorter[1:] if len(shorter) > 1 else np.zeros(len(prints), bool)
+        shorter = kept
+        good = good & kept
+        good[: max(0, carried - n + 1)] = False
+        at = np.flatnonzero(good)
+        both = tongues[words.row[at]] + np.uint64(n)
+        for k in range(n):
+            both += mix(checks[at + k] + np.uint64(k))
+        yield n, at, _cleared(prints[at], cut), (mix(both) >> np.uint64(32)).astype(np.uint32)
 
-def pointing(tables: list[Callable[[], np.ndarray]], longest: int, cut: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (text, seed, lang, k1, k2) to FOUND: counts of the n-grams that the tables let through.
 
-    A row has the digest of the language and the words, 96 bits, and a pointer: the key of a row, and the bytes
-    from start to stop in its text.
-    """
+def pointing(tables: list[Callable[[], np.ndarray]], longest: int, cut: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (text, seed, tongue, slot) to BLOCK: the n-grams that the tables let through and the least slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = [t() for t in tables], Merged(FOUND, 2, 100_000)
+        filled, held = [t() for t in tables], Blocks(2, 64, bits)
         for batch in batches:
             data, bounds = _texts(batch)
-            seeds = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
-            langs = [x.encode() for x in batch.column("lang").to_pylist()]
-            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2")]
+            seeds, tongues, slots = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "tongue", "slot"))
+            slots = slots.astype(np.uint8)
             for words, carried in windows(data, bounds, LONGEST - 1):
-                shorter = None
-                for n in range(1, longest + 1):
-                    prints, good = words.grams(n, seeds)
-                    if n <= len(bits):
-                        kept = _holds(bits[n - 1], prints >> np.uint64(cut))
-                    else:
-                        kept = shorter[:-1] & shorter[1:] if len(shorter) > 1 else np.zeros(len(prints), bool)
-                    shorter = kept
-                    good = good & kept
-                    good[: max(0, carried - n + 1)] = False
-                    at = np.flatnonzero(good)
-                    if not len(at):
-                        continue
-                    rows, counts = _told_apart(data, words, n, at, words.row, langs, prints[at] >> np.uint64(cut))
-                    row = words.row[rows]
-                    digests = np.frombuffer(b"".join(_digests(data, words, n, rows, [langs[r] for r in row.tolist()])), [("d1", np.int64), ("d2", np.int32)])
-                    yield from held.take([digests["d1"], digests["d2"], counts, keys[0][row], keys[1][row], words.start[rows] - bounds[row], words.stop[rows + n - 1] - bounds[row]])
+                for _, at, prints, checks in _chosen(data, words, carried, filled, longest, seeds.view(np.uint64), tongues.view(np.uint64), cut):
+                    yield from held.take(_summed([prints, checks, np.ones(len(at), np.int64), slots[words.row[at]]], 2, "quicksort"))
         yield from held.rest()
 
     return run
 
 
-def _told_apart(data: np.ndarray, words: Words, n: int, at: np.ndarray, row: np.ndarray, langs: list[bytes], prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first occurrence and the number of each different n-gram of a language: a group of one fingerprint is
-    compared with its first, and what differs is a group again."""
-    rows, counts = [], []
-    known = {x: i for i, x in enumerate(set(langs))}
-    tongue = np.array([known[x] for x in langs])
-    while len(at):
-        _, first, group = np.unique(prints, return_index=True, return_inverse=True)
-        to = at[first][group]
-        same = _same(data, words, n, at, to) & (tongue[row[at]] == tongue[row[to]])
-        rows.append(at[first])
-        counts.append(np.bincount(group[same], minlength=len(first)))
-        at, prints = at[~same], prints[~same]
-    return np.concatenate(rows), np.concatenate(counts)
+def _spots(prints: np.ndarray, checks: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """What a bit table holds for n-grams and slots."""
+    return mix(prints ^ mix((checks.astype(np.uint64) << np.uint64(8)) + slots.astype(np.uint64)))
+
+
+def counted(least: int) -> Callable[[pa.Table], pa.Table]:
+    """From the blocks of a bucket to (k1, k2, f, print): the n-grams that reach the bound; print: see `_spots`."""
+
+    def run(table: pa.Table) -> pa.Table:
+        prints, checks, f, slots = _gathered(table, 2, EXACT, least)
+        return pa.table({"k1": prints.view(np.int64), "k2": checks.view(np.int32), "f": f, "print": _spots(prints, checks, slots).view(np.int64)})
+
+    return run
+
+
+def reading(tables: list[Callable[[], np.ndarray]], spots: Callable[[], np.ndarray], longest: int, cut: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (lang, text, seed, tongue, slot) to (k1, k2, lang, n, phrase): n-grams in texts of the slots that `spots` holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, spot, found, size = [t() for t in tables], spots(), {}, 0
+        for batch in batches:
+            data, bounds = _texts(batch)
+            langs = batch.column("lang").to_pylist()
+            seeds, tongues, slots = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seed", "tongue", "slot"))
+            for words, carried in windows(data, bounds, LONGEST - 1):
+                for n, at, prints, checks in _chosen(data, words, carried, filled, longest, seeds.view(np.uint64), tongues.view(np.uint64), cut):
+                    here = _holds(spot, _spots(prints, checks, slots[words.row[at]]))
+                    prints, checks, _, at = _summed([prints[here], checks[here], np.ones(int(here.sum()), np.int64), at[here]], 2, "quicksort")
+                    for k1, k2, i in zip(prints.view(np.int64).tolist(), checks.view(np.int32).tolist(), at.tolist(), strict=True):
+                        if (k1, k2) not in found:
+                            text = b" ".join([data[words.start[j] : words.stop[j]].tobytes() for j in range(i, i + n)]).translate(_TRANSLATED).decode()
+                            found[k1, k2] = langs[words.row[i]], n, text
+                            size += 50 + len(text)
+                        if size > WRITTEN:
+                            yield from _rows(found)
+                            found, size = {}, 0
+        yield from _rows(found)
+
+    return run
 
 
-def _digests(data: np.ndarray, words: Words, n: int, rows: np.ndarray, langs: list[bytes]) -> Iterator[bytes]:
-    """96 bits of the language and the words, lower-cased and parted by spaces."""
-    starts, stops = ([x[rows + k].tolist() for k in range(n)] for x in (words.start, words.stop))
-    for lang, *places in zip(langs, *starts, *stops, strict=True):
-        text = b" ".join([data[a:b].tobytes().translate(_TRANSLATED) for a, b in zip(places[:n], places[n:], strict=True)])
-        yield blake2b(b"%d:%s %s" % (len(lang), lang, text), digest_size=12).digest()
+def _rows(found: dict[tuple[int, int], tuple[str, int, str]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        columns = [*zip(*found, strict=True), *zip(*found.values(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)], ["k1", "k2", "lang", "n", "phrase"])
 
 
 def bit_table(prints: DataFrame, bits: int = FILTER_BITS) -> Callable[[], np.ndarray]:
@@ -288,27 +379,20 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cut: i
     """(lang, n, phrase, f) of all phrases of up to `longest` words that occur `least` times, and (lang, n) of words."""
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of("text").alias("text"))
     read = read.select("lang", "text", F.xxhash64("lang").alias("seed"))
+    # some buckets for each task after the shuffle
+    bits = min(12, max(8, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     tables: list[Callable[[], np.ndarray]] = []
     for n in range(1, longest):
-        counted = read.select("text", "seed").mapInArrow(counting(n, tables[-1] if tables else None, cut), "print long, count long")
-        tables.append(bit_table(counted.groupBy("print").agg(F.sum("count").alias("f")).filter(F.col("f") >= least)))
-    # a row's key covers its language, so that a pointer gives that too
-    key = F.concat_ws("|", F.length("lang"), "lang", "text")
-    keyed = read.select("lang", "text", "seed", F.xxhash64(key).alias("k1"), F.hash(F.lit(7), key).alias("k2"))
-    rows = keyed.mapInArrow(pointing(tables, longest, cut), "d1 long, d2 int, count long, k1 long, k2 int, start long, stop long")
-    # the pointer is that of one row, the one with the least k1, field by field: whole numbers are summed up by hash
-    exact = rows.groupBy("d1", "d2").agg(F.sum("count").alias("f"), *(F.min_by(c, "k1").alias(c) for c in ("k1", "k2", "start", "stop")))
-    exact = saved(exact.filter(F.col("f") >= least).select("f", "k1", "k2", "start", "stop"))
-    # all pointers into a text are cut out of it at once
-    spots = exact.groupBy("k1", "k2").agg(F.collect_list(F.struct("f", "start", "stop")).alias("spots"))
-    few = broadcast_if_small(exact.select("k1", "k2").distinct(), SIDE_ROWS)
-    texts = keyed.select("k1", "k2", "lang", "text").join(few, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    cut_out = texts.join(spots, ["k1", "k2"]).select("lang", F.encode("text", "UTF-8").alias("bytes"), F.explode("spots").alias("x"))
-    phrase = F.decode(F.expr("substring(bytes, CAST(x.start AS INT) + 1, CAST(x.stop - x.start AS INT))"), "UTF-8")
-    phrase = F.regexp_replace(ascii_lower(phrase), "[ \t]+", " ")
+        blocks = read.select("text", "seed").mapInArrow(counting(n, tables[-1] if tables else None, cut, bits), BLOCK)
+        tables.append(bit_table(blocks.groupBy("bucket").applyInArrow(reaching(least), "print long")))
+    placed = read.withColumns({"tongue": F.xxhash64(F.lit(7), "lang"), "slot": F.xxhash64("text").bitwiseAND(255).cast("int")})
+    blocks = placed.drop("lang").mapInArrow(pointing(tables, longest, cut, bits), BLOCK)
+    exact = saved(blocks.groupBy("bucket").applyInArrow(counted(least), "k1 long, k2 int, f long, print long"))
+    # a phrase is read wherever its slot is; once is enough
+    rows = placed.mapInArrow(reading(tables, bit_table(exact), longest, cut), "k1 long, k2 int, lang string, n int, phrase string")
+    found = saved(rows.join(exact.drop("print"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("lang", "n", "phrase", "f"))
     totals = read.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(r"[^ \t.,;:!?\n\x0B\f\r]+")).cast("long")).alias("n"))
-    found = saved(cut_out.select("lang", phrase.alias("phrase"), "x.f"))
-    return found.select("lang", F.size(F.split("phrase", " ")).alias("n"), "phrase", "f"), totals
+    return found, totals
 
 
 def _whole(column: str | Column) -> Column:

@@ -82,6 +82,39 @@ def test_a_full_bit_table_loses_nothing(spark, monkeypatch):
     assert sorted(got) == sorted(plain_collocations(rows, 5))
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = context.statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_counts_of_pairs_are_shuffled_in_few_bytes(spark):
+    r = np.random.default_rng(7)
+    rows = [("en", " ".join(f"w{x}" for x in r.integers(0, 2000, 1500))) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    before = shuffled(spark)
+    assert phrases.collocations(docs).count() == 0
+    pairs = len({(a, b) for _, t in rows for a, b in zip(t.split(), t.split()[1:])})
+    assert shuffled(spark) - before < 6 * pairs
+
+
+def test_blocks_keep_what_they_hold():
+    r = np.random.default_rng(3)
+    keys = r.integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1)
+    keys[:2000] = keys[2000:2020].repeat(100)  # among them keys that differ only in the second
+    columns = [keys, r.integers(0, 3, 3000).astype(np.uint32), r.integers(1, 1 << 40, 3000), r.integers(0, 256, 3000).astype(np.uint8)]
+    want = pd.DataFrame(dict(zip("abcd", columns, strict=True))).groupby(["a", "b"], as_index=False).agg({"c": "sum", "d": "min"})
+    held = phrases.Blocks(2, 64, 8, most=500)
+    found = [b for at in range(0, 3000, 100) for b in held.take([x[at : at + 100] for x in columns])] + [*held.rest()]
+    parts = [phrases.unpacked(b["block"], b["size"], phrases.EXACT) for x in found for b in x.to_pylist()]
+    assert all((phrases.unpacked(b["block"], b["size"], phrases.EXACT)[0] >> np.uint64(56) == b["bucket"]).all() for x in found for b in x.to_pylist())
+    got = phrases._summed([np.concatenate(x) for x in zip(*parts, strict=True)], 2)
+    assert [x.tolist() for x in got] == [want[c].tolist() for c in "abcd"]
+
+
 def digest(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
