@@ -82,6 +82,15 @@ def test_a_full_bit_table_loses_nothing(spark, monkeypatch):
     assert sorted(got) == sorted(plain_collocations(rows, 5))
 
 
+def test_words_of_equal_fingerprints_are_told_apart(spark):
+    bits = [i.bit_count() & 1 for i in range(4096)]  # Thue-Morse: polynomials over 64 bits are equal for both
+    one, two = ("".join(letters[b] for b in bits) for letters in ("ab", "ba"))
+    assert len({int(phrases._slices(phrases._VALUES[np.frombuffer(w.encode(), np.uint8)], np.array([0]), np.array([4096]))[0]) for w in (one, two)}) == 1
+    rows = [("en", f"x {one} y. " * 20 + f"x {two} y. " * 15)] * 2
+    got = [tuple(r) for r in phrases.collocations(spark.createDataFrame(rows, "lang string, text string")).collect()]
+    assert sorted(got) == sorted(plain_collocations(rows)) and {40, 30} == {r[3] for r in got}
+
+
 def shuffled(spark):
     """Bytes that all stages so far have written for shuffles."""
     context = spark.sparkContext._jsc.sc()
